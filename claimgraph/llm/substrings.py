@@ -28,7 +28,9 @@ from claimgraph.llm.common import cut, no_clash, table
 
 LENGTH = 100
 ANCHOR = 24
-MOST_SEGMENTS = 256
+#: Different segments of an anchor: up to the first bound many anchors share a batch, up to
+#: the second one anchor (some 3 MB of bytes) is a batch of its own.
+FEW_SEGMENTS, MOST_SEGMENTS = 256, 16_384
 _SLICE = 1 << 19
 _PLACE = np.uint64((1 << 20) - 1)
 _RNG = np.random.default_rng(9)
@@ -137,6 +139,8 @@ def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _runs(doc: np.ndarray, start: np.ndarray) -> Iterator[tuple[int, int, int]]:
     """Removed bytes (doc, from, to) of repeated windows; windows in a row are one run."""
+    if not len(doc):
+        return iter(())
     order = np.lexsort((start, doc))
     doc, start = doc[order], start[order]
     new = np.ones(len(doc), bool)
@@ -195,6 +199,13 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _spans(out)
 
 
+def _merged_alone(group: pa.Table) -> pa.Table:
+    fields = [group.column(c).combine_chunks() for c in ("doc_id", "lo", "n", "bytes")]
+    members = pa.StructArray.from_arrays(fields, names=["doc_id", "lo", "n", "bytes"])
+    whole = pa.ListArray.from_arrays(pa.array([0, len(members)], pa.int32()), members)
+    return pa.Table.from_batches(list(_merged(iter([pa.RecordBatch.from_arrays([whole], names=["members"])]))))
+
+
 def _spans(out: list[tuple]) -> pa.RecordBatch:
     d, f, t = zip(*out) if out else ((), (), ())
     return pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(f, pa.int32()), pa.array(t, pa.int32())], names=["doc_id", "begin", "end"])
@@ -232,7 +243,7 @@ def _window_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             yield pa.RecordBatch.from_arrays([pa.array(h[0]), pa.array(h[1]), pa.array(np.full(n, doc)), pa.array(np.arange(lo, lo + n, dtype=np.int32))], names=["h0", "h1", "doc_id", "lo"])
 
 
-def repeated_spans(docs: DataFrame, most_segments: int = MOST_SEGMENTS) -> DataFrame:
+def repeated_spans(docs: DataFrame, few_segments: int = FEW_SEGMENTS, most_segments: int = MOST_SEGMENTS) -> DataFrame:
     """docs(doc_id, bytes) -> (doc_id, begin, end): bytes covered by a string of LENGTH
     bytes that also starts earlier; spans may overlap."""
     place = lambda: F.struct("doc_id", "lo")
@@ -249,15 +260,18 @@ def repeated_spans(docs: DataFrame, most_segments: int = MOST_SEGMENTS) -> DataF
     wanted = shards.groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "lo", "n")).alias("wanted"))
     cut_out = docs.join(wanted, "doc_id").select("doc_id", "bytes", "wanted").mapInArrow(lambda b: _batched(_cut_out(b)), "anchor long, doc_id long, lo int, n int, bytes binary")
     cut_out = cut(cut_out.dropDuplicates(["anchor", "doc_id", "lo"]), "segment-bytes")
-    many = unlike.filter(F.col("n_kinds") > most_segments).select("anchor")
-    few = cut_out.join(many, "anchor", "left_anti").groupBy("anchor").agg(F.collect_list(F.struct("doc_id", "lo", "n", "bytes")).alias("members"))
-    merged = few.select("members").mapInArrow(_merged, "doc_id long, begin int, end int")
-    hashed = cut_out.join(many, "anchor", "left_semi").mapInArrow(lambda b: _batched(_window_hashes(b)), "h0 long, h1 long, doc_id long, lo int")
+    span = "doc_id long, begin int, end int"
+    sized = cut_out.join(unlike, "anchor")
+    few = sized.filter(F.col("n_kinds") <= few_segments).groupBy("anchor").agg(F.collect_list(F.struct("doc_id", "lo", "n", "bytes")).alias("members"))
+    merged = few.select("members").mapInArrow(_merged, span)
+    more = sized.filter((F.col("n_kinds") > few_segments) & (F.col("n_kinds") <= most_segments)).groupBy("anchor").applyInArrow(_merged_alone, span)
+    many = sized.filter(F.col("n_kinds") > most_segments)
+    hashed = many.select("anchor", "doc_id", "lo", "n", "bytes").mapInArrow(lambda b: _batched(_window_hashes(b)), "h0 long, h1 long, doc_id long, lo int")
     hashed = cut(hashed, "windows")
     firsts = hashed.groupBy("h0", "h1").agg(F.min(place()).alias("first"), F.count(F.lit(1)).alias("times")).filter("times > 1")
     later = hashed.join(firsts, ["h0", "h1"]).filter(place() > F.col("first"))
     single = later.select("doc_id", F.col("lo").alias("begin"), (F.col("lo") + LENGTH).alias("end"))
-    return whole.unionByName(merged).unionByName(single)
+    return whole.unionByName(merged).unionByName(more).unionByName(single)
 
 
 @F.pandas_udf(T.StructType([T.StructField("kept", T.BinaryType()), T.StructField("n_spans", T.LongType())]))

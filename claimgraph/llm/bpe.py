@@ -25,12 +25,13 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimgraph.llm.common import no_clash, table
+from claimgraph.llm.common import no_clash, small_batches, table
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 _CACHE = 120_000
-_STATES = 200_000
+_STATES = 300_000
 _NEVER = 1 << 60
+_NO_TOKEN, _NO_CONTEXT = (1 << 32) - 1, (1 << 32) - 2
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -44,22 +45,34 @@ class Transducer:
     def __init__(self, ranks: dict[bytes, int]) -> None:
         self.ranks = ranks
         self.longest = max(map(len, ranks), default=1)
-        self.own = {t: t for t in ranks}
+        if self.longest > 255:
+            raise ValueError("tokens of more than 255 bytes")
+        self.tokens = {rank: t for t, rank in ranks.items()}
         self.heads = {t[:n] for t in ranks for n in range(1, len(t))}  # proper beginnings
         self.edges: dict[tuple[bytes, int], list[tuple[bytes, int]] | None] = {}
         self.fits: dict[tuple[bytes, bytes], bool] = {}
         self.reset()
 
     def reset(self) -> None:
-        self.nodes: dict[tuple, dict] = {}
-        self.start = self.node((b"", (b"",)))
-
-    def node(self, state: tuple) -> dict:
-        """A state's transitions by byte; its own description stands under -1."""
+        self.nodes: dict[bytes, dict] = {}
+        self.start = self.node(b"", [b""])
+
+    def node(self, data: bytes, last: list[bytes | None]) -> dict:
+        """A state's transitions by byte; its own description stands under -1: the token
+        before the open bytes, the length of the token that ends at each place, the bytes."""
+        left = _NO_TOKEN if last[0] is None else _NO_CONTEXT if not last[0] else self.ranks[last[0]]
+        state = left.to_bytes(4) + bytes([len(t) if t else 0 for t in last[1:]]) + data
         if state not in self.nodes:
             self.nodes[state] = {-1: state}
         return self.nodes[state]
 
+    def described(self, node: dict) -> tuple[bytes, list[bytes | None]]:
+        state = node[-1]
+        n = (len(state) - 4) // 2
+        left, data = int.from_bytes(state[:4]), state[4 + n :]
+        first = None if left == _NO_TOKEN else b"" if left == _NO_CONTEXT else self.tokens[left]
+        return data, [first, *[data[i - size : i] if size else None for i, size in enumerate(state[4 : 4 + n], 1)]]
+
     def merged(self, data: bytes, below: int) -> list[bytes]:
         """The merges of rank under below in order of rank, leftmost first: the definition,
         used on single tokens."""
@@ -117,9 +130,8 @@ class Transducer:
         return fits
 
     def move(self, node: dict, byte: int) -> tuple[dict, tuple[int, ...]]:
-        """State: the open bytes, and for each place from their beginning on the last token
-        before it (None: no token may begin there)."""
-        data, last = node[-1]
+        """A place of a state has the last token before it, or None if none may begin there."""
+        data, last = self.described(node)
         data += bytes((byte,))
         n = len(data)
         for i in range(n):
@@ -127,7 +139,7 @@ class Transducer:
                 break
         else:
             raise ValueError("the vocabulary lacks a byte")
-        last = (*last, self.own[data[i:]])
+        last.append(data[i:])
         # a place stays open if a token may begin there and reach beyond the end
         begins = [i for i in range(n) if last[i] is not None and data[i:] in self.heads] + [n]
         paths = []
@@ -147,7 +159,7 @@ class Transducer:
             kept[0] = None
         elif not cut:
             kept[0] = last[0]
-        result = self.node((data[cut:], tuple(kept))), tuple([self.ranks[last[i]] for i in first[:shared]])
+        result = self.node(data[cut:], kept), tuple([self.ranks[last[i]] for i in first[:shared]])
         node[byte] = result
         return result
 
@@ -159,11 +171,13 @@ class Transducer:
             node, ids = node.get(byte) or self.move(node, byte)
             if ids:
                 out += ids
-        data, last = node[-1]
-        tail, i, ranks = [], len(data), self.ranks
+        state = node[-1]
+        n = (len(state) - 4) // 2
+        data, tail, i, ranks = state[4 + n :], [], n, self.ranks
         while i:
-            tail.append(ranks[last[i]])
-            i -= len(last[i])
+            size = state[3 + i]
+            tail.append(ranks[data[i - size : i]])
+            i -= size
         return out + tail[::-1]
 
 
@@ -193,7 +207,7 @@ class Tokenizer:
         self.transducer = Transducer(ranks)
         self.pattern = regex.compile(pattern)
         self.together = regex.compile(r"^ | $|[\s\x00-\x1f\x7f-\xa0] | [\s\x00-\x1f\x7f-\xa0]")
-        self.plain = re.compile(" [A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+")  # one match of any usual pattern
+        self.plain = re.compile("[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+")  # one match of any usual pattern
         self.pieces = Recent(self.piece, _CACHE // 4)
         self.runs = Recent(self.run, _CACHE)
         self.one_match = [len(self.pattern.findall(x)) for x in (" aZ\xc0\xff", " \xd6\xd8\xf6\xf8m")] == [1, 1]
@@ -207,10 +221,9 @@ class Tokenizer:
         return b"".join([get(p) or make(p) for p in found]) if len(found) < 1000 else b"".join([make.new.get(p) or make(p) for p in found])
 
     def run(self, run: str) -> bytes:
-        run = " " + run
         if self.one_match and self.plain.fullmatch(run):
-            return self.piece(run)
-        return self.matched(run)
+            return array("i", self.transducer.encode(b" " + run.encode())).tobytes()
+        return self.matched(" " + run)
 
     def packed(self, text: str) -> bytes:
         if not text or self.together.search(text):
@@ -262,6 +275,7 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
     special tokens. Null and empty texts have no ids. Repeated rows stay; an input column
     ids is replaced; other columns pass unread."""
     name = _vocabulary(docs.sparkSession, vocabulary)
+    small_batches(docs.sparkSession)
 
     @F.pandas_udf("array<int>")
     def ids(parts):

@@ -31,6 +31,15 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Texts go to Python in batches of no more rows than this, so that a worker's memory
+    stays within what a batch of long texts needs. Holds for the session."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(name))
+    if now <= 0 or now > rows:
+        spark.conf.set(name, str(rows))
+
+
 def no_clash(df: DataFrame, *names: str) -> DataFrame:
     """Drop columns of the input whose names the operator is about to add."""
     wanted = {n.lower() for n in names}

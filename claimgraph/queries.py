@@ -2,10 +2,292 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from claimgraph.functions import normalize as N
+from claimgraph.operators import evidence, matching, packing, replies, sections, views
+from claimgraph.plans import ledgers
+from claimgraph.sources import uploads
+from claimgraph.streaming import jobs
+
+QUERIES: dict = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+_FACTS = """
+l AS (SELECT l_orderkey, sum(round(l_extendedprice::DOUBLE * 100)::BIGINT) AS line_cents FROM lineitem GROUP BY 1),
+s AS (SELECT o_custkey, year(o_orderdate) + (CASE WHEN month(o_orderdate) >= 4 THEN 1 ELSE 0 END) AS fy,
+        sum(round(o_totalprice::DOUBLE * 100)::BIGINT)::DOUBLE AS cents, coalesce(sum(line_cents), 0)::DOUBLE AS line_cents
+      FROM orders LEFT JOIN l ON o_orderkey = l_orderkey GROUP BY 1, 2),
+facts AS (
+  SELECT o_custkey * 10000 + fy AS id, 1 AS document_id, 'Customer ' || o_custkey || ' Limited' AS entity_name, 'CUST' || lpad(o_custkey::VARCHAR, 8, '0') AS entity_id,
+    'FY' || fy AS label, format('{:,.2f}', cents / 100) AS raw_value, 'Rs' AS unit, 'consolidated' AS entity_scope, 1.0::DOUBLE AS factor, o_custkey, fy FROM s
+  UNION ALL
+  SELECT o_custkey * 10000 + fy + 5000, 2, 'Customer ' || o_custkey || ' Limited', 'CUST' || lpad(o_custkey::VARCHAR, 8, '0'),
+    'FY' || fy, format('{:,.2f}', CASE WHEN o_custkey % 10 = 0 THEN line_cents ELSE cents END / 1e7::DOUBLE), 'Lakh', CASE WHEN o_custkey % 10 = 1 THEN 'standalone' ELSE 'consolidated' END, 1e5::DOUBLE, o_custkey, fy FROM s
+), n AS (SELECT *, replace(raw_value, ',', '')::DOUBLE * factor AS value FROM facts),
+edges AS (
+  SELECT a.id AS fact_id_a, b.id AS fact_id_b,
+    CASE WHEN a.fy <> b.fy OR a.entity_scope <> b.entity_scope THEN 'reconciled_context' WHEN abs(a.value - b.value) <= 500 + 1e-3 THEN 'corroborates' ELSE 'contradicts' END AS relation_type,
+    CASE WHEN a.fy <> b.fy THEN 'time' WHEN a.entity_scope <> b.entity_scope THEN 'scope' END AS reconciled_dimension
+  FROM n a JOIN n b ON a.entity_id = b.entity_id AND a.document_id = 1 AND b.document_id = 2)
+"""
+
+
+@query(f"WITH {_FACTS} SELECT fact_id_a, fact_id_b, relation_type, reconciled_dimension FROM edges")
+def reconcile_ledgers(spark, sf_dir):
+    return ledgers.reconcile(ledgers.ledger_facts(spark, sf_dir))
+
+
+@query(f"WITH {_FACTS} SELECT r.relation_type, count(e.fact_id_a) AS n FROM (VALUES ('corroborates'), ('contradicts'), ('reconciled_context')) r(relation_type) LEFT JOIN edges e USING (relation_type) GROUP BY 1")
+def reconcile_by_type(spark, sf_dir):
+    return views.by_relation(reconcile_ledgers(spark, sf_dir), replies.RELATIONS)
+
+
+@query(f"WITH {_FACTS} SELECT id, raw_value, unit, value FROM n")
+def normalize_quantity(spark, sf_dir):
+    return ledgers.normalized(ledgers.ledger_facts(spark, sf_dir)).select("id", "raw_value", "unit", "value")
+
+
+@query("""SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN -(o_totalprice::DOUBLE) WHEN 1 THEN o_totalprice::DOUBLE * 1e7 WHEN 2 THEN o_totalprice::DOUBLE ELSE o_totalprice::DOUBLE * 1e6 END AS value
+FROM (SELECT o_orderkey, replace(format('{:,.2f}', o_totalprice::DOUBLE), ',', '')::DOUBLE AS o_totalprice FROM orders)""")
+def normalize_quantity_forms(spark, sf_dir):
+    text = F.format_number(F.col("o_totalprice").cast("double"), 2)
+    k = F.col("o_orderkey") % 4
+    raw = F.when(k == 0, F.concat(F.lit("("), text, F.lit(")"))).when(k == 1, F.concat(text, F.lit("Cr"))).when(k == 2, F.concat(text, F.lit(" per cent"))).otherwise(text)
+    return read(spark, sf_dir, "orders").select("o_orderkey", N.quantity(raw, F.when(k == 3, "Rs Million")).alias("value"))
+
+
+@query("""SELECT o_orderkey, label, CASE WHEN o_orderkey % 4 < 3 THEN printf('%04d-04-01', y - 1) END AS start, CASE WHEN o_orderkey % 4 < 3 THEN printf('%04d-03-31', y) END AS stop
+FROM (SELECT o_orderkey, y, CASE o_orderkey % 4 WHEN 0 THEN 'FY' || printf('%02d', y % 100) WHEN 1 THEN 'FY' || y WHEN 2 THEN 'FY ' || (y - 1) || '-' || printf('%02d', y % 100) ELSE 'Q4 FY' || y END AS label
+  FROM (SELECT o_orderkey, year(o_orderdate) AS y FROM orders))""")
+def fiscal_year_bounds(spark, sf_dir):
+    y, k = F.year("o_orderdate"), F.col("o_orderkey") % 4
+    label = F.when(k == 0, F.format_string("FY%02d", y % 100)).when(k == 1, F.format_string("FY%d", y)).when(k == 2, F.format_string("FY %d-%02d", y - 1, y % 100)).otherwise(F.format_string("Q4 FY%d", y))
+    df = read(spark, sf_dir, "orders").select("o_orderkey", label.alias("label")).withColumn("fy", N.fiscal_year(F.col("label")))
+    return df.select("o_orderkey", "label", "fy.start", F.col("fy.end").alias("stop"))
+
+
+@query("SELECT c_custkey, lpad(c_custkey::VARCHAR, 5, '0') || 'HR2011PLC' || lpad((c_custkey * 7)::VARCHAR, 6, '0') AS identifier FROM customer")
+def normalize_identifier(spark, sf_dir):
+    raw = F.concat(F.lit("  "), F.when(F.col("c_custkey") % 2 == 0, "u").otherwise("L"), F.format_string("%05dhr2011plc%06d", "c_custkey", F.col("c_custkey") * 7))
+    return read(spark, sf_dir, "customer").select("c_custkey", N.identifier(raw).alias("identifier"))
+
+
+_TOKENS = "list_distinct(list_filter(string_split_regex(lower({}), '[^a-z0-9]+'), lambda w: w <> '' AND w NOT IN ('from', 'of', 'the', 'a', 'an', 'in', 'on', 'for', 'to', 'and', 'or')))"
+
+
+@query(f"SELECT p_partkey, array_to_string(list_sort({_TOKENS.format('p_name')}), ' ') AS tokens FROM part")
+def attribute_tokens(spark, sf_dir):
+    return read(spark, sf_dir, "part").select("p_partkey", F.array_join(F.array_sort(N.attribute_tokens(F.col("p_name"))), " ").alias("tokens"))
+
+
+@query("""SELECT s_suppkey, trim(regexp_replace(regexp_replace(regexp_replace(lower(s_name || ' Pvt. Ltd.'), '\\b(?:limited|ltd|incorporated|inc|corporation|corp|company|co|plc|llp|pvt|private)\\b\\.?', ' ', 'g'), '[^a-z0-9\\s]', ' ', 'g'), '\\s+', ' ', 'g')) AS name FROM supplier""")
+def entity_name_norm(spark, sf_dir):
+    return read(spark, sf_dir, "supplier").select("s_suppkey", N.entity_name(F.concat("s_name", F.lit(" Pvt. Ltd."))).alias("name"))
+
+
+def _part_facts(spark, sf_dir):
+    p = read(spark, sf_dir, "part")
+    return p.select(F.col("p_partkey").cast("long").alias("id"), F.col("p_brand").alias("entity_name"), F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("id "), (F.col("p_partkey") % 50).cast("string"))).alias("entity_id"), F.col("p_name").alias("attribute"))
+
+
+_PARTS = f"""p AS (SELECT p_partkey AS id, CASE WHEN p_partkey % 3 = 0 THEN 'ID ' || (p_partkey % 50) END AS key, {_TOKENS.format('p_name')} AS tokens FROM part)"""
+
+
+@query(f"WITH {_PARTS} SELECT a.id AS new_id, b.id AS old_id FROM p a JOIN p b ON a.key = b.key AND a.id <> b.id")
+def candidate_join_identifier(spark, sf_dir):
+    p = matching.prepared(_part_facts(spark, sf_dir))
+    return matching.by_identifier(p, p)
+
+
+@query(f"WITH {_PARTS}, t AS (SELECT id, unnest(tokens) AS token FROM p) SELECT DISTINCT a.id AS new_id, b.id AS old_id FROM t a JOIN t b ON a.token = b.token AND a.id <> b.id WHERE a.id % 20 = 0")
+def candidate_join_token(spark, sf_dir):
+    p = matching.prepared(_part_facts(spark, sf_dir))
+    return matching.by_token(p.filter("id % 20 = 0"), p)
+
+
+@query()
+def candidate_join_fuzzy(spark, sf_dir):
+    names = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("long").alias("id"), F.col("s_name").alias("entity_name"), F.lit(None).cast("string").alias("entity_id"), F.lit("").alias("attribute"))
+    p = matching.prepared(names)
+    return matching.similar_names(p, p)
+
+
+@query()
+def candidate_join(spark, sf_dir):
+    p = _part_facts(spark, sf_dir)
+    return matching.candidates(p.filter("id % 50 = 0"), p)
+
+
+@query(f"WITH {_FACTS} SELECT id, raw_value FROM facts WHERE document_id = 2 AND contains(lower(entity_name), 'customer 1')")
+def facts_filter(spark, sf_dir):
+    return views.facts(ledgers.ledger_facts(spark, sf_dir), 2, "CUSTOMER 1").select("id", "raw_value")
+
+
+@query(f"""WITH {_FACTS} SELECT fact_id_a, fact_id_b, relation_type, a.raw_value AS raw_value_a, b.raw_value AS raw_value_b
+FROM edges JOIN facts a ON a.id = fact_id_a JOIN facts b ON b.id = fact_id_b""")
+def relationship_detail(spark, sf_dir):
+    f = ledgers.ledger_facts(spark, sf_dir)
+    return views.relationship_detail(ledgers.reconcile(f), f, "inner").select("fact_id_a", "fact_id_b", "relation_type", "raw_value_a", "raw_value_b")
+
+
+@query(f"""WITH {_FACTS}, e AS (SELECT fact_id_a * 100000 + fact_id_b % 10000 AS id, fact_id_a, fact_id_b FROM edges WHERE relation_type <> 'reconciled_context'),
+x AS (SELECT id AS edge_id, fact_id_a AS id FROM e UNION ALL SELECT id, fact_id_b FROM e)
+SELECT f.id, count(edge_id) AS n_relationships, coalesce(string_agg(edge_id::VARCHAR, ',' ORDER BY edge_id), '') AS relationship_ids FROM facts f LEFT JOIN x ON x.id = f.id GROUP BY f.id""")
+def fact_with_relationships(spark, sf_dir):
+    f = ledgers.ledger_facts(spark, sf_dir)
+    e = ledgers.reconcile(f).filter("relation_type <> 'reconciled_context'").select((F.col("fact_id_a") * 100000 + F.col("fact_id_b") % 10000).alias("id"), "fact_id_a", "fact_id_b")
+    return views.fact_with_relationships(f, e)
+
+
+@query(f"WITH {_FACTS} SELECT (SELECT count(DISTINCT document_id) FROM facts) AS documents, (SELECT count(*) FROM facts) AS facts, (SELECT count(*) FROM edges) AS relationships")
+def stats_totals(spark, sf_dir):
+    f = ledgers.ledger_facts(spark, sf_dir)
+    one = f.agg(F.count_distinct("document_id").alias("documents"), F.count(F.lit(1)).alias("facts"))
+    return one.crossJoin(ledgers.reconcile(f).agg(F.count(F.lit(1)).alias("relationships")))
+
+
+@query("""SELECT o_custkey, o_orderpriority FROM (SELECT o_custkey, o_orderpriority, row_number() OVER (PARTITION BY o_custkey ORDER BY count(*) DESC, min(o_orderkey)) AS r FROM orders GROUP BY 1, 2) WHERE r = 1""")
+def modal_entity(spark, sf_dir):
+    return views.modal(read(spark, sf_dir, "orders"), "o_custkey", "o_orderpriority", "o_orderkey")
+
+
+@query("SELECT event_id, CASE WHEN c >= 0.85 THEN 'high' WHEN c >= 0.6 THEN 'moderate' ELSE 'low' END AS band FROM (SELECT event_id, (event_id * 37 % 101)::DOUBLE / 100 AS c FROM events)")
+def confidence_band(spark, sf_dir):
+    return read(spark, sf_dir, "events").select("event_id", N.confidence_band((F.col("event_id") * 37 % 101).cast("double") / 100).alias("band"))
+
+
+_SPANS = """raw AS (SELECT regexp_extract(url, '^https?://([^/]+)', 1) AS doc, page_id AS page_number, regexp_extract_all(html, '(?s)<(?:h[1-6]|p)>.*?</(?:h[1-6]|p)>') AS m FROM pages),
+each AS (SELECT doc, page_number, unnest(range(0, len(m))) AS pos, unnest(m) AS raw FROM raw),
+spans AS (SELECT doc, page_number, pos, regexp_replace(raw, '<[^>]*>', '', 'g') AS text, CASE WHEN raw LIKE '<h%' THEN 24.0 - 2 * substr(raw, 3, 1)::INT ELSE 11.0 END::DOUBLE AS font_size, raw LIKE '<h%' AS bold FROM each),
+med AS (SELECT doc, median(font_size) AS median_font FROM spans WHERE trim(text) <> '' GROUP BY doc),
+heads AS (SELECT s.*, sum(length(text) + 1) OVER (PARTITION BY doc, page_number ORDER BY pos) - length(text) - 1 AS char_offset FROM spans s),
+h AS (SELECT heads.* FROM heads JOIN med USING (doc) WHERE trim(text) <> '' AND (font_size > 1.3 * median_font OR (bold AND length(trim(text)) BETWEEN 3 AND 80)))"""
+
+
+@query(f"WITH {_SPANS} SELECT doc, median_font FROM med")
+def median_font(spark, sf_dir):
+    return sections.median_font(sections.html_spans(read(spark, sf_dir, "pages")))
+
+
+@query(f"WITH {_SPANS} SELECT doc, page_number, pos::INTEGER AS pos, text, char_offset::BIGINT AS char_offset FROM h")
+def heading_candidates(spark, sf_dir):
+    return sections.headings(sections.html_spans(read(spark, sf_dir, "pages"))).select("doc", "page_number", "pos", "text", F.col("char_offset").cast("long").alias("char_offset"))
+
+
+@query(f"""WITH {_SPANS}, pg AS (SELECT doc, page_number, row_number() OVER (PARTITION BY doc ORDER BY page_number) AS page_no FROM (SELECT DISTINCT doc, page_number FROM spans)),
+x AS (SELECT h.*, page_no, count(*) OVER (PARTITION BY doc) AS n, lead(page_no) OVER (PARTITION BY doc ORDER BY page_no, pos) AS next_no, (SELECT max(page_no) FROM pg q WHERE q.doc = h.doc) AS last_no FROM h JOIN pg USING (doc, page_number))
+SELECT x.doc, trim(text) AS section_path, x.page_number AS start_page, e.page_number AS end_page, char_offset::BIGINT AS start_offset
+FROM x JOIN pg e ON e.doc = x.doc AND e.page_no = greatest(x.page_no, coalesce(next_no - 1, last_no)) WHERE n >= 3""")
+def layout_sections(spark, sf_dir):
+    return sections.layout_sections(sections.html_spans(read(spark, sf_dir, "pages"))).withColumn("start_offset", F.col("start_offset").cast("long"))
+
+
+@query("""SELECT source AS doc, 'Pages ' || min(doc_id) || '-' || max(doc_id) AS section_path, min(doc_id) AS start_page, max(doc_id) AS end_page
+FROM (SELECT source, doc_id, (row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) // 10 AS g FROM documents) GROUP BY source, g""")
+def fallback_sections(spark, sf_dir):
+    return sections.fallback_sections(read(spark, sf_dir, "documents").select(F.col("source").alias("doc"), F.col("doc_id").alias("page_number")))
+
+
+@query("""WITH RECURSIVE i AS (SELECT source, doc_id, n_chars, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS r FROM documents),
+w AS (SELECT source, doc_id, r, 0 AS batch, n_chars AS used FROM i WHERE r = 1
+  UNION ALL SELECT i.source, i.doc_id, i.r, CASE WHEN w.used > 0 AND w.used + i.n_chars > 12000 THEN w.batch + 1 ELSE w.batch END, CASE WHEN w.used > 0 AND w.used + i.n_chars > 12000 THEN i.n_chars ELSE w.used + i.n_chars END
+  FROM w JOIN i ON i.source = w.source AND i.r = w.r + 1)
+SELECT source, doc_id, batch FROM w""")
+def batch_sections(spark, sf_dir):
+    return packing.next_fit(read(spark, sf_dir, "documents"), "source", "doc_id", "n_chars")
+
+
+@query("""SELECT item_id AS quote_id, doc_id AS page_number, (instr(d.text, q.quote) - 1)::BIGINT AS char_offset FROM (SELECT item_id, left(text, 40) AS quote, item_id % 4 AS k FROM benchmark) q
+JOIN documents d ON d.doc_id % 4 = k WHERE instr(d.text, q.quote) > 0 QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY doc_id) = 1""")
+def locate_quote_exact(spark, sf_dir):
+    quotes = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("quote_id"), (F.col("item_id") % 4).alias("key"), F.substring("text", 1, 40).alias("quote"))
+    pages = read(spark, sf_dir, "documents").select((F.col("doc_id") % 4).alias("key"), F.col("doc_id").alias("page_number"), "text")
+    found = evidence.locate(quotes, pages).filter("char_offset >= 0")
+    exact = found.join(quotes, "quote_id").join(pages, ["key", "page_number"]).filter(F.contains("text", "quote"))
+    return exact.select("quote_id", "page_number", F.col("char_offset").cast("long").alias("char_offset"))
+
+
+@query("""SELECT o_orderkey AS reply_id, CASE o_orderkey % 5 WHEN 1 THEN 'unknown relation' WHEN 2 THEN 'same fact' WHEN 3 THEN 'missing key' WHEN 4 THEN 'ids are not integers' END AS reject_reason FROM orders WHERE o_orderkey % 7 <> 0""")
+def validate_relationships(spark, sf_dir):
+    k = F.col("o_orderkey") % 5
+    body = F.concat(
+        F.lit('{"fact_id_a": '), F.when(k == 4, F.lit('"1"')).otherwise(F.col("o_orderkey").cast("string")),
+        F.lit(', "fact_id_b": '), F.when(k == 2, F.col("o_orderkey")).otherwise(F.col("o_custkey") - 1_000_000).cast("string"),
+        F.lit(', "relation_type": "'), F.when(k == 1, "agrees").otherwise("corroborates"),
+        F.when(k == 3, '", "confidence": 0.5}').otherwise('", "reasoning_text": "r", "confidence": 0.5}'),
+    )
+    # a reply that is no list has no items
+    reply = F.when(F.col("o_orderkey") % 7 == 0, body).otherwise(F.concat(F.lit("```json\n["), body, F.lit("]\n```")))
+    made = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("reply_id"), reply.alias("reply"))
+    return replies.relationships(replies.items(made)).select("reply_id", "reject_reason")
+
+
+@query("""WITH e AS (SELECT l_orderkey, l_linenumber, l_partkey AS a, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS b FROM lineitem)
+SELECT l_orderkey, l_linenumber, a AS fact_id_a, b AS fact_id_b FROM e WHERE b IS NOT NULL AND a <> b AND least(a, b) % 10 <> 0 QUALIFY row_number() OVER (PARTITION BY least(a, b), greatest(a, b) ORDER BY l_orderkey, l_linenumber, a, b) = 1""")
+def pair_dedupe_antijoin(spark, sf_dir):
+    b = F.lead("l_partkey").over(W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey"))
+    edges = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("fact_id_a"), b.alias("fact_id_b")).filter("fact_id_b is not null and fact_id_a <> fact_id_b")
+    known = edges.filter(F.least("fact_id_a", "fact_id_b") % 10 == 0).select(F.col("fact_id_b").alias("fact_id_a"), F.col("fact_id_a").alias("fact_id_b"))
+    return replies.new_pairs(edges, known, ["l_orderkey", "l_linenumber", "fact_id_a", "fact_id_b"])
+
+
+@query("SELECT page_id, CASE WHEN length(html) > 4000 THEN 'too large' WHEN page_id % 3 <> 0 THEN 'must be a PDF' END AS error FROM pages")
+def upload_gate(spark, sf_dir):
+    kind = F.when(F.col("page_id") % 3 == 0, "application/PDF").otherwise("text/html")
+    return read(spark, sf_dir, "pages").select("page_id", uploads.gate(F.lit("page.html"), kind, F.length("html"), 4000).alias("error"))
+
+
+@query("SELECT n_nationkey, '| ' || n_nationkey || ' | ' || trim(n_name) || '\\| |  |' AS line FROM nation")
+def table_markdown(spark, sf_dir):
+    cells = F.array(F.col("n_nationkey").cast("string"), F.concat(F.lit(" "), "n_name", F.lit("| ")))
+    return read(spark, sf_dir, "nation").select("n_nationkey", uploads.markdown_row(cells, F.lit(3)).alias("line"))
+
+
+@query("""SELECT o_orderkey, (row_number() OVER (ORDER BY o_orderkey) - 1) % 3 AS client FROM orders""")
+def round_robin(spark, sf_dir):
+    no = F.row_number().over(W.orderBy("o_orderkey"))
+    return read(spark, sf_dir, "orders").select("o_orderkey", ((no - 1) % 3).cast("long").alias("client"))
+
+
+_STAGE = "list_value('queued','parsing','sectioning','extracting','normalizing','storing','comparing','done','failed')[(event_id % 9 + 1)::INT]"
+
+
+def _job_events(spark, sf_dir):
+    stage = F.element_at(F.array(*[F.lit(s) for s in jobs.STAGES]), (F.col("event_id") % 9 + 1).cast("int"))
+    return read(spark, sf_dir, "events").select(F.col("user_id").alias("job_id"), F.col("event_id").alias("seq"), stage.alias("stage"), "ts")
+
+
+@query(f"SELECT user_id AS job_id, arg_max({_STAGE}, event_id) AS stage, count(*) AS n_events FROM events GROUP BY 1")
+def job_status(spark, sf_dir):
+    return jobs.latest(_job_events(spark, sf_dir))
+
+
+@query(f"SELECT arg_max(job_id, began) AS job_id, count(*) > 0 AS any_running FROM (SELECT user_id AS job_id, arg_max({_STAGE}, event_id) AS stage, min(event_id) AS began FROM events GROUP BY 1) WHERE stage NOT IN ('done', 'failed')")
+def latest_running_job(spark, sf_dir):
+    return jobs.latest_running(_job_events(spark, sf_dir))
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)

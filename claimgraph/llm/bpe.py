@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 from claimgraph.llm.common import no_clash, small_batches, table
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
-_CACHE = 120_000
-_STATES = 300_000
+_CACHE = 150_000
+_STATES = 240_000
 _NEVER = 1 << 60
 _NO_TOKEN, _NO_CONTEXT = (1 << 32) - 1, (1 << 32) - 2
 
@@ -50,7 +50,17 @@ class Transducer:
         self.tokens = {rank: t for t, rank in ranks.items()}
         self.heads = {t[:n] for t in ranks for n in range(1, len(t))}  # proper beginnings
         self.edges: dict[tuple[bytes, int], list[tuple[bytes, int]] | None] = {}
-        self.fits: dict[tuple[bytes, bytes], bool] = {}
+        move = self.move
+
+        class Node(dict):
+            """Transitions by byte, made when first asked for."""
+
+            __slots__ = ()
+
+            def __missing__(node, byte):  # noqa: N805
+                return move(node, byte)
+
+        self.new_node = Node
         self.reset()
 
     def reset(self) -> None:
@@ -63,7 +73,8 @@ class Transducer:
         left = _NO_TOKEN if last[0] is None else _NO_CONTEXT if not last[0] else self.ranks[last[0]]
         state = left.to_bytes(4) + bytes([len(t) if t else 0 for t in last[1:]]) + data
         if state not in self.nodes:
-            self.nodes[state] = {-1: state}
+            node = self.nodes[state] = self.new_node()
+            node[-1] = state
         return self.nodes[state]
 
     def described(self, node: dict) -> tuple[bytes, list[bytes | None]]:
@@ -122,12 +133,7 @@ class Transducer:
             return False
         if not left:
             return True
-        fits = self.fits.get((left, right))
-        if fits is None:
-            if len(self.fits) > _STATES:
-                self.fits.clear()
-            fits = self.fits[left, right] = not self.joined(left, right)
-        return fits
+        return not self.joined(left, right)
 
     def move(self, node: dict, byte: int) -> tuple[dict, tuple[int, ...]]:
         """A place of a state has the last token before it, or None if none may begin there."""
@@ -168,7 +174,7 @@ class Transducer:
             self.reset()
         node, out = self.start, []
         for byte in piece:
-            node, ids = node.get(byte) or self.move(node, byte)
+            node, ids = node[byte]
             if ids:
                 out += ids
         state = node[-1]
@@ -181,20 +187,20 @@ class Transducer:
         return out + tail[::-1]
 
 
-class Recent:
-    """What was made lately, in two halves of bounded size: a full one replaces the older."""
+class Recent(dict):
+    """What make gave lately, up to a number of keys; then it begins anew."""
+
+    __slots__ = ("make", "most")
 
-    def __init__(self, make, size: int) -> None:
-        self.make, self.size = make, size
-        self.new: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+    def __init__(self, make, most: int) -> None:
+        self.make, self.most = make, most
 
-    def __call__(self, key: str) -> bytes:
-        got = self.old.get(key) or self.make(key)
+    def __missing__(self, key: str) -> bytes:
+        got = self.make(key)
+        if len(self) >= self.most:
+            self.clear()
         if len(key) < 40:
-            if len(self.new) >= self.size:
-                self.old, self.new = self.new, {}
-            self.new[key] = got
+            self[key] = got
         return got
 
 
@@ -208,7 +214,7 @@ class Tokenizer:
         self.pattern = regex.compile(pattern)
         self.together = regex.compile(r"^ | $|[\s\x00-\x1f\x7f-\xa0] | [\s\x00-\x1f\x7f-\xa0]")
         self.plain = re.compile("[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+")  # one match of any usual pattern
-        self.pieces = Recent(self.piece, _CACHE // 4)
+        self.pieces = Recent(self.piece, _CACHE // 3)
         self.runs = Recent(self.run, _CACHE)
         self.one_match = [len(self.pattern.findall(x)) for x in (" aZ\xc0\xff", " \xd6\xd8\xf6\xf8m")] == [1, 1]
 
@@ -216,9 +222,7 @@ class Tokenizer:
         return array("i", self.transducer.encode(piece.encode("utf-8", "surrogatepass"))).tobytes()
 
     def matched(self, text: str) -> bytes:
-        get, make = self.pieces.new.get, self.pieces
-        found = self.pattern.findall(text)
-        return b"".join([get(p) or make(p) for p in found]) if len(found) < 1000 else b"".join([make.new.get(p) or make(p) for p in found])
+        return b"".join(map(self.pieces.__getitem__, self.pattern.findall(text)))
 
     def run(self, run: str) -> bytes:
         if self.one_match and self.plain.fullmatch(run):
@@ -229,8 +233,7 @@ class Tokenizer:
         if not text or self.together.search(text):
             return self.matched(text)
         first, *rest = text.split(" ")
-        runs = self.runs
-        return self.matched(first) + b"".join([runs.new.get(r) or runs(r) for r in rest])
+        return self.matched(first) + b"".join(map(self.runs.__getitem__, rest))
 
 
 class Utf8Stream:

@@ -61,3 +61,29 @@ def candidates(new: DataFrame, old: DataFrame) -> DataFrame:
     new, old = prepared(new), prepared(old)
     found = [f(new, old).withColumn("criterion", F.lit(k)) for k, f in enumerate((by_identifier, by_token, by_name), 1)]
     return found[0].unionByName(found[1]).unionByName(found[2]).groupBy("new_id", "old_id").agg(F.min("criterion").alias("criterion"))
+
+
+def candidate_links(new: DataFrame, old: DataFrame) -> DataFrame:
+    """The pairs of candidates(), the same fact included, by class: facts with one
+    identifier, attribute or name stand together, and no pair of facts is made.
+
+    facts(id, entity_name, entity_id, attribute) twice -> (criterion, new_class, old_class,
+    new_facts, old_facts): a new and an old fact are candidates if their classes are linked
+    by any criterion; the last two columns count the facts of a class."""
+    def classes(side: DataFrame, by, s: str) -> DataFrame:
+        named = side.select(by.alias(f"{s}_class")).filter(F.col(f"{s}_class").isNotNull())
+        return named.groupBy(f"{s}_class").agg(F.count(F.lit(1)).alias(f"{s}_facts"))
+
+    def both(by):
+        return classes(new, by, "new"), classes(old, by, "old")
+
+    ids_new, ids_old = both(N.identifier(F.col("entity_id")))
+    same = ids_new.join(ids_old, F.col("new_class") == F.col("old_class"))
+    words_new, words_old = both(F.array_join(F.array_sort(N.attribute_tokens(F.col("attribute"))), " "))
+    token = lambda s: F.explode(F.split(f"{s}_class", " ")).alias("token")
+    shared = words_new.select("*", token("new")).join(words_old.select("*", token("old")), "token").filter("token <> ''").drop("token").distinct()
+    names_new, names_old = both(N.entity_name(F.col("entity_name")))
+    near = similar_names(names_new.select(F.col("new_class").alias("name")), names_old.select(F.col("old_class").alias("name")))
+    near = near.join(names_new, F.col("a") == F.col("new_class")).join(names_old, F.col("b") == F.col("old_class"))
+    kinds = [x.select(F.lit(k).alias("criterion"), "new_class", "old_class", "new_facts", "old_facts") for k, x in enumerate((same, shared, near), 1)]
+    return kinds[0].unionByName(kinds[1]).unionByName(kinds[2])

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from claimgraph.functions import clients
 from claimgraph.functions import normalize as N
-from claimgraph.operators import evidence, matching, packing, replies, sections, views
+from claimgraph.operators import digests, evidence, matching, packing, replies, sections, views
 from claimgraph.plans import ledgers
 from claimgraph.sources import uploads
 from claimgraph.streaming import jobs
@@ -108,19 +109,18 @@ def _part_facts(spark, sf_dir):
     return p.select(F.col("p_partkey").cast("long").alias("id"), F.col("p_brand").alias("entity_name"), F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("id "), (F.col("p_partkey") % 50).cast("string"))).alias("entity_id"), F.col("p_name").alias("attribute"))
 
 
-_PARTS = f"""p AS (SELECT p_partkey AS id, CASE WHEN p_partkey % 3 = 0 THEN 'ID ' || (p_partkey % 50) END AS key, {_TOKENS.format('p_name')} AS tokens FROM part)"""
-
-
-@query(f"WITH {_PARTS} SELECT a.id AS new_id, b.id AS old_id FROM p a JOIN p b ON a.key = b.key AND a.id <> b.id")
+@query(f"WITH {_FACTS} SELECT a.id AS new_id, b.id AS old_id FROM facts a JOIN facts b ON a.entity_id = b.entity_id AND a.document_id = 1 AND b.document_id = 2")
 def candidate_join_identifier(spark, sf_dir):
-    p = matching.prepared(_part_facts(spark, sf_dir))
-    return matching.by_identifier(p, p)
+    f = ledgers.ledger_facts(spark, sf_dir)
+    return matching.by_identifier(matching.prepared(f.filter("document_id = 1")), matching.prepared(f.filter("document_id = 2")))
 
 
-@query(f"WITH {_PARTS}, t AS (SELECT id, unnest(tokens) AS token FROM p) SELECT DISTINCT a.id AS new_id, b.id AS old_id FROM t a JOIN t b ON a.token = b.token AND a.id <> b.id WHERE a.id % 20 = 0")
+@query(f"""WITH c AS (SELECT array_to_string(list_sort({_TOKENS.format('p_name')}), ' ') AS attribute, count(*) AS n FROM part GROUP BY 1),
+t AS (SELECT attribute, n, unnest(string_split(attribute, ' ')) AS token FROM c)
+SELECT DISTINCT a.attribute AS new_class, b.attribute AS old_class, a.n AS new_facts, b.n AS old_facts FROM t a JOIN t b USING (token) WHERE token <> ''""")
 def candidate_join_token(spark, sf_dir):
-    p = matching.prepared(_part_facts(spark, sf_dir))
-    return matching.by_token(p.filter("id % 20 = 0"), p)
+    p = _part_facts(spark, sf_dir)
+    return matching.candidate_links(p, p).filter("criterion = 2").drop("criterion")
 
 
 @query()
@@ -133,7 +133,7 @@ def candidate_join_fuzzy(spark, sf_dir):
 @query()
 def candidate_join(spark, sf_dir):
     p = _part_facts(spark, sf_dir)
-    return matching.candidates(p.filter("id % 50 = 0"), p)
+    return matching.candidate_links(p, p)
 
 
 @query(f"WITH {_FACTS} SELECT id, raw_value FROM facts WHERE document_id = 2 AND contains(lower(entity_name), 'customer 1')")
@@ -206,23 +206,24 @@ def fallback_sections(spark, sf_dir):
     return sections.fallback_sections(read(spark, sf_dir, "documents").select(F.col("source").alias("doc"), F.col("doc_id").alias("page_number")))
 
 
-@query("""WITH RECURSIVE i AS (SELECT source, doc_id, n_chars, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS r FROM documents),
-w AS (SELECT source, doc_id, r, 0 AS batch, n_chars AS used FROM i WHERE r = 1
-  UNION ALL SELECT i.source, i.doc_id, i.r, CASE WHEN w.used > 0 AND w.used + i.n_chars > 12000 THEN w.batch + 1 ELSE w.batch END, CASE WHEN w.used > 0 AND w.used + i.n_chars > 12000 THEN i.n_chars ELSE w.used + i.n_chars END
-  FROM w JOIN i ON i.source = w.source AND i.r = w.r + 1)
-SELECT source, doc_id, batch FROM w""")
+@query("""WITH RECURSIVE i AS (SELECT conv_id, turn, coalesce(length(text), 0) AS n_chars, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS r FROM conversations),
+w AS (SELECT conv_id, turn, r, 0 AS batch, n_chars AS used FROM i WHERE r = 1
+  UNION ALL SELECT i.conv_id, i.turn, i.r, CASE WHEN w.used > 0 AND w.used + i.n_chars > 1200 THEN w.batch + 1 ELSE w.batch END, CASE WHEN w.used > 0 AND w.used + i.n_chars > 1200 THEN i.n_chars ELSE w.used + i.n_chars END
+  FROM w JOIN i ON i.conv_id = w.conv_id AND i.r = w.r + 1)
+SELECT conv_id, turn::BIGINT AS turn, batch FROM w""")
 def batch_sections(spark, sf_dir):
-    return packing.next_fit(read(spark, sf_dir, "documents"), "source", "doc_id", "n_chars")
+    turns = read(spark, sf_dir, "conversations").select("conv_id", "turn", F.coalesce(F.length("text"), F.lit(0)).alias("n_chars"))
+    return packing.next_fit(turns, "conv_id", "turn", "n_chars", 1200)
 
 
-@query("""SELECT item_id AS quote_id, doc_id AS page_number, (instr(d.text, q.quote) - 1)::BIGINT AS char_offset FROM (SELECT item_id, left(text, 40) AS quote, item_id % 4 AS k FROM benchmark) q
-JOIN documents d ON d.doc_id % 4 = k WHERE instr(d.text, q.quote) > 0 QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY doc_id) = 1""")
+@query("""WITH q AS (SELECT conv_id, conv_id || ':' || turn AS quote_id, string_split(text, chr(10))[-1] AS quote FROM conversations)
+SELECT quote_id, p.turn AS page_number, (instr(p.text, q.quote) - 1)::BIGINT AS char_offset FROM q
+JOIN conversations p USING (conv_id) WHERE instr(p.text, q.quote) > 0 QUALIFY row_number() OVER (PARTITION BY quote_id ORDER BY p.turn) = 1""")
 def locate_quote_exact(spark, sf_dir):
-    quotes = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("quote_id"), (F.col("item_id") % 4).alias("key"), F.substring("text", 1, 40).alias("quote"))
-    pages = read(spark, sf_dir, "documents").select((F.col("doc_id") % 4).alias("key"), F.col("doc_id").alias("page_number"), "text")
-    found = evidence.locate(quotes, pages).filter("char_offset >= 0")
-    exact = found.join(quotes, "quote_id").join(pages, ["key", "page_number"]).filter(F.contains("text", "quote"))
-    return exact.select("quote_id", "page_number", F.col("char_offset").cast("long").alias("char_offset"))
+    turns = read(spark, sf_dir, "conversations")
+    quotes = turns.select(F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("quote_id"), F.col("conv_id").alias("key"), F.element_at(F.split("text", "\n", -1), -1).alias("quote"))
+    pages = turns.select(F.col("conv_id").alias("key"), F.col("turn").alias("page_number"), "text")
+    return evidence.locate(quotes, pages).filter("char_offset >= 0").withColumn("char_offset", F.col("char_offset").cast("long"))
 
 
 @query("""SELECT o_orderkey AS reply_id, CASE o_orderkey % 5 WHEN 1 THEN 'unknown relation' WHEN 2 THEN 'same fact' WHEN 3 THEN 'missing key' WHEN 4 THEN 'ids are not integers' END AS reject_reason FROM orders WHERE o_orderkey % 7 <> 0""")
@@ -263,8 +264,29 @@ def table_markdown(spark, sf_dir):
 
 @query("""SELECT o_orderkey, (row_number() OVER (ORDER BY o_orderkey) - 1) % 3 AS client FROM orders""")
 def round_robin(spark, sf_dir):
-    no = F.row_number().over(W.orderBy("o_orderkey"))
-    return read(spark, sf_dir, "orders").select("o_orderkey", ((no - 1) % 3).cast("long").alias("client"))
+    numbered = clients.row_numbers(read(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey", "no")
+    return numbered.select("o_orderkey", ((F.col("no") - 1) % 3).cast("long").alias("client"))
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_custkey % 4 <> s THEN s WHEN o_custkey % 4 <> (s + 1) % 3 THEN (s + 1) % 3 END::BIGINT AS client, CASE WHEN o_custkey % 4 <> s THEN 1 ELSE 2 END::BIGINT AS tries
+FROM (SELECT *, o_orderkey % 3 AS s FROM orders)""")
+def client_fail_over(spark, sf_dir):
+    """Of three clients one is down for most customers; calls move on to the next."""
+    done = clients.first_success(F.col("o_orderkey") % 3, 3, lambda c: c != F.col("o_custkey") % 4)
+    return read(spark, sf_dir, "orders").select("o_orderkey", done.alias("d")).select("o_orderkey", "d.client", "d.tries")
+
+
+@query("""SELECT c_custkey, length('{"id": ' || c_custkey || ', "entity_name": "' || c_name || '", "unit": null}')::BIGINT AS size FROM customer""")
+def digest_size(spark, sf_dir):
+    fact = F.struct(F.col("c_custkey").cast("long").alias("id"), F.col("c_name").alias("entity_name"), F.lit(None).cast("string").alias("unit"))
+    return read(spark, sf_dir, "customer").select("c_custkey", digests.json_size(fact).alias("size"))
+
+
+@query()
+def digest_chunks(spark, sf_dir):
+    """An order's lines: the odd ones are new facts, the even ones candidates."""
+    lines = read(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("ord")).agg(F.max("l_partkey").alias("size"))
+    return digests.chunks(lines.withColumn("is_new", F.col("ord") % 2 == 1), budget=3000)
 
 
 _STAGE = "list_value('queued','parsing','sectioning','extracting','normalizing','storing','comparing','done','failed')[(event_id % 9 + 1)::INT]"

@@ -240,8 +240,8 @@ class Utf8Stream:
     """Bytes in pieces of any length to text: an incremental UTF-8 state machine holds the
     bytes of a code point that has not ended. Malformed bytes become U+FFFD."""
 
-    def __init__(self) -> None:
-        self.machine = codecs.getincrementaldecoder("utf-8")("replace")
+    def __init__(self, errors: str = "replace") -> None:
+        self.machine = codecs.getincrementaldecoder("utf-8")(errors)
 
     def feed(self, data: bytes) -> str:
         return self.machine.decode(data)
@@ -273,6 +273,33 @@ def _once(kind: str, name: str, make):
     return _LOADED[kind, name]
 
 
+def _by_id(ranks: dict[bytes, int]) -> list[bytes]:
+    return [t for t, _ in sorted(ranks.items(), key=lambda x: x[1])]
+
+
+def _ids(tokenizer: Tokenizer, texts: pa.Array) -> pa.Array:
+    packed = [tokenizer.packed(t or "") for t in texts.to_pylist()]
+    ends = np.cumsum([0, *[len(p) // 4 for p in packed]]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(packed), np.int32)))
+
+
+def _decoded(tokens: list[bytes], ids: pa.Array) -> list[pa.Array]:
+    """The bytes of each row's ids, and whether they are whole UTF-8."""
+    data, valid = [], []
+    values, ends = ids.values.to_numpy(), ids.offsets.to_numpy()
+    for at, end in zip(ends, ends[1:]):
+        data.append(b"".join(map(tokens.__getitem__, values[at:end].tolist())))
+        stream = Utf8Stream("strict")
+        try:
+            for at in range(0, len(data[-1]), 65536):
+                stream.feed(data[-1][at : at + 65536])
+            stream.close()
+            valid.append(True)
+        except UnicodeDecodeError:
+            valid.append(False)
+    return [pa.array(data, pa.binary()), pa.array(valid, pa.bool_())]
+
+
 def encode(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
     """Adds ids array<int> for the column text: each match of pattern by itself, without
     special tokens. Null and empty texts have no ids. Repeated rows stay; an input column
@@ -280,12 +307,9 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
     name = _vocabulary(docs.sparkSession, vocabulary)
     small_batches(docs.sparkSession)
 
-    @F.pandas_udf("array<int>")
-    def ids(parts):
-        import pandas as pd
-
-        tokenizer = _once("encode", name, lambda ranks: Tokenizer(ranks, pattern))
-        return pd.Series([np.frombuffer(tokenizer.packed(t if isinstance(t, str) else ""), np.int32) for t in parts], dtype=object)
+    @F.arrow_udf("array<int>")
+    def ids(parts: pa.Array) -> pa.Array:
+        return _ids(_once("encode", name, lambda ranks: Tokenizer(ranks, pattern)), parts)
 
     return no_clash(docs, "ids").withColumn("ids", ids(F.col("text").cast("string")))
 
@@ -294,28 +318,28 @@ def decode(encoded: DataFrame, vocabulary: str) -> DataFrame:
     """Adds decoded (the bytes of ids) and valid_utf8. Null ids count as none."""
     name = _vocabulary(encoded.sparkSession, vocabulary)
 
-    @F.pandas_udf("struct<decoded: binary, valid_utf8: boolean>")
-    def texts(parts):
-        import pandas as pd
-
-        tokens = _once("decode", name, lambda ranks: [t for t, _ in sorted(ranks.items(), key=lambda x: x[1])])
-        rows = []
-        for ids in parts:
-            data = b"".join([tokens[i] for i in ids.tolist()]) if ids is not None else b""
-            stream = Utf8Stream()
-            stream.machine.errors = "strict"
-            try:
-                for at in range(0, len(data), 65536):
-                    stream.feed(data[at : at + 65536])
-                stream.close()
-                rows.append((data, True))
-            except UnicodeDecodeError:
-                rows.append((data, False))
-        return pd.DataFrame(rows, columns=["decoded", "valid_utf8"])
+    @F.arrow_udf("struct<decoded: binary, valid_utf8: boolean>")
+    def texts(parts: pa.Array) -> pa.Array:
+        return pa.StructArray.from_arrays(_decoded(_once("decode", name, _by_id), parts), names=["decoded", "valid_utf8"])
 
     return no_clash(encoded, "decoded", "valid_utf8").withColumn("t", texts("ids")).select("*", "t.decoded", "t.valid_utf8").drop("t")
 
 
+def round_trip(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
+    """decode(encode(docs)) in one Python worker a task, and ids cross to Python never:
+    adds ids, decoded and valid_utf8."""
+    name = _vocabulary(docs.sparkSession, vocabulary)
+    small_batches(docs.sparkSession)
+
+    @F.arrow_udf("struct<ids: array<int>, decoded: binary, valid_utf8: boolean>")
+    def both(parts: pa.Array) -> pa.Array:
+        ids = _ids(_once("encode", name, lambda ranks: Tokenizer(ranks, pattern)), parts)
+        return pa.StructArray.from_arrays([ids, *_decoded(_once("decode", name, _by_id), ids)], names=["ids", "decoded", "valid_utf8"])
+
+    docs = no_clash(docs, "t", "ids", "decoded", "valid_utf8")
+    return docs.withColumn("t", both(F.col("text").cast("string"))).select("*", "t.*").drop("t")
+
+
 def public_vocabulary() -> tuple[str, str]:
     import public_tokenizers
 
@@ -324,7 +348,7 @@ def public_vocabulary() -> tuple[str, str]:
 
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, pattern = public_vocabulary()
-    both = decode(encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path, pattern), path)
+    both = round_trip(table(spark, sf_dir, "documents").select("doc_id", "text"), path, pattern)
     return both.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),

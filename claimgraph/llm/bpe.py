@@ -28,9 +28,10 @@ from pyspark.sql import functions as F
 from claimgraph.llm.common import no_clash, small_batches, table
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
-_CACHE = 150_000
+_CACHE = 500_000
 _STATES = 240_000
 _NEVER = 1 << 60
+_END = -2
 _NO_TOKEN, _NO_CONTEXT = (1 << 32) - 1, (1 << 32) - 2
 
 
@@ -50,7 +51,7 @@ class Transducer:
         self.tokens = {rank: t for t, rank in ranks.items()}
         self.heads = {t[:n] for t in ranks for n in range(1, len(t))}  # proper beginnings
         self.edges: dict[tuple[bytes, int], list[tuple[bytes, int]] | None] = {}
-        move = self.move
+        move, rest = self.move, self.rest
 
         class Node(dict):
             """Transitions by byte, made when first asked for."""
@@ -58,7 +59,7 @@ class Transducer:
             __slots__ = ()
 
             def __missing__(node, byte):  # noqa: N805
-                return move(node, byte)
+                return rest(node) if byte == _END else move(node, byte)
 
         self.new_node = Node
         self.reset()
@@ -147,28 +148,37 @@ class Transducer:
             raise ValueError("the vocabulary lacks a byte")
         last.append(data[i:])
         # a place stays open if a token may begin there and reach beyond the end
-        begins = [i for i in range(n) if last[i] is not None and data[i:] in self.heads] + [n]
-        paths = []
-        for i in begins:
-            path = []
-            while i:
-                path.append(i)
-                i -= len(last[i])
-            paths.append(path[::-1])
-        shared, first = 0, paths[0]
-        while all(len(p) > shared and p[shared] == first[shared] for p in paths):
-            shared += 1
-        cut = first[shared - 1] if shared else 0
-        needed = {i for p in paths for i in p}
+        begins = [i for i in range(n) if last[i] is not None and data[i:] in self.heads]
+        begins.append(n)
+        # the places that the open ones come from, back to the last that all share
+        open_, needed = set(begins), set(begins)
+        while len(open_) > 1:
+            i = max(open_)
+            open_.remove(i)
+            i -= len(last[i])
+            open_.add(i)
+            needed.add(i)
+        (cut,) = open_
+        ids, i = [], cut
+        while i:
+            ids.append(self.ranks[last[i]])
+            i -= len(last[i])
         kept = [last[i] if i in needed else None for i in range(cut, n + 1)]
         if cut not in begins:
             kept[0] = None
-        elif not cut:
-            kept[0] = last[0]
-        result = self.node(data[cut:], kept), tuple([self.ranks[last[i]] for i in first[:shared]])
-        node[byte] = result
+        result = node[byte] = self.node(data[cut:], kept), tuple(ids[::-1])
         return result
 
+    def rest(self, node: dict) -> tuple[int, ...]:
+        """The ids that a state still owes where the piece ends."""
+        data, last = self.described(node)
+        ids, i = [], len(data)
+        while i:
+            ids.append(self.ranks[last[i]])
+            i -= len(last[i])
+        node[_END] = tuple(ids[::-1])
+        return node[_END]
+
     def encode(self, piece: bytes) -> list[int]:
         if len(self.nodes) > _STATES:
             self.reset()
@@ -177,14 +187,8 @@ class Transducer:
             node, ids = node[byte]
             if ids:
                 out += ids
-        state = node[-1]
-        n = (len(state) - 4) // 2
-        data, tail, i, ranks = state[4 + n :], [], n, self.ranks
-        while i:
-            size = state[3 + i]
-            tail.append(ranks[data[i - size : i]])
-            i -= size
-        return out + tail[::-1]
+        out += node[_END]
+        return out
 
 
 class Recent(dict):

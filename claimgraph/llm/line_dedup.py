@@ -1,11 +1,14 @@
-"""Line dedup by pairwise alignment.
-
-A line's hash that two documents share makes the first document that holds it a partner of
-every later one: as many candidate pairs as shared lines at most, however many documents
-share a line. Pairs come from rare lines; each pair is aligned with patience diff, and the
-blocks that align are deleted from the later document. A line too common to tell two
-documents apart needs no alignment: it is deleted by itself from every document but the
-first that holds it.
+"""Line dedup: the blocks of lines that a later document shares with any earlier one.
+
+A block is a run of consecutive lines of min_chars characters or more in sum that stands in
+both documents. Every line of such a block lies in a run within it that cannot lose its
+last line (from some start on) or its first line (up to some end) without falling below
+min_chars: at most two runs a line. The first document that holds a run's hash decides, so
+one aggregation and one join find what alignments with all earlier documents would delete,
+in whatever order and however often the blocks stand, and however many documents hold them.
+
+With a bound (rare) the first holder of a line alone is aligned, by patience diff, and
+lines held more often are deleted singly: a part of the above.
 """
 
 from __future__ import annotations
@@ -14,8 +17,10 @@ from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,7 +28,8 @@ from pyspark.sql import types as T
 from claimgraph.llm.common import cut, no_clash, table
 
 MIN_CHARS = 30
-RARE = 64
+_BASE = 0x9E3779B97F4A7C15 | 3
+_RUN_LINES = 1 << 16  # runs a batch
 _LINE = tuple[int, int, int, bool]  # position, hash, length, whether the document's last
 
 
@@ -116,9 +122,79 @@ def _aligned(min_chars: int):
     return align
 
 
-def repeated_lines(docs: DataFrame, rare: int = RARE, min_chars: int = MIN_CHARS) -> DataFrame:
+def runs(text: str, min_chars: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, hash) of the runs of lines, end excluded, that have min_chars characters
+    or more but not without their last line, or not without their first."""
+    lines = [x.strip(" ") for x in text.split("\n")]
+    total = np.zeros(len(lines) + 1, np.int64)
+    np.cumsum([len(x) for x in lines], out=total[1:])
+    ends = np.searchsorted(total, total + min_chars, "left")
+    starts = np.searchsorted(total, total - min_chars, "right") - 1
+    some, others = np.flatnonzero(ends < len(total)), np.flatnonzero(starts >= 0)
+    both = np.unique(np.concatenate([some * len(total) + ends[some], starts[others] * len(total) + others]))
+    p, q = both // len(total), both % len(total)
+    # wraps at 64 bits; the base is odd, so that its powers have inverses
+    power = np.full(len(total), _BASE, np.uint64)
+    back = np.full(len(total), pow(_BASE, -1, 1 << 64), np.uint64)
+    power[0] = back[0] = 1
+    power, back = np.cumprod(power), np.cumprod(back)
+    sums = np.zeros(len(total), np.uint64)
+    h = np.array([xxhash.xxh64_intdigest(x.encode("utf-8", "surrogatepass"), 42) for x in lines], np.uint64)
+    np.cumsum(h * power[:-1], out=sums[1:])
+    return p, q, ((sums[q] - sums[p]) * back[p]).view(np.int64)
+
+
+def _runs(min_chars: int):
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids, versions, texts = (b.column(c) for c in ("doc_id", "version", "text"))
+            rows: list[int] = []
+            parts: list[tuple] = []
+            held = 0
+            for k in range(b.num_rows):
+                parts.append(runs(texts[k].as_py(), min_chars))
+                rows.append(k)
+                held += len(parts[-1][0])
+                if held >= _RUN_LINES or k == b.num_rows - 1:
+                    of = pa.array(np.repeat(rows, [len(x[0]) for x in parts]), pa.int64())
+                    start, end, h = (np.concatenate([x[c] for x in parts]) for c in range(3))
+                    yield pa.RecordBatch.from_arrays(
+                        [ids.take(of), versions.take(of), pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32)), pa.array(h)], names=["doc_id", "version", "start", "end", "h"]
+                    )
+                    rows, parts, held = [], [], 0
+
+    return find
+
+
+def _covered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The places that a document's runs cover."""
+    for b in batches:
+        removed = []
+        for found in b.column("found").to_pylist():
+            at, places = 0, []
+            for x in sorted((x["start"], x["end"]) for x in found):
+                places += range(max(at, x[0]), x[1])
+                at = max(at, x[1])
+            removed.append(places)
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("version"), pa.array(removed, pa.list_(pa.int32()))], names=["doc_id", "version", "removed"])
+
+
+def repeated_lines(docs: DataFrame, rare: int | None = None, min_chars: int = MIN_CHARS) -> DataFrame:
     """docs(doc_id, version, text) -> (doc_id, version, removed array<int>): places of the
-    lines, counted from 0, that an earlier document holds."""
+    lines, counted from 0, in blocks that an earlier document holds."""
+    if rare is not None:
+        return _bounded(docs, rare, min_chars)
+    found = docs.select("doc_id", "version", "text").mapInArrow(_runs(max(1, min_chars)), "doc_id long, version long, start int, end int, h long")
+    held = found.groupBy("h").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last").drop("last")
+    # written first: joined from its table, both sides are dealt anew and Spark splits a hot run
+    held = cut(held, "held-runs")
+    later = found.join(held, "h").filter("doc_id > first").select("doc_id", "version", "start", "end")
+    each = later.groupBy("doc_id", "version").agg(F.collect_list(F.struct("start", "end")).alias("found"))
+    return each.mapInArrow(_covered, "doc_id long, version long, removed array<int>")
+
+
+def _bounded(docs: DataFrame, rare: int, min_chars: int) -> DataFrame:
+    """repeated_lines by one partner a line, and by none for lines held more than rare times."""
     lines = _lines(docs)
     held = lines.groupBy("h").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("times")).filter("first < last").drop("last")
     # written first: joined from its table, both sides are dealt anew and Spark splits a hot line
@@ -147,7 +223,7 @@ def _without(texts: pd.Series, removed: pd.Series) -> pd.Series:
     return pd.Series([cut_lines(t, r) for t, r in zip(texts, removed)], dtype=object)
 
 
-def dedup_lines(docs: DataFrame, rare: int = RARE, min_chars: int = MIN_CHARS) -> DataFrame:
+def dedup_lines(docs: DataFrame, rare: int | None = None, min_chars: int = MIN_CHARS) -> DataFrame:
     """The rows of docs with text cut to the lines that stay; adds n_lines (of the input;
     an empty text has one, a null text none) and n_removed.
 

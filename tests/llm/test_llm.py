@@ -200,3 +200,11 @@ def test_bpe(docs, empty):
     ids = reference.encode_ordinary("naïve 漢字 🎉")
     assert "".join(bpe.decode_stream(ids, tokens, 1)) == "naïve 漢字 🎉"
     assert bpe.encode(empty, path, pattern).count() == 0
+
+
+def test_line_dedup_hot_block(spark):
+    """A block that more than 64 documents hold goes from each later one with its short lines."""
+    block = "a line of thirty characters or more\nshort\n\nend"
+    d = spark.createDataFrame([(i, f"own {i}\n{block}\nlast {i}") for i in range(80)], "doc_id long, text string")
+    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(d).collect()}
+    assert got == {i: f"own {i}\n{block}\nlast {i}" if i == 0 else f"own {i}\nlast {i}" for i in range(80)}

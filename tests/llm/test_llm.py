@@ -208,3 +208,11 @@ def test_line_dedup_hot_block(spark):
     d = spark.createDataFrame([(i, f"own {i}\n{block}\nlast {i}") for i in range(80)], "doc_id long, text string")
     got = {r.doc_id: r.text for r in line_dedup.dedup_lines(d).collect()}
     assert got == {i: f"own {i}\n{block}\nlast {i}" if i == 0 else f"own {i}\nlast {i}" for i in range(80)}
+
+
+def test_line_dedup_short_lines(spark):
+    """A block whose lines are all under 30 characters goes once it has 30 in sum."""
+    block = "\n".join(f"verse number {k}" for k in range(6))
+    d = spark.createDataFrame([(1, f"one\n{block}\nend"), (2, f"two\n{block}\nfin"), (3, "verse number 1\nverse number"), (4, block)], "doc_id long, text string")
+    got = {r.doc_id: (r.n_removed, r.text) for r in line_dedup.dedup_lines(d).collect()}
+    assert got == {1: (0, f"one\n{block}\nend"), 2: (6, "two\nfin"), 3: (0, "verse number 1\nverse number"), 4: (6, "")}

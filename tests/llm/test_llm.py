@@ -216,3 +216,32 @@ def test_line_dedup_short_lines(spark):
     d = spark.createDataFrame([(1, f"one\n{block}\nend"), (2, f"two\n{block}\nfin"), (3, "verse number 1\nverse number"), (4, block)], "doc_id long, text string")
     got = {r.doc_id: (r.n_removed, r.text) for r in line_dedup.dedup_lines(d).collect()}
     assert got == {1: (0, f"one\n{block}\nend"), 2: (6, "two\nfin"), 3: (0, "verse number 1\nverse number"), 4: (6, "")}
+
+
+def shared_places(lines, earlier, min_chars=30):
+    """Places of all blocks of min_chars or more that lines have in common with any of the earlier."""
+    gone = set()
+    for other in earlier:
+        for i in range(len(lines)):
+            for j in range(len(other)):
+                k = 0
+                while i + k < len(lines) and j + k < len(other) and lines[i + k] == other[j + k]:
+                    k += 1
+                gone |= set(range(i, i + k)) if sum(map(len, lines[i : i + k])) >= min_chars else set()
+    return gone
+
+
+def test_line_dedup_all_earlier(spark, docs):
+    """Every block that any earlier document holds goes, in any order and as often as it stands."""
+    long = ["the first line of thirty or more characters", "the second line of thirty or more characters"]
+    few = ["s1", "s2", "s3"]
+    plain = ["\n".join(x) for x in ([long[0]], [long[0], *few], [long[0], *few], few[::-1] + long, long[::-1], ["x", *long, "y", *long, *few[::-1], *long])]
+    rows = docs.filter("doc_id is not null and text is not null").dropDuplicates(["doc_id"]).orderBy("doc_id").collect()
+    for d in (docs.filter("doc_id is not null"), spark.createDataFrame(list(enumerate(plain)), "doc_id long, text string")):
+        own = dict(enumerate(plain)) if "lang" not in d.columns else {r.doc_id: r.text for r in rows}
+        lines = {i: [x.strip(" ") for x in t.split("\n")] for i, t in own.items()}
+        got = {r.doc_id: r.text for r in line_dedup.dedup_lines(d).filter("text is not null").collect()}
+        for i, t in own.items():
+            gone = shared_places(lines[i], [lines[j] for j in lines if j < i])
+            assert got[i] == "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone), i
+            assert all(set(line_dedup.common_blocks(*([(k, hash(x), len(x), k == len(v) - 1) for k, x in enumerate(v)] for v in (lines[i], lines[j])), 30)) <= gone for j in lines if j < i)

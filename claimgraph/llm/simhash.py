@@ -168,14 +168,6 @@ def near_duplicates(docs: DataFrame, tree_rows: int = TREE_ROWS) -> DataFrame:
     return own.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_first(docs: DataFrame) -> DataFrame:
-    """The rows of docs whose id is the smallest of its group; of rows that repeat an id,
-    one stays."""
-    groups = near_duplicates(docs)
-    kept = groups.filter("doc_id = component_id or doc_id is null").select("doc_id").distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi").dropDuplicates(["doc_id"])
-
-
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(no_clash(table(spark, sf_dir, "documents"), "fp", "component_id"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

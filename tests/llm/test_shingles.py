@@ -38,3 +38,11 @@ def test_keep_first_links_by_shingles(spark):
     assert far and {r.doc_id for r in shingles.keep_first(docs).collect()} == set(up)
     assert shingles.keep_first(docs.limit(0)).count() == 0
     assert shingles.similar(np.arange(8), np.arange(10), 0.8) and not shingles.similar(np.arange(7), np.arange(9), 0.8)
+
+
+def test_keep_first_rows_without_ids(spark):
+    """Unlike texts stay whether they have no id or share one; copies go."""
+    one, two = "a text about one thing and nothing else at all", "words on quite another matter for the second document"
+    rows = [(None, one, "x"), (None, two, "x"), (7, "seven " + two[::-1], "x"), (7, "again " + one[::-1], "x"), (7, "again " + one[::-1], "y"), (8, two, "z"), (None, one, "x"), (None, "", None), (9, None, "")]
+    out = shingles.keep_first(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert sorted((r.doc_id or 0, r.text or "") for r in out) == sorted([(0, one), (8, two), (7, rows[2][1]), (7, rows[3][1]), (9, "")])

@@ -34,54 +34,85 @@ def _searches() -> dict[str, tuple[str, Column]]:
     return {"assign": (ASSIGN, keyword), "access": (ACCESS, text.contains("AKIA")), "hex": (long_hex, text.rlike(long_hex)), "owned": (WIDE, text.rlike(WIDE))}
 
 
-def _spans(kind_no: int, kind: str) -> Column:
-    """Spans of the matches: what stands between two matches gives their places."""
-    match = F.arrays_zip(F.col(f"m_{kind}").alias("m"), F.slice(F.col(f"g_{kind}"), 1, F.greatest(F.size(f"m_{kind}"), F.lit(0))).alias("g"))
-    start = lambda s, x: s["at"] + F.length(x["g"])
+def _before(values: Column, start: Column) -> Column:
+    """start, and start with the sums of the first one, two, ... values added."""
+    none = F.struct(start.alias("at"), F.array().cast("array<bigint>").alias("out"))
+    step = lambda s, x: F.struct((s["at"] + x).alias("at"), F.concat(s["out"], F.array(s["at"])).alias("out"))
+    return F.aggregate(values, none, step, lambda s: s["out"])
 
-    def step(s: Column, x: Column) -> Column:
-        end = start(s, x) + F.length(x["m"])
-        span = F.struct(start(s, x).alias("start"), F.lit(kind_no).alias("kind_no"), end.alias("end"), x["m"].alias("value"))
-        return F.struct(end.alias("at"), F.concat(s["out"], F.array(span).cast(_SPANS)).alias("out"))
 
-    none = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(_SPANS).alias("out"))
-    return F.aggregate(match, none, step, lambda s: s["out"])
+def _with_spans(found: DataFrame, kinds: dict[str, int]) -> DataFrame:
+    """Of each kind the matches m_ and what stands around them g_ become spans, under the
+    kind's name. What was passed before a match is a running sum. As an array that grows is
+    copied each time, sums run in blocks of about the root of a text's matches."""
+    others = [c for c in found.columns if c not in [f"{x}_{k}" for k in kinds for x in "mg"]]
+    zero = F.lit(0).cast("long")
+
+    def add(df: DataFrame, name: str, make) -> DataFrame:
+        return df.select("*", *[make(k).alias(f"{name}_{k}") for k in kinds])
+
+    def blocks(k: str) -> Column:
+        n = F.size(f"s_{k}")
+        width = F.greatest(F.ceil(F.sqrt(n.cast("double"))), F.lit(1)).cast("int")
+        return F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(n / width).cast("int") - 1, F.lit(0))), lambda b: F.slice(f"s_{k}", b * width + 1, width))
+
+    gaps = lambda k: F.slice(f"g_{k}", 1, F.greatest(F.size(f"m_{k}"), F.lit(0)))
+    found = add(found, "l", lambda k: F.transform(gaps(k), lambda g: F.length(g).cast("long")))
+    found = add(found, "s", lambda k: F.zip_with(f"l_{k}", f"m_{k}", lambda g, m: g + F.length(m)))
+    found = add(found, "c", blocks)
+    found = add(found, "b", lambda k: _before(F.transform(f"c_{k}", lambda c: F.aggregate(c, zero, lambda t, x: t + x)), zero))
+    found = add(found, "a", lambda k: F.flatten(F.zip_with(f"c_{k}", f"b_{k}", _before)))
+
+    def spans(k: str) -> Column:
+        start = F.zip_with(f"a_{k}", f"l_{k}", lambda at, g: at + g)
+        span = lambda at, m: F.struct(at.alias("start"), F.lit(kinds[k]).alias("kind_no"), (at + F.length(m)).alias("end"), m.alias("value"))
+        return F.zip_with(start, f"m_{k}", span).cast(_SPANS)
+
+    return found.select(*others, *[spans(k).alias(k) for k in kinds])
 
 
 def candidates(docs: DataFrame) -> DataFrame:
     """docs(doc_id, text, source) -> (doc_id, source, base, wide): spans with their values.
-    Only candidates that overlap no base span of their document are wide."""
+    Only candidates that overlap no base span of their document are wide.
+
+    Matches of access and hex lie within one wide match. Those of assign need not: where a
+    text has some they are blanked, and the wide matches that stay as they were are apart."""
     raw = docs.select("doc_id", "source", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     nothing = F.array().cast("array<string>")
-    parts = []
-    for kind, (pattern, needs) in _searches().items():
-        parts.append(F.when(needs, F.regexp_extract_all("text", F.lit(pattern), F.lit(0))).otherwise(nothing).alias(f"m_{kind}"))
-        parts.append(F.when(needs, F.split("text", pattern, -1)).otherwise(nothing).alias(f"g_{kind}"))
-    spans = raw.select("doc_id", "source", *parts).select("doc_id", "source", *[_spans(no, kind).alias(kind) for no, kind in enumerate(KINDS)])
+    long_value = lambda m: F.length(F.regexp_extract(m, ASSIGN, 2)) >= 6
+
+    def matches(kind: str, text: str, pattern: str, needs: Column) -> list[Column]:
+        found, around = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
+        return [F.when(needs, found).otherwise(nothing).alias(f"m_{kind}"), F.when(needs, around).otherwise(nothing).alias(f"g_{kind}")]
+
+    parts = [x for kind, (pattern, needs) in _searches().items() for x in matches(kind, "text", pattern, needs)]
+    both = (F.size("m_assign") > 0) & (F.size("m_owned") > 0)
+    blank = F.zip_with("g_assign", "m_assign", lambda g, m: F.concat(g, F.when(m.isNull(), "").when(long_value(m), F.repeat(F.lit(" "), F.length(m))).otherwise(m)))
+    found = raw.select("doc_id", "source", *parts).select("*", both.alias("blanked"), F.when(both, F.array_join(blank, "")).otherwise("").alias("masked"))
+    found = found.select("*", *matches("clear", "masked", WIDE, F.col("blanked"))).drop("masked")
+    spans = _with_spans(found, {kind: no for no, kind in enumerate(KINDS)} | {"clear": KINDS.index("owned")})
     assign = F.transform("assign", lambda x: x.withField("value", F.regexp_extract(x["value"], ASSIGN, 2)))
     base = F.concat(
         F.filter(assign, lambda x: F.length(x["value"]) >= 6),
         F.filter("access", lambda x: F.length(x["value"]) >= 20),
         F.filter("hex", lambda x: F.length(x["value"]) >= 24),
     )
+    as_text = lambda spans: F.transform(spans, lambda x: F.concat_ws(":", x["start"].cast("string"), x["end"].cast("string"), x["value"]))
+    same = F.transform(F.array_intersect(as_text("owned"), as_text("clear")), lambda x: F.split(x, ":"))
+    as_span = lambda p: F.struct(p[0].cast("long").alias("start"), F.lit(KINDS.index("owned")).alias("kind_no"), p[1].cast("long").alias("end"), p[2].alias("value"))
+    spans = spans.select("doc_id", "source", F.array_sort(base).alias("base"), F.when(F.col("blanked"), F.transform(same, as_span).cast(_SPANS)).otherwise(F.col("owned")).alias("apart"))
     mixed = lambda x: x["value"].rlike("[a-z]") & x["value"].rlike("[A-Z]") & x["value"].rlike("[0-9]")
-    spans = spans.select("doc_id", "source", F.array_sort(base).alias("base"), F.filter("owned", mixed).alias("wide"))
-    apart = F.expr("filter(wide, x -> NOT exists(base, b -> b.start < x.end AND x.start < b.end))")
-    return spans.select("doc_id", "source", "base", apart.alias("wide"))
+    alone = lambda x: ~x["value"].rlike("AKIA[A-Z0-9]{16,}") & ~x["value"].rlike("[0-9a-f]{24,}")
+    return spans.select("doc_id", "source", "base", F.filter("apart", lambda x: mixed(x) & alone(x)).alias("wide"))
 
 
 def ownership(found: DataFrame) -> DataFrame:
-    """(doc, source, values) -> (value_hash, owners, repositories): distinct sources and
-    documents that hold a value, counted partially before each shuffle."""
-    held = found.select("row", "source", F.explode("values").alias("value_hash"))
-    by_owner = held.groupBy("value_hash", "source").agg(F.count_distinct("row").alias("n"))
+    """(document, source, value_hash) -> (value_hash, owners, repositories): distinct
+    sources and documents that hold a value, counted partially before each shuffle."""
+    by_owner = found.groupBy("value_hash", "source").agg(F.count_distinct("document").alias("n"))
     return by_owner.groupBy("value_hash").agg(F.count(F.lit(1)).alias("owners"), F.sum("n").alias("repositories"))
 
 
-def _hash(value: Column) -> Column:
-    return F.sha2(value.cast("binary"), 256)
-
-
 def scan(docs: DataFrame, max_owners: int = MAX_OWNERS, max_repositories: int = MAX_REPOSITORIES) -> DataFrame:
     """docs(doc_id, text, source, ...) -> (doc_id, base, spans, n_live, n_copied), one row
     for each row; spans are structs (start, kind_no, end, value) in order.
@@ -91,30 +122,21 @@ def scan(docs: DataFrame, max_owners: int = MAX_OWNERS, max_repositories: int =
     count a row's candidates, base ones too, at or beyond those bounds. Null and empty
     texts have none; repeated rows and null ids stay rows of their own, though rows that
     repeat an id are one document; a null source is one owner. No rows: no rows."""
-    docs = no_clash(docs, "base", "spans", "n_live", "n_copied")
+    docs = no_clash(docs, "base", "spans", "n_live", "n_copied", "row")
     docs = docs if "source" in docs.columns else docs.withColumn("source", F.lit(None).cast("string"))
-    found = candidates(docs).withColumn("all", F.concat("base", "wide"))
-    holds = found.select("doc_id", "source", "base", "wide", F.transform("all", lambda x: _hash(x["value"])).alias("values"))
-    holds = cut(holds, "candidates")
-    with_any = holds.filter("size(values) > 0").withColumn("row", F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    owned = ownership(with_any)
+    # written with its rows' numbers, which a second reading gives again
+    holds = cut(candidates(docs).withColumn("row", F.monotonically_increasing_id()), "candidates")
+    each = holds.select("row", F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("document"), "source", F.size("base").alias("n_base"), F.posexplode(F.concat("base", "wide")).alias("place", "span"))
+    each = each.withColumn("value_hash", F.sha2(F.col("span.value").cast("binary"), 256))
     live = (F.col("owners") <= max_owners) & (F.col("repositories") <= max_repositories)
-    # one small row for each candidate of a document meets its value's counts
-    marked = (
-        with_any.select("doc_id", "source", F.explode(F.array_distinct("values")).alias("value_hash"))
-        .distinct()
-        .join(owned, "value_hash")
-        .filter(live)
-        .groupBy(F.col("doc_id").alias("m_doc_id"), F.col("source").alias("m_source"))
-        .agg(F.collect_set("value_hash").alias("live"))
-    )
-    same = F.col("doc_id").eqNullSafe(F.col("m_doc_id")) & F.col("source").eqNullSafe(F.col("m_source"))
-    joined = holds.filter("size(values) > 0").join(marked, same, "left").select("doc_id", "base", "wide", "values", F.coalesce("live", F.array().cast("array<string>")).alias("live"))
-    none = holds.filter("size(values) = 0").select("doc_id", "base", "wide", "values", F.array().cast("array<string>").alias("live"))
-    every = joined.unionByName(none)
-    added = F.filter("wide", lambda x: F.array_contains("live", _hash(x["value"])))
-    n_live = F.size(F.filter("values", lambda v: F.array_contains("live", v))).cast("long")
-    return every.select("doc_id", "base", F.array_sort(F.concat("base", added)).alias("spans"), n_live.alias("n_live"), (F.size("values") - n_live).cast("long").alias("n_copied"))
+    # written first: joined from its table, both sides are dealt anew and Spark splits a hot value
+    values = cut(ownership(each).filter(live).select("value_hash"), "live-values")
+    added = F.collect_list(F.when(F.col("place") >= F.col("n_base"), F.col("span"))).alias("added")
+    marked = each.join(values, "value_hash").groupBy("row").agg(F.count(F.lit(1)).alias("n_live"), added)
+    joined = holds.join(marked, "row", "left")
+    n_live = F.coalesce("n_live", F.lit(0)).cast("long")
+    every = F.concat("base", F.coalesce("added", F.array().cast(_SPANS)))
+    return joined.select("doc_id", "base", F.array_sort(every).alias("spans"), n_live.alias("n_live"), (F.size("base") + F.size("wide") - n_live).cast("long").alias("n_copied"))
 
 
 def _joined(spans: str) -> Column:

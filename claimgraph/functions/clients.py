@@ -1,37 +1,23 @@
-"""Calls to clients that fail: round robin, fail-over and the waits between retries."""
+"""Calls to clients, as recorded: attempts up to a success, and the waits between them."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
+from pyspark.sql import functions as F
 
-MAX_WAIT = 30
-RETRIES = 3
-_WIDTH = 1 << 20
-
-
-def retry_waits(retries: int = RETRIES, most: int = MAX_WAIT) -> Column:
-    """Seconds before each retry: powers of two, at most most."""
-    return F.transform(F.sequence(F.lit(0), F.lit(retries - 1)), lambda k: F.least(F.pow(F.lit(2.0), k), F.lit(float(most))))
-
-
-def first_success(start: Column, clients: int, works: Callable[[Column], Column]) -> Column:
-    """struct(client, tries): clients are tried from start on, each once; null client, and
-    as many tries as there are clients, where none works."""
-    order = F.transform(F.sequence(F.lit(0), F.lit(clients - 1)), lambda k: F.struct(((start + k) % clients).cast("long").alias("client"), (k + 1).cast("long").alias("tries")))
-    none = F.struct(F.lit(None).cast("long").alias("client"), F.lit(clients).cast("long").alias("tries"))
-    return F.coalesce(F.get(F.filter(order, lambda c: works(c["client"])), 0), none)
-
-
-def row_numbers(df: DataFrame, key: str, name: str, width: int = _WIDTH) -> DataFrame:
-    """Adds name: the place of each row, from 1, by a unique whole-number key. Ranges of
-    width keys are numbered apart and moved by the count of the ranges before, so that no
-    task orders the whole table."""
-    ranged = df.withColumn("_range", F.floor(F.col(key) / F.lit(float(width))).cast("long"))
-    counts = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
-    before = counts.select("_range", (F.sum("_n").over(W.orderBy("_range")) - F.col("_n")).alias("_before"))
-    own = F.row_number().over(W.partitionBy("_range").orderBy(key))
-    return ranged.withColumn("_own", own).join(before, "_range").withColumn(name, F.col("_own") + F.col("_before")).drop("_range", "_own", "_before")
+# The longest wait and the number of retries.
+MAX_WAIT, RETRIES = 30, 3
+
+
+def calls(attempts: DataFrame, key: str, order: str, ok: str, retries: int = RETRIES) -> DataFrame:
+    """attempts(key, order, ok boolean) -> (key, last, tries, waited, gave_up): attempts of a
+    key in order, up to each success, are one call, and those after the last success are one
+    more. waited is the least wait in seconds between them: powers of two, at most MAX_WAIT.
+    gave_up: the call ended without a success, or took more than the retries."""
+    before = W.partitionBy(key).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
+    call = F.coalesce(F.sum(F.when(F.col(ok), 1).otherwise(0)).over(before), F.lit(0))
+    held = attempts.select(key, order, ok, call.alias("call")).groupBy(key, "call").agg(F.max(order).alias("last"), F.count(F.lit(1)).alias("tries"), F.bool_or(ok).alias("ok"))
+    doubling = F.least(F.col("tries") - 1, F.lit(5))
+    waited = F.pow(F.lit(2.0), doubling) - 1 + F.greatest(F.col("tries") - 6, F.lit(0)) * float(MAX_WAIT)
+    return held.select(key, "last", "tries", waited.cast("long").alias("waited"), (~F.col("ok") | (F.col("tries") > retries + 1)).alias("gave_up"))

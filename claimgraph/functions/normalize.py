@@ -18,6 +18,7 @@ MAGNITUDES = [
     ("millions?", 1e6),
     ("mn", 1e6),
 ]
+# Fixed pattern: what makes a value a percentage.
 PERCENT = r"(?i)per\s*cent|%"
 # Words that tell no attributes apart; suffixes that tell no companies apart.
 STOPWORDS = ["from", "of", "the", "a", "an", "in", "on", "for", "to", "and", "or"]
@@ -38,27 +39,28 @@ def is_percent(*texts: Column) -> Column:
 
 def multiplier(raw: Column, unit: Column) -> Column:
     """The first magnitude word of the raw text, else of the unit, else one."""
-    def tried(text: Column, otherwise: Column) -> Column:
-        chain = F
-        for word, factor in MAGNITUDES:
-            chain = chain.when(text.rlike(f"(?i)(?<![a-z]){word}(?![a-z])"), F.lit(factor))
-        return chain.otherwise(otherwise)
+    whole = lambda words: f"(?i)(?<![a-z])(?:{words})(?![a-z])"
+    text = F.when(raw.rlike(whole("|".join(w for w, _ in MAGNITUDES))), raw).otherwise(unit)
+    chain = F
+    for word, factor in MAGNITUDES:
+        chain = chain.when(text.rlike(whole(word)), F.lit(factor))
+    return chain.otherwise(F.lit(1.0))
 
-    return tried(raw, tried(unit, F.lit(1.0)))
 
-
-def quantity(raw: Column, unit: Column) -> Column:
+def quantity(raw: Column, unit: Column, factor: Column | None = None) -> Column:
     """A number in base units: a value wholly in parentheses or with a leading minus is
     negative, percentages keep their figure, one footnote digit behind two or more decimals
-    is dropped; null where no plain number is left."""
+    is dropped; null where no plain number is left. factor is multiplier(raw, unit), if the
+    caller has it."""
     text = strip(raw)
     inner = F.when(text.rlike(r"^\(.*\)$"), strip(F.regexp_replace(text, r"^\(|\)$", ""))).otherwise(text)
     negative = text.rlike(r"^\(.*\)$") | inner.startswith("-")
     body = F.when(inner.rlike(r"^[-+]"), strip(F.substring(inner, F.lit(2), F.length(inner)))).otherwise(inner)
     digits = F.regexp_replace(body, r"[^\d.]", "")
+    # Fixed pattern: more than two decimals end in a footnote's digit
     plain = F.when(digits.rlike(r"^\d+(\.\d+)?$"), F.regexp_replace(digits, r"^(\d+\.\d{2,})\d$", "$1"))
-    factor = F.when(is_percent(body, unit), F.lit(1.0)).otherwise(multiplier(body, unit))
-    return plain.try_cast("double") * F.when(negative, -1.0).otherwise(1.0) * factor
+    times = F.when(is_percent(body, unit), F.lit(1.0)).otherwise(multiplier(raw, unit) if factor is None else factor)
+    return plain.try_cast("double") * F.when(negative, -1.0).otherwise(1.0) * times
 
 
 def fiscal_year_end(label: Column) -> Column:
@@ -67,6 +69,7 @@ def fiscal_year_end(label: Column) -> Column:
     text = strip(label)
     century = lambda yy: F.when(yy < 50, yy + 2000).otherwise(yy + 1900)
     group = lambda pattern, k: F.regexp_extract(text, pattern, k).try_cast("int")
+    # Fixed patterns of labels: a range of years, two digits, four digits.
     span = r"(?i)^(?:FY\s*)?(\d{4})\s*[-/–—]\s*(\d{2,4})$"
     two, four = r"(?i)^FY\s*['’]?\s*(\d{2})$", r"(?i)^FY\s*(\d{4})$"
     stop = F.when(F.length(F.regexp_extract(text, span, 2)) == 2, century(group(span, 2))).otherwise(group(span, 2))
@@ -80,7 +83,7 @@ def fiscal_year(label: Column) -> Column:
 
 
 def identifier(c: Column) -> Column:
-    """Stripped and in capitals; a company number loses its listing letter."""
+    """Stripped and in capitals; a company number (a fixed pattern) loses its listing letter."""
     return F.regexp_replace(F.upper(strip(c)), r"^[UL](\d{5}[A-Z]{2}\d{4}[A-Z]{3}\d{6})$", "$1")
 
 

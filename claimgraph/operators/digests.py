@@ -13,6 +13,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from claimgraph.operators.packing import fold
+
 BUDGET = 25_000
 LEAST = 2
 
@@ -28,26 +30,17 @@ def chunks(facts: DataFrame, budget: int = BUDGET, least: int = LEAST) -> DataFr
 
     The size of the new facts counts list brackets and separators, that of candidates does
     not; the first fact behind the new ones always fits. Chunks of fewer than least facts
-    are left out. A document's facts meet in one array: the fold is sequential."""
+    are left out."""
     sized = facts.select("doc_id", "is_new", F.col("ord").cast("long").alias("ord"), F.col("size").cast("long").alias("size"))
     new = F.when(F.col("is_new"), F.col("size"))
-    spread = F.struct(
-        F.row_number().over(W.partitionBy("doc_id", "is_new").orderBy("ord")).alias("turn"), (~F.col("is_new")).alias("is_old"), F.col("ord"), F.col("size")
-    )
-    by_doc = sized.withColumn("x", spread).groupBy("doc_id").agg(
-        F.array_sort(F.collect_list("x")).alias("xs"),
-        (F.coalesce(F.sum(new), F.lit(0)) + 2 * F.greatest(F.count(new), F.lit(1))).alias("new_size"),
-    )
-    fits = F.col("new_size") < budget
-    packed = by_doc.withColumn("base", F.when(fits, F.col("new_size")).otherwise(0)).withColumn("moving", F.when(fits, F.expr("filter(xs, x -> x.is_old)")).otherwise(F.col("xs")))
-    fold = f"""aggregate(moving, named_struct('c', 0, 'n', 0, 'used', base, 'out', cast(array() AS array<int>)),
-        (a, x) -> IF(a.n > 0 AND a.used + x.size > {budget},
-            named_struct('c', a.c + 1, 'n', 1, 'used', base + x.size, 'out', concat(a.out, array(a.c + 1))),
-            named_struct('c', a.c, 'n', a.n + 1, 'used', a.used + x.size, 'out', concat(a.out, array(a.c)))),
-        a -> a.out)"""
-    packed = packed.withColumn("at", F.expr(fold)).withColumn("repeated", F.when(fits, F.expr("filter(xs, x -> NOT x.is_old)")).otherwise(F.expr("filter(xs, x -> false)")))
-    each = "transform(moving, (x, i) -> named_struct('chunk', at[i], 'is_new', NOT x.is_old, 'ord', x.ord))"
-    again = "flatten(transform(sequence(0, coalesce(array_max(at), 0)), c -> transform(repeated, x -> named_struct('chunk', c, 'is_new', true, 'ord', x.ord))))"
-    rows = packed.select("doc_id", F.explode(F.expr(f"concat({again}, {each})")).alias("r")).select("doc_id", "r.chunk", "r.is_new", "r.ord")
+    totals = sized.groupBy("doc_id").agg((F.coalesce(F.sum(new), F.lit(0)) + 2 * F.greatest(F.count(new), F.lit(1))).alias("new_size"), F.count_if(~F.col("is_new")).alias("n_old"))
+    turn = F.row_number().over(W.partitionBy("doc_id", "is_new").orderBy("ord"))
+    each = sized.withColumn("turn", turn).withColumn("is_old", ~F.col("is_new")).join(totals, "doc_id").withColumn("fits", F.col("new_size") < budget)
+    rows = each.filter("is_old or not fits").select("doc_id", "is_new", "is_old", "ord", "turn", "size", F.when(F.col("fits"), F.col("new_size")).otherwise(0).alias("base"))
+    packed = fold(rows, "doc_id", ["turn", "is_old"], budget, counted=True).select("doc_id", F.col("batch").alias("chunk"), "is_new", "ord")
+    last = packed.groupBy("doc_id").agg(F.max("chunk").alias("last"))
+    repeated = each.filter("is_new and fits").join(last, "doc_id", "left")
+    again = repeated.select("doc_id", F.explode(F.sequence(F.lit(0), F.coalesce("last", F.lit(0)))).alias("chunk"), "is_new", "ord")
+    rows = packed.unionByName(again)
     whole = rows.groupBy("doc_id", "chunk").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least).drop("n")
     return rows.join(whole, ["doc_id", "chunk"])

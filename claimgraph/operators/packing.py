@@ -2,20 +2,41 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BATCH_CHARS = 12_000
 
 
+def fold(rows: DataFrame, key: str, order: list[str], budget: int, counted: bool) -> DataFrame:
+    """rows(key, order, size, base, ...) -> the same with batch, from 0 in each key. A batch
+    begins at base; the next item opens a new one if it would pass the budget and there is
+    something in the batch: an item, if counted, else a size over zero. Rows of a key pass
+    through one task in order, one by one: the fold is sequential, but holds no rows."""
+    dealt = rows.repartition(key).sortWithinPartitions(key, *order)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in dealt.schema) + ", batch int"
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, batch, used, n = object(), 0, 0, 0
+        for b in batches:
+            out = []
+            for k, size, base in zip(b.column(key).to_pylist(), b.column("size").to_pylist(), b.column("base").to_pylist()):
+                if k != now:
+                    now, batch, used, n = k, 0, base, 0
+                if (n if counted else used > 0) and used + size > budget:
+                    batch, used, n = batch + 1, base, 0
+                used, n = used + size, n + 1
+                out.append(batch)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.int32())], names=[*b.schema.names, "batch"])
+
+    return dealt.mapInArrow(pack, schema)
+
+
 def next_fit(items: DataFrame, key: str, order: str, size: str, budget: int = BATCH_CHARS) -> DataFrame:
-    """Adds batch (from 0 in each key). An item over the budget is a batch of its own. The
-    fold is sequential by nature: one key's items meet in one array."""
-    listed = items.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(size).cast("long").alias("s")))).alias("items"))
-    fold = f"""aggregate(items, named_struct('b', 0, 'used', 0L, 'out', cast(array() AS array<struct<o:bigint,batch:int>>)),
-        (a, x) -> named_struct(
-            'b', IF(a.used > 0 AND a.used + x.s > {budget}, a.b + 1, a.b),
-            'used', IF(a.used > 0 AND a.used + x.s > {budget}, x.s, a.used + x.s),
-            'out', concat(a.out, array(named_struct('o', cast(x.o AS bigint), 'batch', IF(a.used > 0 AND a.used + x.s > {budget}, a.b + 1, a.b))))),
-        a -> a.out)"""
-    return listed.select(key, F.explode(F.expr(fold)).alias("p")).select(key, F.col("p.o").alias(order), F.col("p.batch").alias("batch"))
+    """Adds batch (from 0 in each key) to (key, order). An item over the budget is a batch
+    of its own; a null size counts as none."""
+    rows = items.select(key, order, F.coalesce(F.col(size).cast("long"), F.lit(0)).alias("size"), F.lit(0).cast("long").alias("base"))
+    return fold(rows, key, [order], budget, counted=False).select(key, order, "batch")

@@ -34,8 +34,9 @@ def ledger_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def normalized(facts: DataFrame) -> DataFrame:
     """Adds the value in base units, half a unit of its last stated decimal, and the year."""
     raw, unit = F.col("raw_value"), F.col("unit")
-    half = 0.5 * F.pow(F.lit(10.0), -F.length(F.regexp_extract(raw, r"\.(\d+)", 1))) * N.multiplier(raw, unit)
-    return facts.withColumn("value", N.quantity(raw, unit)).withColumn("half", half).withColumn("fy_end", N.fiscal_year_end(F.col("label")))
+    factored = facts.withColumn("factor", N.multiplier(raw, unit))
+    half = 0.5 * F.pow(F.lit(10.0), -F.length(F.regexp_extract(raw, r"\.(\d+)", 1))) * F.col("factor")
+    return factored.withColumn("value", N.quantity(raw, unit, F.col("factor"))).withColumn("half", half).withColumn("fy_end", N.fiscal_year_end(F.col("label"))).drop("factor")
 
 
 def judge(pairs: DataFrame) -> DataFrame:

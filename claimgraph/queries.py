@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from claimgraph.functions import clients
 from claimgraph.functions import normalize as N
-from claimgraph.operators import digests, evidence, matching, packing, replies, sections, views
+from claimgraph.operators import digests, evidence, matching, order, packing, replies, sections, views
 from claimgraph.plans import ledgers
 from claimgraph.sources import uploads
 from claimgraph.streaming import jobs
@@ -256,24 +256,26 @@ def upload_gate(spark, sf_dir):
     return read(spark, sf_dir, "pages").select("page_id", uploads.gate(F.lit("page.html"), kind, F.length("html"), 4000).alias("error"))
 
 
-@query("SELECT n_nationkey, '| ' || n_nationkey || ' | ' || trim(n_name) || '\\| |  |' AS line FROM nation")
+@query("SELECT c_custkey, '| ' || c_custkey || ' | ' || trim(c_name) || '\\| |  |' AS line FROM customer")
 def table_markdown(spark, sf_dir):
-    cells = F.array(F.col("n_nationkey").cast("string"), F.concat(F.lit(" "), "n_name", F.lit("| ")))
-    return read(spark, sf_dir, "nation").select("n_nationkey", uploads.markdown_row(cells, F.lit(3)).alias("line"))
+    cells = F.array(F.col("c_custkey").cast("string"), F.concat(F.lit(" "), "c_name", F.lit("| ")))
+    return read(spark, sf_dir, "customer").select("c_custkey", uploads.markdown_row(cells, F.lit(3)).alias("line"))
 
 
 @query("""SELECT o_orderkey, (row_number() OVER (ORDER BY o_orderkey) - 1) % 3 AS client FROM orders""")
 def round_robin(spark, sf_dir):
-    numbered = clients.row_numbers(read(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey", "no")
+    numbered = order.row_numbers(read(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey", "no")
     return numbered.select("o_orderkey", ((F.col("no") - 1) % 3).cast("long").alias("client"))
 
 
-@query("""SELECT o_orderkey, CASE WHEN o_custkey % 4 <> s THEN s WHEN o_custkey % 4 <> (s + 1) % 3 THEN (s + 1) % 3 END::BIGINT AS client, CASE WHEN o_custkey % 4 <> s THEN 1 ELSE 2 END::BIGINT AS tries
-FROM (SELECT *, o_orderkey % 3 AS s FROM orders)""")
+@query("""WITH c AS (SELECT user_id, event_id, event_type, coalesce(sum(CASE WHEN event_type <> 'error' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS call FROM events),
+g AS (SELECT user_id, max(event_id) AS last, count(*) AS tries, bool_or(event_type <> 'error') AS ok FROM c GROUP BY user_id, call)
+SELECT user_id, last, tries, list_sum(list_transform(range(0, tries - 1), lambda k: least(2 ** k, 30)))::BIGINT AS waited, NOT ok OR tries > 4 AS gave_up FROM g WHERE tries > 1
+UNION ALL SELECT user_id, last, tries, 0, NOT ok FROM g WHERE tries = 1""")
 def client_fail_over(spark, sf_dir):
-    """Of three clients one is down for most customers; calls move on to the next."""
-    done = clients.first_success(F.col("o_orderkey") % 3, 3, lambda c: c != F.col("o_custkey") % 4)
-    return read(spark, sf_dir, "orders").select("o_orderkey", done.alias("d")).select("o_orderkey", "d.client", "d.tries")
+    """An error is a failed attempt of a user, any other event one that went through."""
+    tried = read(spark, sf_dir, "events").select("user_id", "event_id", (F.col("event_type") != "error").alias("ok"))
+    return clients.calls(tried, "user_id", "event_id", "ok")
 
 
 @query("""SELECT c_custkey, length('{"id": ' || c_custkey || ', "entity_name": "' || c_name || '", "unit": null}')::BIGINT AS size FROM customer""")
@@ -282,13 +284,6 @@ def digest_size(spark, sf_dir):
     return read(spark, sf_dir, "customer").select("c_custkey", digests.json_size(fact).alias("size"))
 
 
-@query()
-def digest_chunks(spark, sf_dir):
-    """An order's lines: the odd ones are new facts, the even ones candidates."""
-    lines = read(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("ord")).agg(F.max("l_partkey").alias("size"))
-    return digests.chunks(lines.withColumn("is_new", F.col("ord") % 2 == 1), budget=3000)
-
-
 _STAGE = "list_value('queued','parsing','sectioning','extracting','normalizing','storing','comparing','done','failed')[(event_id % 9 + 1)::INT]"
 
 
@@ -308,8 +303,11 @@ def latest_running_job(spark, sf_dir):
 
 
 def queries() -> dict:
+    from claimgraph import reading  # noqa: F401  (adds its queries)
+
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return dict(SQL)

@@ -1,7 +1,8 @@
+import random
 from collections import defaultdict
 
 from claimgraph.functions import clients
-from claimgraph.operators import digests, matching
+from claimgraph.operators import digests, matching, order, packing
 from pyspark.sql import functions as F
 
 
@@ -58,9 +59,32 @@ def test_candidate_links_hold_all_candidates(spark):
     assert linked == {(r.new_id, r.old_id) for r in matching.candidates(f, f).collect()} and len(linked) > 3
 
 
-def test_clients(spark):
-    one = spark.range(1)
-    assert one.select(clients.retry_waits(6)).first()[0] == [1, 2, 4, 8, 16, 30]
-    assert tuple(one.select(clients.first_success(F.lit(1), 3, lambda c: F.lit(False))).first()[0]) == (None, 3)
-    rows = clients.row_numbers(spark.createDataFrame([(k * 7,) for k in range(50)], "k long"), "k", "no", width=16).orderBy("k").collect()
-    assert [r.no for r in rows] == list(range(1, 51))
+def test_next_fit(spark):
+    rng = random.Random(1)
+    rows = [(k, i, rng.choice([0, 3, 7, 12, None])) for k in range(20) for i in range(rng.randint(1, 40))]
+    got = {(r.k, r.i): r.batch for r in packing.next_fit(spark.createDataFrame(rows, "k long, i long, n long"), "k", "i", "n", 12).collect()}
+    for key in range(20):
+        batch = used = 0
+        for _, i, n in (r for r in rows if r[0] == key):
+            n = n or 0
+            if used > 0 and used + n > 12:
+                batch, used = batch + 1, 0
+            used += n
+            assert got[key, i] == batch
+
+
+def test_order(spark):
+    rng = random.Random(3)
+    rows = [(g, k) for g in "ab" for k in rng.sample(range(0, 10**12, 7), 60)]
+    df = spark.createDataFrame(rows, "g string, k long")
+    numbered = order.row_numbers(df, "k", "no", ["g"], width=1 << 30)
+    after = {(r.g, r.k): r.next.k if r.next else None for r in order.next_rows(df, "k", ["k"], ["k"], ["g"], width=1 << 38).collect()}
+    for r in numbered.collect():
+        own = sorted(k for g, k in rows if g == r.g)
+        assert own[r.no - 1] == r.k and after[r.g, r.k] == (own[r.no] if r.no < len(own) else None)
+
+
+def test_calls(spark):
+    tried = [("a", 1, False), ("a", 2, False), ("a", 3, True), ("a", 4, True), ("b", 1, False), ("c", 9, True)] + [("d", k, k == 8) for k in range(9)]
+    got = {tuple(r) for r in clients.calls(spark.createDataFrame(tried, "k string, n int, ok boolean"), "k", "n", "ok").collect()}
+    assert got == {("a", 3, 3, 3, False), ("a", 4, 1, 0, False), ("b", 1, 1, 0, True), ("c", 9, 1, 0, False), ("d", 8, 9, 121, True)}

@@ -1,14 +1,15 @@
+import random
 from difflib import SequenceMatcher
 
 from claimgraph.operators import evidence, matching
 
 FACTS = [
-    (1, "Delhivery Limited", "U63090DL2011PLC221234", "total_revenue"),
-    (2, "Delhivery Ltd.", None, "employee_headcount"),
-    (3, "Zomato Limited", None, "warehouse_count"),
-    (4, "Reserve Bank of India", "RBI001", "repo_rate"),
-    (5, "Some Other Company", None, "total_revenue_reported"),
-    (6, "Delhivery", "L63090DL2011PLC221234", "profit_from_sale"),
+    (1, "Kestrel Harbour Limited", "U10203MH1998PLC004455", "dock_length"),
+    (2, "Kestrel Harbour Ltd.", None, "crew_size"),
+    (3, "Plover Mills Limited", None, "spindle_count"),
+    (4, "Bureau of Tides", "TIDE77", "spring_range"),
+    (5, "Unrelated Works", None, "dock_length_planned"),
+    (6, "Kestrel Harbour", "L10203MH1998PLC004455", "berth_fees"),
 ]
 
 
@@ -19,14 +20,46 @@ def test_candidates(spark):
 
 
 def test_fuzzy_names_lose_none(spark):
-    names = ["acme", "acmee", "amce", "ab", "ba", "abc", "zomato", "zomatoo", "tide", "diet", "x", "x y"]
+    names = ["acme", "acmee", "amce", "ab", "ba", "abc", "plover", "ploverr", "tide", "diet", "x", "x y"]
     f = spark.createDataFrame([(i, n, None, "") for i, n in enumerate(names)], "id long, entity_name string, entity_id string, attribute string")
     p = matching.prepared(f)
     got = {(r.a, r.b) for r in matching.similar_names(p, p).collect()}
     assert got == {(a, b) for a in names for b in names if SequenceMatcher(None, a, b).ratio() >= 0.8}
 
 
+def test_links_of_all_criteria_against_pairs(spark):
+    """Every pair of facts that any criterion joins is linked by its classes, and none else."""
+    rng = random.Random(2)
+    words = ["north", "south", "mill", "dock", "pier", "works"]
+    rows = [(i, " ".join(rng.choices(words, k=2)), rng.choice([None, "a1", "A2 "]), "_".join(rng.choices(words, k=2))) for i in range(40)]
+    f = spark.createDataFrame(rows, "id long, entity_name string, entity_id string, attribute string")
+    links = {tuple(r)[:3] for r in matching.candidate_links(f, f).collect()}
+    classes = lambda r: ((r[2] or "").strip().upper() or None, " ".join(sorted(set(r[3].split("_")))), r[1])
+    want = set()
+    for x in rows:
+        for y in rows:
+            a, b = classes(x), classes(y)
+            want |= {(1, a[0], b[0])} if a[0] and a[0] == b[0] else set()
+            want |= {(2, a[1], b[1])} if set(a[1].split()) & set(b[1].split()) else set()
+            want |= {(3, a[2], b[2])} if SequenceMatcher(None, a[2], b[2]).ratio() >= 0.8 else set()
+    assert links == want
+
+
 def test_evidence(spark):
-    pages = spark.createDataFrame([(1, 5, "alpha beta\ngamma"), (1, 6, "beta gamma")], "key long, page_number int, text string")
-    quotes = spark.createDataFrame([(1, 1, "beta gamma"), (2, 1, "alpha  beta"), (3, 1, "nowhere")], "quote_id long, key long, quote string")
-    assert {tuple(r) for r in evidence.locate(quotes, pages).collect()} == {(1, 6, 0), (2, 5, 0), (3, 5, -1)}
+    pages = spark.createDataFrame([(1, 5, "alpha beta\ngamma a \\E(b"), (1, 6, "beta gamma")], "key long, page_number int, text string")
+    quotes = spark.createDataFrame([(1, 1, "beta gamma"), (2, 1, "alpha  beta"), (3, 1, "nowhere"), (4, 1, "a  \\E(b"), (5, 1, "a \\E(c"), (6, 1, "")], "quote_id long, key long, quote string")
+    assert {tuple(r) for r in evidence.locate(quotes, pages).collect()} == {(1, 6, 0), (2, 5, 0), (3, 5, -1), (4, 5, 17), (5, 5, -1), (6, 5, -1)}
+
+
+def test_facts_are_sought_in_their_sections(spark):
+    sections = [(1, 0, "One", 0), (1, 1, "Two", 0), (1, 2, "Two", 0), (1, 3, "Three", 1), (1, 4, "Two", 1)]
+    texts = {0: ["zero", "the quote"], 1: ["the  quote"], 2: ["no", "the quote"], 3: ["x the quote"], 4: ["last"]}
+    pages = [(1, s, k, 10 * s + k, t) for s, parts in texts.items() for k, t in enumerate(parts)]
+    facts = [(1, 1, 0, "One", "the quote"), (2, 1, 0, "Two", "the quote"), (3, 1, 0, None, "the quote"), (4, 1, 0, "Three", "no"), (5, 1, 1, "Two", "the quote"), (6, 1, 1, "Nine", "the quote")]
+    found = evidence.locate_facts(
+        spark.createDataFrame(facts, "fact_id long, doc long, batch int, section_path string, quote string"),
+        spark.createDataFrame(sections, "doc long, section_no int, section_path string, batch int"),
+        spark.createDataFrame(pages, "doc long, section_no int, page_no int, page_number int, text string"),
+    )
+    # the last "Two" is in batch 1: for batch 0 that name leads to all its sections
+    assert {tuple(r) for r in found.collect()} == {(1, "One", 1, 4 - 4), (2, "One", 1, 0), (3, "One", 1, 0), (4, "Two", 20, 0), (5, "Two", 40, -1), (6, "Three", 30, 2)}

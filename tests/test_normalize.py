@@ -1,26 +1,30 @@
+import datetime
+
 import pytest
 from pyspark.sql import functions as F
 
+from claimgraph.functions import dates
 from claimgraph.functions import normalize as N
 
 QUANTITIES = [
-    ("81,415.38", "Rs Million", 81415.38 * 1e6),
-    ("(1,234.5)", None, -1234.5),
-    ("5", "₹ Cr", 5e7),
-    ("2.5", "Lakh", 2.5e5),
-    ("3", "Lac", 3e5),
-    ("1", "Bn", 1e9),
-    ("8142cr", None, 8142e7),
-    ("6.5", "per cent", 6.5),
-    ("6.541", "per cent", 6.54),
-    ("81,415.389", "Rs Million", 81415.38 * 1e6),
-    ("Rs. 298.50", None, None),
-    ("Rs 298.50", None, 298.5),
-    ("March 31, 2024", None, 312024.0),
-    ("(1,234.5) Cr", None, 1234.5e7),
-    ("(-5)", None, -5.0),
-    ("1.2.3", None, None),
-    ("not a number", None, None),
+    ("52,417.09", "Rs Million", 52417.09 * 1e6),
+    ("(2,718.4)", None, -2718.4),
+    ("7", "\u20b9 Cr", 7e7),
+    ("4.5", "Lakh", 4.5e5),
+    ("9", "Lac", 9e5),
+    ("2", "Bn", 2e9),
+    ("611cr", None, 611e7),
+    ("12 million", "Cr", 12e6),
+    ("8.25", "per cent", 8.25),
+    ("8.257", "per cent", 8.25),
+    ("52,417.093", "Rs Million", 52417.09 * 1e6),
+    ("Rs. 7.50", None, None),
+    ("Rs 7.50", None, 7.5),
+    ("June 30, 2021", None, 302021.0),
+    ("(2,718.4) Cr", None, 2718.4e7),
+    ("(-6)", None, -6.0),
+    ("3.1.4", None, None),
+    ("nothing here", None, None),
     ("", None, None),
     (None, None, None),
 ]
@@ -39,6 +43,14 @@ def test_fiscal_years(spark):
 
 
 def test_identifiers_and_names(spark):
-    row = spark.sql("SELECT '  u63090dl2011plc221234 ' AS a, 'din 01173669' AS b, 'Delhivery Limited' AS c, 'Co-op Bank' AS d, 'revenue_from_operations' AS e")
+    row = spark.sql("SELECT '  u10203mh1998plc004455 ' AS a, 'ref 0042' AS b, 'Kestrel Harbour Limited' AS c, 'Co-op Store' AS d, 'length_of_the_pier' AS e")
     got = row.select(N.identifier(F.col("a")), N.identifier(F.col("b")), N.entity_name(F.col("c")), N.entity_name(F.col("d")), N.attribute_tokens(F.col("e"))).first()
-    assert tuple(got) == ("63090DL2011PLC221234", "DIN 01173669", "delhivery", "op bank", ["revenue", "operations"])
+    assert tuple(got) == ("10203MH1998PLC004455", "REF 0042", "kestrel harbour", "op store", ["length", "pier"])
+
+
+def test_dates(spark):
+    """Missing parts are those of the reference date, never of the day of the run."""
+    wanted = {"3 May 2019": "2019-05-03", "31 June 2019": None, "2019-05-03": "2019-03-05", "2019-05-23": "2019-05-23", "closed on 4th of July, 2015.": "2015-07-04", "2018": "2018-02-10", "3 May 9999": None, "no day": None, "": None, "May": "2011-05-10"}
+    df = spark.createDataFrame([(k,) for k in wanted], "x string").coalesce(1)
+    got = df.select("x", dates.point_in_time(F.col("x"), datetime.date(2011, 2, 10))).collect()
+    assert {r[0]: r[1] for r in got} == wanted

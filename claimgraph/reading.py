@@ -236,11 +236,15 @@ def prompt_blocks(spark, sf_dir):
     return prompts.section_blocks(turns, ["conv_id"], "turn")
 
 
-@query(f"""SELECT doc_id, item_no, lower(regexp_replace(trim(regexp_extract(q, '{extract.RULE}', 1)), '[ -]+', '_', 'g')) AS attribute, regexp_extract(q, '{extract.RULE}', 2) AS raw_value, q AS verbatim_quote
-FROM (SELECT doc_id, unnest(range(0, len(m)))::INTEGER AS item_no, unnest(m) AS q FROM (SELECT doc_id, regexp_extract_all(text, '{extract.RULE}') AS m FROM documents))""")
+@query(f"""WITH {_FACTS}, t AS (SELECT id, label || ': revenue from operations was ' || raw_value || CASE WHEN unit = 'Lakh' THEN ' Lakh' ELSE '' END || '. Customers of 3 or more are ' || entity_scope AS text FROM facts)
+SELECT id, item_no, lower(regexp_replace(trim(regexp_extract(q, '{extract.RULE}', 1)), '[ -]+', '_', 'g')) AS attribute, regexp_extract(q, '{extract.RULE}', 2) AS raw_value, nullif(regexp_extract(q, '{extract.RULE}', 3), '') AS unit, q AS verbatim_quote
+FROM (SELECT id, unnest(range(0, len(m)))::INTEGER AS item_no, unnest(m) AS q FROM (SELECT id, regexp_extract_all(text, '{extract.RULE}') AS m FROM t))""")
 def extract_facts(spark, sf_dir):
-    docs = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), F.lit("all").alias("section_path"), "text", F.col("source").alias("entity_name"))
-    return extract.facts(docs).select(F.col("doc").alias("doc_id"), "item_no", "attribute", "raw_value", "verbatim_quote")
+    """The stand-in for a model reads sections that state a ledger's figures in words."""
+    f = ledgers.ledger_facts(spark, sf_dir)
+    text = F.concat("label", F.lit(": revenue from operations was "), "raw_value", F.when(F.col("unit") == "Lakh", " Lakh").otherwise(""), F.lit(". Customers of 3 or more are "), "entity_scope")
+    found = extract.facts(f.select(F.col("id").alias("doc"), F.col("label").alias("section_path"), text.alias("text"), "entity_name"))
+    return found.select(F.col("doc").alias("id"), "item_no", "attribute", "raw_value", "unit", "verbatim_quote")
 
 
 _SCOPED = f"""sc AS (SELECT id, entity_name, CASE WHEN o_custkey % 7 = 0 THEN '' ELSE entity_id END AS entity_id, 'revenue' AS attribute, raw_value, CASE WHEN o_custkey % 5 = 0 THEN NULL ELSE unit END AS unit,

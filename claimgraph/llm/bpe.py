@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import base64
 import codecs
+import gc
 import re
 from array import array
 from collections.abc import Iterator
@@ -22,8 +23,9 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark import SparkFiles
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from claimgraph.llm.common import no_clash, small_batches, table
 
@@ -32,6 +34,7 @@ _CACHE = 500_000
 _STATES = 240_000
 _NEVER = 1 << 60
 _END = -2
+_ESCAPED = re.compile("[\udc80-\udcff]")
 _NO_TOKEN, _NO_CONTEXT = (1 << 32) - 1, (1 << 32) - 2
 
 
@@ -43,8 +46,9 @@ def read_ranks(path: str) -> dict[bytes, int]:
 class Transducer:
     """Of one vocabulary. encode(piece) gives the ids of one match of the pattern."""
 
-    def __init__(self, ranks: dict[bytes, int]) -> None:
+    def __init__(self, ranks: dict[bytes, int], states: int | None = None) -> None:
         self.ranks = ranks
+        self.most = states or _STATES
         self.longest = max(map(len, ranks), default=1)
         if self.longest > 255:
             raise ValueError("tokens of more than 255 bytes")
@@ -180,7 +184,7 @@ class Transducer:
         return node[_END]
 
     def encode(self, piece: bytes) -> list[int]:
-        if len(self.nodes) > _STATES:
+        if len(self.nodes) > self.most:
             self.reset()
         node, out = self.start, []
         for byte in piece:
@@ -192,18 +196,22 @@ class Transducer:
 
 
 class Recent(dict):
-    """What make gave lately, up to a number of keys; then it begins anew."""
+    """What make gave lately. Once it holds half of a number of keys it begins anew, and
+    what is asked for again comes over from what it held before: frequent keys stay."""
 
-    __slots__ = ("make", "most")
+    __slots__ = ("make", "half", "before")
 
     def __init__(self, make, most: int) -> None:
-        self.make, self.most = make, most
+        self.make, self.half, self.before = make, max(1, most // 2), {}
 
     def __missing__(self, key: str) -> bytes:
-        got = self.make(key)
-        if len(self) >= self.most:
-            self.clear()
+        got = self.before.get(key)
+        if got is None:
+            got = self.make(key)
         if len(key) < 40:
+            if len(self) >= self.half:
+                self.before = dict(self)
+                self.clear()
             self[key] = got
         return got
 
@@ -213,13 +221,14 @@ class Tokenizer:
     packed numbers, in a table of bounded size. A run may be taken by itself only if no
     white space stands beside the space before it; other texts are matched whole."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str) -> None:
-        self.transducer = Transducer(ranks)
+    def __init__(self, ranks: dict[bytes, int], pattern: str, words: int | None = None, states: int | None = None) -> None:
+        words = words or _CACHE
+        self.transducer = Transducer(ranks, states)
         self.pattern = regex.compile(pattern)
         self.together = regex.compile(r"^ | $|[\s\x00-\x1f\x7f-\xa0] | [\s\x00-\x1f\x7f-\xa0]")
         self.plain = re.compile("[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+")  # one match of any usual pattern
-        self.pieces = Recent(self.piece, _CACHE // 3)
-        self.runs = Recent(self.run, _CACHE)
+        self.pieces = Recent(self.piece, words // 3)
+        self.runs = Recent(self.run, words)
         self.one_match = [len(self.pattern.findall(x)) for x in (" aZ\xc0\xff", " \xd6\xd8\xf6\xf8m")] == [1, 1]
 
     def piece(self, piece: str) -> bytes:
@@ -242,7 +251,8 @@ class Tokenizer:
 
 class Utf8Stream:
     """Bytes in pieces of any length to text: an incremental UTF-8 state machine holds the
-    bytes of a code point that has not ended. Malformed bytes become U+FFFD."""
+    bytes of a code point that has not ended. Malformed bytes become U+FFFD, or with the
+    errors surrogateescape lone surrogates that encode to the same bytes again."""
 
     def __init__(self, errors: str = "replace") -> None:
         self.machine = codecs.getincrementaldecoder("utf-8")(errors)
@@ -254,9 +264,9 @@ class Utf8Stream:
         return self.machine.decode(b"", True)
 
 
-def decode_stream(ids: list[int], tokens: list[bytes], step: int = 4096) -> Iterator[str]:
+def decode_stream(ids: list[int], tokens: list[bytes], step: int = 4096, errors: str = "replace") -> Iterator[str]:
     """The text of ids as it becomes known."""
-    stream = Utf8Stream()
+    stream = Utf8Stream(errors)
     for at in range(0, len(ids), step):
         yield stream.feed(b"".join([tokens[i] for i in ids[at : at + step]]))
     yield stream.close()
@@ -288,22 +298,23 @@ def _ids(tokenizer: Tokenizer, texts: pa.Array) -> pa.Array:
 
 
 def _decoded(tokens: list[bytes], ids: pa.Array) -> list[pa.Array]:
-    """The bytes of each row's ids, and whether they are whole UTF-8."""
+    """The bytes of each row's ids, and whether they are whole UTF-8: a decoded stream's
+    text as bytes again."""
     data, valid = [], []
     values, ends = ids.values.to_numpy(), ids.offsets.to_numpy()
     for at, end in zip(ends, ends[1:]):
-        data.append(b"".join(map(tokens.__getitem__, values[at:end].tolist())))
-        stream = Utf8Stream("strict")
-        try:
-            for at in range(0, len(data[-1]), 65536):
-                stream.feed(data[-1][at : at + 65536])
-            stream.close()
-            valid.append(True)
-        except UnicodeDecodeError:
-            valid.append(False)
+        text = "".join(decode_stream(values[at:end].tolist(), tokens, errors="surrogateescape"))
+        data.append(text.encode("utf-8", "surrogateescape"))
+        valid.append(text.isascii() or not _ESCAPED.search(text))
     return [pa.array(data, pa.binary()), pa.array(valid, pa.bool_())]
 
 
+def _with_parts(docs: DataFrame, parts: Column) -> DataFrame:
+    """Adds the fields of a struct, under a name in between that no column has."""
+    name = "_" + "_".join(docs.columns)
+    return docs.select("*", parts.alias(name)).select(*[F.col(f"`{c}`") for c in docs.columns], F.col(f"`{name}`.*"))
+
+
 def encode(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
     """Adds ids array<int> for the column text: each match of pattern by itself, without
     special tokens. Null and empty texts have no ids. Repeated rows stay; an input column
@@ -326,7 +337,7 @@ def decode(encoded: DataFrame, vocabulary: str) -> DataFrame:
     def texts(parts: pa.Array) -> pa.Array:
         return pa.StructArray.from_arrays(_decoded(_once("decode", name, _by_id), parts), names=["decoded", "valid_utf8"])
 
-    return no_clash(encoded, "decoded", "valid_utf8").withColumn("t", texts("ids")).select("*", "t.decoded", "t.valid_utf8").drop("t")
+    return _with_parts(no_clash(encoded, "decoded", "valid_utf8"), texts("ids"))
 
 
 def round_trip(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
@@ -340,8 +351,30 @@ def round_trip(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
         ids = _ids(_once("encode", name, lambda ranks: Tokenizer(ranks, pattern)), parts)
         return pa.StructArray.from_arrays([ids, *_decoded(_once("decode", name, _by_id), ids)], names=["ids", "decoded", "valid_utf8"])
 
-    docs = no_clash(docs, "t", "ids", "decoded", "valid_utf8")
-    return docs.withColumn("t", both(F.col("text").cast("string"))).select("*", "t.*").drop("t")
+    return _with_parts(no_clash(docs, "ids", "decoded", "valid_utf8"), both(F.col("text").cast("string")))
+
+
+def encode_checked(docs: DataFrame, vocabulary: str, pattern: str, words: int = 100_000, states: int = 100_000) -> DataFrame:
+    """Adds ids, and round_trip: whether they decode to the text's bytes. As round_trip(),
+    but for jobs whose other steps hold memory: decoded bytes stay in the worker, which
+    keeps fewer words and states (that changes no ids) and none beyond a task."""
+    name = _vocabulary(docs.sparkSession, vocabulary)
+    small_batches(docs.sparkSession)
+    docs = no_clash(docs, "ids", "round_trip").withColumn("text", F.col("text").cast("string"))
+    schema = T.StructType([*docs.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("round_trip", T.BooleanType())])
+
+    def both(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ranks = read_ranks(SparkFiles.get(name))
+        tokenizer, tokens = Tokenizer(ranks, pattern, words, states), _by_id(ranks)
+        for b in batches:
+            texts = b.column("text")
+            ids = _ids(tokenizer, texts)
+            same = [d.as_py() == (t.as_py() or "").encode("utf-8", "surrogatepass") for d, t in zip(_decoded(tokens, ids)[0], texts)]
+            yield pa.RecordBatch.from_arrays([*b.columns, ids, pa.array(same, pa.bool_())], names=[*b.schema.names, "ids", "round_trip"])
+        del tokenizer
+        gc.collect()  # states refer to each other
+
+    return docs.mapInArrow(both, schema)
 
 
 def public_vocabulary() -> tuple[str, str]:

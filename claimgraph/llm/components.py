@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from claimgraph.llm.common import cut
+from claimgraph.llm.common import cut, forget
 
 
 def _largest_first(pairs: DataFrame) -> DataFrame:
@@ -36,4 +36,5 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         if mark == seen or not mark[0]:
             return state.select(F.col("a").alias("node"), F.col("b").alias("component"))
         seen = mark
-        state = cut(_towards_smallest(state), name)
+        before, state = state, cut(_towards_smallest(state), name)
+        forget(before)

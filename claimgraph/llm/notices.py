@@ -15,6 +15,7 @@ from collections import Counter
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from claimgraph.llm.common import cut, no_clash, table
@@ -88,22 +89,16 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, min_dice: flo
     docs = no_clash(docs, "row").select("doc_id", F.monotonically_increasing_id().alias("row"), F.col("text").cast("string").alias("text"))
     # written once, as three kinds of units are read from it
     docs = cut(docs.filter(F.lower("text").rlike(telling)), "license-texts")
-    lines = docs.withColumn("lines", F.split("text", "\n", -1)).withColumn("n", F.expr("transform(lines, x -> size(filter(split(trim(regexp_replace(lower(x), '[^0-9a-z]+', ' ')), ' '), w -> w <> '')))"))
-    hit = lines.withColumn("hit", F.transform("lines", lambda x: F.lower(x).rlike(in_runs)))
-    # ends of the runs from each start: words are counted on until run_words are passed
-    starts = hit.filter("size(lines) > 1").select("*", F.posexplode("n").alias("i", "n_first")).filter("n_first > 0")
-    ends = starts.withColumn(
-        "walk",
-        F.expr(
-            f"""aggregate(slice(n, i + 1, size(n) - i), named_struct('words', 0, 'at', i, 'hit', false, 'ends', cast(array() as array<int>)),
-            (s, x) -> if(s.words > {run_words}, s, named_struct('words', s.words + x, 'at', s.at + 1, 'hit', s.hit or hit[s.at],
-            'ends', if(s.words + x <= {run_words} and x > 0 and (s.hit or hit[s.at]) and s.at > i, array_append(s.ends, s.at), s.ends)))).ends"""
-        ),
-    )
-    run = ends.select("doc_id", "row", "lines", F.col("i"), F.explode("walk").alias("j")).select(
-        "doc_id", "row", (F.col("i") + 1).alias("first"), (F.col("j") + 1).alias("last"), F.expr("array_join(slice(lines, i + 1, j - i + 1), ' ')").alias("x")
-    )
-    single = lines.filter("size(lines) > 1").select("doc_id", "row", F.posexplode("lines").alias("k", "x")).filter(F.lower("x").rlike(telling))
+    lines = docs.withColumn("lines", F.split("text", "\n", -1)).filter("size(lines) > 1").select("doc_id", "row", F.posexplode("lines").alias("k", "x"))
+    # a run's lines have words; those from a start on lie within run_words of its first word
+    worded = lines.withColumn("n", F.size(F.filter(_normal_words(F.col("x")), lambda w: w != ""))).filter("n > 0")
+    upto = worded.withColumn("hit", F.lower("x").rlike(in_runs)).withColumn("upto", F.sum("n").over(W.partitionBy("row").orderBy("k")))
+    ahead = F.collect_list(F.struct("k", "upto", "hit", "x")).over(W.partitionBy("row").orderBy("upto").rangeBetween(0, run_words))
+    starts = upto.select("doc_id", "row", F.col("k").alias("i"), (F.col("upto") - F.col("n") + run_words).alias("most"), ahead.alias("ahead"))
+    starts = starts.withColumn("ahead", F.expr("filter(ahead, y -> y.upto <= most)")).withColumn("told", F.expr("array_position(transform(ahead, y -> y.hit), true)"))
+    starts = starts.filter("told > 0 and size(ahead) > 1").withColumn("len", F.explode(F.expr("sequence(greatest(2, cast(told as int)), greatest(size(ahead), cast(told as int), 2))"))).filter("len <= size(ahead)")
+    run = starts.select("doc_id", "row", (F.col("i") + 1).alias("first"), F.expr("ahead[len - 1].k + 1").alias("last"), F.expr("array_join(transform(slice(ahead, 1, len), y -> y.x), ' ')").alias("x"))
+    single = lines.filter(F.lower("x").rlike(telling))
     single = single.select("doc_id", "row", (F.col("k") + 1).alias("first"), (F.col("k") + 1).alias("last"), "x")
     whole = docs.select("doc_id", "row", F.lit(0).alias("first"), F.lit(0).alias("last"), F.col("text").alias("x"))
     units = whole.unionByName(single).unionByName(run).select("doc_id", "row", "first", "last", _normal_words(F.col("x")).alias("w")).filter("size(w) > 1")

@@ -6,9 +6,7 @@ _MODULES = (line_dedup, licenses, notices, mixing, topk, simhash, embedding_dedu
 
 
 def queries() -> dict:
-    import corpus_pipeline
-
-    return {name: q for m in _MODULES for name, q in m.QUERIES.items()} | {"pipeline": corpus_pipeline.run}
+    return {name: q for m in _MODULES for name, q in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict:

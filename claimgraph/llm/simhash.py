@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimgraph.llm.common import block_pairs, cut, no_clash, table
+from claimgraph.llm.common import block_pairs, cut, no_clash, small_batches, table
 from claimgraph.llm.components import components
 
 RADIUS = 3
@@ -52,6 +52,7 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """docs(doc_id, text, ...) -> (doc_id, fp), one row for each row."""
+    small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_fingerprints, "doc_id long, fp long")
 
 

@@ -9,6 +9,7 @@ from difflib import SequenceMatcher
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -37,17 +38,33 @@ def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)], dtype=float)
 
 
+def _name_grams(df: DataFrame, name: str) -> DataFrame:
+    """Distinct names with their pairs of adjacent characters, the n-th of equal ones marked
+    with n; names of three characters or fewer have their single characters too."""
+    names = df.select(F.col("name").alias(name)).filter("name <> ''").distinct()
+    pairs = F.expr(f"transform(sequence(1, greatest(length({name}) - 1, 1)), i -> substring({name}, i, 2))")
+    marked = F.expr("transform(pairs, (g, i) -> concat(g, size(filter(slice(pairs, 1, i + 1), x -> x = g))))")
+    singles = F.when(F.length(name) <= 3, F.split(name, "")).otherwise(F.array().cast("array<string>"))
+    return names.select(name, pairs.alias("pairs")).select(name, F.explode(F.array_distinct(F.concat(marked, singles))).alias("gram"))
+
+
 def similar_names(new: DataFrame, old: DataFrame) -> DataFrame:
-    """(a, b, ratio) of distinct names. Names of six characters or more in all must share
-    two adjacent ones to reach 0.8, and lengths within a factor of 1.5; shorter ones share
-    a single character at least."""
-    def grams(df: DataFrame, name: str) -> DataFrame:
-        names = df.select(F.col("name").alias(name)).filter("name <> ''").distinct()
-        pairs = F.expr(f"transform(sequence(1, greatest(length({name}) - 1, 1)), i -> substring({name}, i, 2))")
-        singles = F.when(F.length(name) <= 3, F.split(name, "")).otherwise(F.array().cast("array<string>"))
-        return names.select(name, F.explode(F.array_distinct(F.concat(pairs, singles))).alias("gram"))
-
-    near = grams(new, "a").join(grams(old, "b"), "gram").filter("3 * least(length(a), length(b)) >= 2 * greatest(length(a), length(b))").select("a", "b").distinct()
+    """(a, b, ratio) of distinct names.
+
+    A ratio of 0.8 needs lengths within a factor of 1.5, and 0.4 of both lengths matched in
+    blocks that unmatched characters divide: 0.2 of both lengths, less one, are equal pairs
+    of adjacent characters, at least one from six characters on. Of a name of n characters
+    with n - 1 pairs, n / 3 - 1 are therefore met, and the rarest ones but so many suffice to
+    find it: frequent pairs are not joined on. Shorter names share a single character."""
+    a, b = _name_grams(new, "a"), _name_grams(old, "b")
+    often = a.select("gram").unionByName(b.select("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+
+    def rarest(grams: DataFrame, name: str) -> DataFrame:
+        place = F.row_number().over(W.partitionBy(name).orderBy("n", "gram"))
+        met = F.greatest(F.ceil(F.length(name) / 3.0 - 1), F.lit(1))
+        return grams.join(often, "gram").withColumn("place", place).filter((F.length(name) <= 3) | (F.col("place") <= F.length(name) - met)).select(name, "gram")
+
+    near = rarest(a, "a").join(rarest(b, "b"), "gram").filter("3 * least(length(a), length(b)) >= 2 * greatest(length(a), length(b))").select("a", "b").distinct()
     return near.withColumn("ratio", ratio("a", "b")).filter(F.col("ratio") >= THRESHOLD)
 
 

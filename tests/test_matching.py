@@ -27,6 +27,20 @@ def test_fuzzy_names_lose_none(spark):
     assert got == {(a, b) for a in names for b in names if SequenceMatcher(None, a, b).ratio() >= 0.8}
 
 
+def test_fuzzy_names_of_all_kinds(spark):
+    """Random names and names with some characters changed, frequent pairs and repeats too."""
+    rng = random.Random(9)
+    names = {"".join(rng.choices("ab c", k=rng.randint(1, 14))).strip() for _ in range(150)} | {f"works number {k:05}" for k in range(40)}
+    for n in list(names):
+        for _ in range(2):
+            k = rng.randrange(len(n) + 1)
+            names.add((n[:k] + rng.choice(["", "x", "ab"]) + n[k + rng.randint(0, 1) :]).strip())
+    names = sorted(n for n in names if n)
+    p = spark.createDataFrame([(n,) for n in names], "name string")
+    got = {(r.a, r.b) for r in matching.similar_names(p, p).collect()}
+    assert got == {(a, b) for a in names for b in names if SequenceMatcher(None, a, b).ratio() >= 0.8}
+
+
 def test_links_of_all_criteria_against_pairs(spark):
     """Every pair of facts that any criterion joins is linked by its classes, and none else."""
     rng = random.Random(2)

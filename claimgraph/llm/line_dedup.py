@@ -1,14 +1,18 @@
-"""Line dedup: the blocks of lines that a later document shares with any earlier one.
+"""Line dedup by pairwise alignment: the blocks of lines that a later document shares with
+any earlier one.
 
 A block is a run of consecutive lines of min_chars characters or more in sum that stands in
 both documents. Every line of such a block lies in a run within it that cannot lose its
 last line (from some start on) or its first line (up to some end) without falling below
-min_chars: at most two runs a line. The first document that holds a run's hash decides, so
-one aggregation and one join find what alignments with all earlier documents would delete,
-in whatever order and however often the blocks stand, and however many documents hold them.
-
-With a bound (rare) the first holder of a line alone is aligned, by patience diff, and
-lines held more often are deleted singly: a part of the above.
+min_chars: at most two runs a line. Documents that share a run's hash overlap, and a
+document is paired with the first holder of each of its runs, however many hold it: pairs
+grow with the shared runs, not with the square of a group.
+
+The shared runs of a pair are aligned by patience diff, and the lines that they cover are
+the common blocks. Runs that the alignment passes over stand elsewhere in the earlier
+document, or more often than there: they are blocks that moved, and go too unless asked
+otherwise. A block's runs all have first holders, so that nothing is lost by one partner a
+run: every block that any earlier document holds is covered.
 """
 
 from __future__ import annotations
@@ -16,6 +20,7 @@ from __future__ import annotations
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
@@ -25,13 +30,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from claimgraph.llm.common import cut, no_clash, table
+from claimgraph.llm.common import cut, no_clash, small_batches, table
 
 MIN_CHARS = 30
 _BASE = 0x9E3779B97F4A7C15 | 3
 _RUN_LINES = 1 << 16  # runs a batch
-_LINE = tuple[int, int, int, bool]  # position, hash, length, whether the document's last
-
 
 def _rising(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """The longest chain of pairs, sorted by their first, that rises in the second too."""
@@ -75,53 +78,6 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
-def _with_gaps(lines: list[_LINE], side: str) -> list[tuple]:
-    """Lines that no other document holds were left out: where some stood, one value that
-    equals nothing stands for them."""
-    out: list[tuple] = []
-    for x in lines:
-        if x[0] != (out[-1][0] + 1 if out else 0):
-            out.append((x[0] - 1, (side, x[0]), 0))
-        out.append(x)
-    return out if not out or out[-1][3] else [*out, (out[-1][0] + 1, (side, -1), 0)]
-
-
-def common_blocks(later: list[_LINE], earlier: list[_LINE], min_chars: int) -> list[int]:
-    """Positions in the later document of the lines in aligned blocks of min_chars or more.
-    A block's lines stand next to each other in both documents."""
-    later, earlier = _with_gaps(later, "later"), _with_gaps(earlier, "earlier")
-    found, block, chars, last = [], [], 0, None
-    for i, j in [*patience([x[1] for x in later], [x[1] for x in earlier]), (None, None)]:
-        here = None if i is None else (later[i][0], earlier[j][0])
-        if here is None or last is None or here != (last[0] + 1, last[1] + 1):
-            found += block if chars >= min_chars else []
-            block, chars = [], 0
-        if here is not None:
-            block.append(here[0])
-            chars += later[i][2]
-        last = here
-    return found
-
-
-def _lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, version, pos, h, n, end) of every line; a line counts without spaces around
-    it. n is its length, end whether it is the document's last."""
-    each = docs.withColumn("lines", F.split("text", "\n", -1)).select("doc_id", "version", F.size("lines").alias("of"), F.posexplode("lines").alias("pos", "line"))
-    return each.select("doc_id", "version", "pos", F.xxhash64(F.trim("line")).alias("h"), F.length(F.trim("line")).alias("n"), (F.col("pos") == F.col("of") - 1).alias("end"))
-
-
-def _aligned(min_chars: int):
-    def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            removed = []
-            for later, earlier in zip(b.column("later").to_pylist(), b.column("earlier").to_pylist()):
-                sides = [sorted((x["pos"], x["h"], x["n"], x["end"]) for x in side) for side in (later, earlier)]
-                removed.append(common_blocks(*sides, min_chars))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("version"), pa.array(removed, pa.list_(pa.int32()))], names=["doc_id", "version", "removed"])
-
-    return align
-
-
 def runs(text: str, min_chars: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(start, end, hash) of the runs of lines, end excluded, that have min_chars characters
     or more but not without their last line, or not without their first."""
@@ -166,50 +122,55 @@ def _runs(min_chars: int):
     return find
 
 
-def _covered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The places that a document's runs cover."""
+def _places(runs: list[tuple[int, int]]) -> list[int]:
+    """The places that runs (start, end) cover."""
+    at, places = 0, []
+    for start, end in sorted(runs):
+        places += range(max(at, start), end)
+        at = max(at, end)
+    return places
+
+
+def aligned(shared: list[tuple[int, int, int]]) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
+    """The shared runs (start, end, place in the earlier document) of one pair, in order of
+    the later one: those that patience diff aligns, and those that moved."""
+    keys = [(place, end - start) for start, end, place in shared]
+    hit = {i for i, _ in patience(keys, sorted(set(keys)))}
+    in_order = [x[:2] for k, x in enumerate(shared) if k in hit]
+    return in_order, [x[:2] for k, x in enumerate(shared) if k not in hit]
+
+
+def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of a document's runs with their first holders: the places of the lines of aligned
+    blocks, and of those of moved ones besides."""
     for b in batches:
-        removed = []
+        removed, moved = [], []
         for found in b.column("found").to_pylist():
-            at, places = 0, []
-            for x in sorted((x["start"], x["end"]) for x in found):
-                places += range(max(at, x[0]), x[1])
-                at = max(at, x[1])
-            removed.append(places)
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("version"), pa.array(removed, pa.list_(pa.int32()))], names=["doc_id", "version", "removed"])
-
-
-def repeated_lines(docs: DataFrame, rare: int | None = None, min_chars: int = MIN_CHARS) -> DataFrame:
-    """docs(doc_id, version, text) -> (doc_id, version, removed array<int>): places of the
-    lines, counted from 0, in blocks that an earlier document holds."""
-    if rare is not None:
-        return _bounded(docs, rare, min_chars)
+            inside: list[tuple[int, int]] = []
+            others: list[tuple[int, int]] = []
+            rows = sorted((x["first"], x["start"], x["end"], x["place"]) for x in found)
+            for _, pair in groupby(rows, key=lambda x: x[0]):
+                for kept, new in zip((inside, others), aligned([x[1:] for x in pair])):
+                    kept += new
+            removed.append(_places(inside))
+            own = set(removed[-1])
+            moved.append([x for x in _places(others) if x not in own])
+        kind = pa.list_(pa.int32())
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("version"), pa.array(removed, kind), pa.array(moved, kind)], names=["doc_id", "version", "removed", "moved"])
+
+
+def repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
+    """docs(doc_id, version, text) -> (doc_id, version, removed array<int>, moved
+    array<int>): places of the lines, counted from 0, in blocks that an earlier document
+    holds in the same order, and of those in blocks that it holds elsewhere."""
+    small_batches(docs.sparkSession)
     found = docs.select("doc_id", "version", "text").mapInArrow(_runs(max(1, min_chars)), "doc_id long, version long, start int, end int, h long")
-    held = found.groupBy("h").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last").drop("last")
+    held = found.groupBy("h").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.max("doc_id").alias("last")).filter("first.doc_id < last")
     # written first: joined from its table, both sides are dealt anew and Spark splits a hot run
-    held = cut(held, "held-runs")
-    later = found.join(held, "h").filter("doc_id > first").select("doc_id", "version", "start", "end")
-    each = later.groupBy("doc_id", "version").agg(F.collect_list(F.struct("start", "end")).alias("found"))
-    return each.mapInArrow(_covered, "doc_id long, version long, removed array<int>")
-
-
-def _bounded(docs: DataFrame, rare: int, min_chars: int) -> DataFrame:
-    """repeated_lines by one partner a line, and by none for lines held more than rare times."""
-    lines = _lines(docs)
-    held = lines.groupBy("h").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("times")).filter("first < last").drop("last")
-    # written first: joined from its table, both sides are dealt anew and Spark splits a hot line
-    held = cut(held, "held-lines")
-    shared = cut(lines.join(held, "h"), "shared-lines")
-    telling = shared.filter((F.col("n") >= min_chars) & (F.col("doc_id") > F.col("first")))
-    common = telling.filter(F.col("times") > rare).select("doc_id", "version", "pos")
-    pairs = telling.filter(F.col("times") <= rare).select("doc_id", "version", "first").distinct()
-    own = shared.groupBy("doc_id", "version").agg(F.collect_list(F.struct("pos", "h", "n", "end")).alias("lines"))
-    own = cut(own, "shared-lines-by-document")
-    earlier = own.select(F.col("doc_id").alias("first"), F.col("lines").alias("earlier"))
-    both = pairs.join(own.withColumnRenamed("lines", "later"), ["doc_id", "version"]).join(earlier, "first")
-    aligned = both.select("doc_id", "version", "later", "earlier").mapInArrow(_aligned(min_chars), "doc_id long, version long, removed array<int>")
-    places = aligned.select("doc_id", "version", F.explode("removed").alias("pos")).unionByName(common)
-    return places.groupBy("doc_id", "version").agg(F.collect_set("pos").alias("removed"))
+    held = cut(held.select("h", F.col("first.doc_id").alias("first"), F.col("first.start").alias("place")), "held-runs")
+    later = found.join(held, "h").filter("doc_id > first").select("doc_id", "version", "first", "place", "start", "end")
+    each = later.groupBy("doc_id", "version").agg(F.collect_list(F.struct("first", "place", "start", "end")).alias("found"))
+    return each.mapInArrow(_aligned, "doc_id long, version long, removed array<int>, moved array<int>")
 
 
 @F.pandas_udf(T.StringType())
@@ -223,33 +184,37 @@ def _without(texts: pd.Series, removed: pd.Series) -> pd.Series:
     return pd.Series([cut_lines(t, r) for t, r in zip(texts, removed)], dtype=object)
 
 
-def dedup_lines(docs: DataFrame, rare: int | None = None, min_chars: int = MIN_CHARS) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, moved: bool = True) -> DataFrame:
     """The rows of docs with text cut to the lines that stay; adds n_lines (of the input;
-    an empty text has one, a null text none) and n_removed.
+    an empty text has one, a null text none), n_removed and n_moved (how many of those stand
+    in blocks that moved; with moved false these stay, and count nowhere).
 
     Null and empty texts lose nothing. Documents are ordered by doc_id; rows that repeat an
     id never lose lines to each other, and rows that repeat id and text fare alike. Rows
-    without an id take no part. Input columns of those two names are replaced. No rows: no
+    without an id take no part. Input columns of those names are replaced. No rows: no
     rows."""
-    docs = no_clash(docs, "n_lines", "n_removed", "removed", "version").withColumn("version", F.xxhash64("text"))
-    removed = repeated_lines(docs.filter("doc_id is not null and text is not null").select(F.col("doc_id").cast("long"), "version", "text"), rare, min_chars)
-    r = removed.select(F.col("doc_id").alias("r_doc_id"), F.col("version").alias("r_version"), "removed")
+    docs = no_clash(docs, "n_lines", "n_removed", "n_moved", "removed", "moved", "version").withColumn("version", F.xxhash64("text"))
+    found = repeated_lines(docs.filter("doc_id is not null and text is not null").select(F.col("doc_id").cast("long"), "version", "text"), min_chars)
+    none = F.array().cast("array<int>")
+    found = found if moved else found.withColumn("moved", none)
+    r = found.select(F.col("doc_id").alias("r_doc_id"), F.col("version").alias("r_version"), F.concat("removed", "moved").alias("removed"), F.size("moved").alias("moved"))
     joined = docs.join(r, (F.col("doc_id") == F.col("r_doc_id")) & (F.col("version") == F.col("r_version")), "left").drop("r_doc_id", "r_version", "version")
     n_lines = F.coalesce(F.size(F.split("text", "\n", -1)), F.lit(0))
     out = joined.withColumn("n_lines", F.when(F.col("text").isNull(), 0).otherwise(n_lines).cast("long"))
     out = out.withColumn("n_removed", F.when(F.col("removed").isNull(), 0).otherwise(F.size("removed")).cast("long"))
-    return out.withColumn("text", _without("text", "removed")).drop("removed")
+    out = out.withColumn("n_moved", F.coalesce("moved", F.lit(0)).cast("long"))
+    return out.withColumn("text", _without("text", "removed")).drop("removed", "moved")
 
 
 def drop_emptied(docs: DataFrame) -> DataFrame:
     """dedup_lines with its columns gone, without the documents of which nothing is left."""
     out = dedup_lines(docs)
-    return out.filter("n_removed = 0 or trim(text) <> ''").drop("n_lines", "n_removed")
+    return out.filter("n_removed = 0 or trim(text) <> ''").drop("n_lines", "n_removed", "n_moved")
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return found.select("doc_id", "n_lines", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+    return found.select("doc_id", "n_lines", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"), "n_moved")
 
 
 QUERIES = {"op1_line_dedup": op1_line_dedup}

@@ -59,18 +59,21 @@ def replicate(docs: DataFrame, weights: DataFrame | None = None, seed: str = SEE
     A null doc_id hashes as the text "null"; rows that repeat an id get the same count;
     null and empty texts are copied like others. Input columns named copy or place are
     replaced. No rows: no rows."""
-    docs = no_clash(docs, "copy", "place", "steps", "rate")
-    steps = cut(poisson_steps(rates(docs, weights, temperature, budget)), "rates").withColumnRenamed("source", "s_source")
+    docs = no_clash(docs, "copy", "place", "steps", "ends", "rate", "u", "whole", "n", "s_source")
+    steps = poisson_steps(rates(docs, weights, temperature, budget)).withColumn("ends", F.expr("filter(steps, (c, i) -> i % 64 = 63)"))
+    steps = cut(steps, "rates").withColumnRenamed("source", "s_source")
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
-    copies = F.expr("size(filter(steps, c -> c <= u))")
+    # steps rise: the last ones of each 64 tell which 64 to count in
+    copies = F.expr("64 * whole + size(filter(slice(steps, 64 * whole + 1, 64), c -> c <= u))")
     drawn = (
         docs.join(steps, F.col("source").eqNullSafe(F.col("s_source")))
         .withColumn("u", uniform(F.lit(seed), F.lit("count"), key))
+        .withColumn("whole", F.expr("size(filter(ends, c -> c <= u))"))
         .withColumn("n", copies)
         .filter("n > 0")
         .withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n"))))
         .withColumn("place", uniform(F.lit(seed), F.lit("place"), key, F.col("copy").cast("string")))
-        .drop("s_source", "steps", "rate", "u", "n")
+        .drop("s_source", "steps", "ends", "rate", "u", "whole", "n")
     )
     return drawn.repartition("place").sortWithinPartitions("place")
 

@@ -2,6 +2,7 @@
 the operators whose own files do not cover them."""
 
 import collections
+import math
 
 import pytest
 from pyspark.sql import functions as F
@@ -29,7 +30,7 @@ def test_licenses(spark):
 def test_mixing(spark):
     """A null source is one of its own, rows that repeat fare alike, empty texts are copied."""
     rows = [(i, "abcd", "s" if i % 2 else None) for i in range(400)] + [(7, "abcd", "s"), (None, "", None), (900, None, "t"), (901, "", "t")]
-    d = clashing(spark.createDataFrame(rows, "doc_id long, text string, source string"), "copy", "place", "rate", "steps")
+    d = clashing(spark.createDataFrame(rows, "doc_id long, text string, source string"), "copy", "place", "rate", "steps", "ends", "whole", "u", "n")
     out = mixing.replicate(d, temperature=1.0, budget=2.0).collect()
     by_source = collections.Counter(r.source for r in out)
     assert abs(by_source["s"] - 402) < 120 and abs(by_source[None] - 402) < 120
@@ -41,6 +42,23 @@ def test_mixing(spark):
     assert mixing.replicate(d.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("rate", [0.3, 7.0, 200.0, 5000.0])
+def test_mixing_counts_are_those_of_the_distribution(spark, rate):
+    """The inverse of the distribution function at each document's number, at any rate."""
+    d = spark.range(150).selectExpr("id AS doc_id", "'a' AS text", "'s' AS source")
+    out = mixing.replicate(d, budget=rate).groupBy("doc_id").count()
+    u = {r.doc_id: r.u for r in d.withColumn("u", mixing.uniform(F.lit(mixing.SEED), F.lit("count"), F.col("doc_id").cast("string"))).collect()}
+    got = {r.doc_id: r["count"] for r in out.collect()}
+    for i, x in u.items():
+        k, total = 0, 0.0
+        while True:
+            total += math.exp(-rate + k * math.log(rate) - math.lgamma(k + 1))
+            if total > x:
+                break
+            k += 1
+        assert abs(got.get(i, 0) - k) <= (0 if rate < 100 else 1), i
+
+
 def test_secrets_clash(spark):
     d = clashing(spark.createDataFrame([(1, "token=abcdef"), (None, None)], "doc_id long, text string"), "base", "spans", "row", "n_live", "document", "value_hash")
     assert sorted((r.doc_id or 0, len(r.base)) for r in secrets.scan(d).collect()) == [(0, 0), (1, 1)]

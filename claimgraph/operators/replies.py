@@ -98,6 +98,14 @@ def facts(found: DataFrame) -> DataFrame:
     return f.select(*found.columns, *texts, scope, number.alias("confidence"), reason.alias("reject_reason"))
 
 
+def with_known(edges: DataFrame, known: DataFrame) -> DataFrame:
+    """Adds known: whether an edge's unordered pair is among the known ones."""
+    lo, hi = F.least("fact_id_a", "fact_id_b"), F.greatest("fact_id_a", "fact_id_b")
+    there = known.select(lo.alias("_lo"), hi.alias("_hi")).distinct().withColumn("known", F.lit(True))
+    joined = edges.withColumn("_lo", lo).withColumn("_hi", hi).join(there, ["_lo", "_hi"], "left")
+    return joined.withColumn("known", F.coalesce("known", F.lit(False))).drop("_lo", "_hi")
+
+
 def new_pairs(edges: DataFrame, known: DataFrame, order: list[str]) -> DataFrame:
     """The first edge of each unordered pair that is not known in either orientation."""
     lo, hi = F.least("fact_id_a", "fact_id_b"), F.greatest("fact_id_a", "fact_id_b")

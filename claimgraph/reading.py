@@ -431,3 +431,45 @@ def looks_like_date(spark, sf_dir):
     k, n = F.col("l_linenumber") % 4, F.col("l_partkey").cast("string")
     text = F.when(F.col("l_returnflag") == "N", n).when(k == 0, F.concat(F.lit("3/4/"), F.lit("2020"))).when(k == 1, F.concat(F.lit("in a declining market "), n)).otherwise(F.concat(F.lit("demand "), n))
     return read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", N.looks_like_date(text).alias("looks"))
+
+
+@query(f"WITH {_FACTS} SELECT id, entity_name FROM facts WHERE contains(lower(entity_name), 'customer 2')")
+def facts_by_attribute(spark, sf_dir):
+    """Both names given: they hold together."""
+    f = ledgers.ledger_facts(spark, sf_dir)
+    return views.facts(f, entity_name="Customer 2", attribute="Revenue_FROM").select("id", "entity_name")
+
+
+@query("""WITH e AS (SELECT o_orderkey, o_custkey % 50 AS a, o_orderkey % 50 AS b FROM orders), k AS (SELECT DISTINCT l_partkey % 50 AS a, l_suppkey % 50 AS b FROM lineitem WHERE l_linenumber = 1)
+SELECT o_orderkey, EXISTS (SELECT 1 FROM k WHERE (k.a = e.a AND k.b = e.b) OR (k.a = e.b AND k.b = e.a)) AS known FROM e""")
+def pairs_known(spark, sf_dir):
+    """Whether a pair is there in either orientation."""
+    pair = lambda a, b: (F.col(a) % 50, F.col(b) % 50)
+    a, b = pair("o_custkey", "o_orderkey")
+    edges = read(spark, sf_dir, "orders").select("o_orderkey", a.alias("fact_id_a"), b.alias("fact_id_b"))
+    a, b = pair("l_partkey", "l_suppkey")
+    known = read(spark, sf_dir, "lineitem").filter("l_linenumber = 1").select(a.alias("fact_id_a"), b.alias("fact_id_b"))
+    return replies.with_known(edges, known).select("o_orderkey", "known")
+
+
+@query("""WITH RECURSIVE s AS (SELECT o_custkey AS doc_id, o_orderkey AS ord, o_orderkey % 9000 + 200 AS size, o_orderkey % 4 = 0 AS is_new FROM orders),
+t AS (SELECT doc_id, coalesce(sum(size) FILTER (is_new), 0) + 2 * greatest(count(*) FILTER (is_new), 1) AS new_size FROM s GROUP BY 1),
+m AS (SELECT s.*, new_size < 25000 AS fits, CASE WHEN new_size < 25000 THEN new_size ELSE 0 END AS base, row_number() OVER (PARTITION BY doc_id, is_new ORDER BY ord) AS turn FROM s JOIN t USING (doc_id)),
+i AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY turn, NOT is_new) AS r FROM m WHERE NOT is_new OR NOT fits),
+w AS (SELECT doc_id, ord, is_new, r, 0 AS chunk, base + size AS used, base FROM i WHERE r = 1
+  UNION ALL SELECT i.doc_id, i.ord, i.is_new, i.r, CASE WHEN w.used + i.size > 25000 THEN w.chunk + 1 ELSE w.chunk END, CASE WHEN w.used + i.size > 25000 THEN i.base + i.size ELSE w.used + i.size END, i.base FROM w JOIN i ON i.doc_id = w.doc_id AND i.r = w.r + 1),
+la AS (SELECT doc_id, max(chunk) AS last FROM w GROUP BY 1),
+a AS (SELECT doc_id, chunk, is_new, ord FROM w UNION ALL SELECT doc_id, unnest(range(0, coalesce(last, 0) + 1)), is_new, ord FROM m LEFT JOIN la USING (doc_id) WHERE is_new AND fits)
+SELECT doc_id, chunk::INTEGER AS chunk, is_new, ord FROM a QUALIFY count(*) OVER (PARTITION BY doc_id, chunk) >= 2""")
+def digest_chunks_default(spark, sf_dir):
+    """At the default budget: a customer's orders as facts, every fourth a new one."""
+    k = F.col("o_orderkey")
+    facts = read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("doc_id"), (k % 4 == 0).alias("is_new"), k.alias("ord"), (k % 9000 + 200).alias("size"))
+    return digests.chunks(facts)
+
+
+@query("SELECT page_id, CASE WHEN length(html) * 20000 > 52428800 THEN 'too large' WHEN page_id % 3 = 0 THEN 'must be a PDF' END AS error FROM pages")
+def upload_gate_default(spark, sf_dir):
+    """At the default limit; here the path tells the type."""
+    path = F.when(F.col("page_id") % 3 == 0, "page.html").otherwise("Page.PDF")
+    return read(spark, sf_dir, "pages").select("page_id", uploads.gate(path, F.lit(None).cast("string"), F.length("html").cast("long") * 20000).alias("error"))

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from claimgraph.llm.common import cut, no_clash, table
+from claimgraph.llm.common import cut, no_clash, small_batches, table
 
 LENGTH = 100
 ANCHOR = 24
@@ -246,10 +246,12 @@ def _window_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 def repeated_spans(docs: DataFrame, few_segments: int = FEW_SEGMENTS, most_segments: int = MOST_SEGMENTS) -> DataFrame:
     """docs(doc_id, bytes) -> (doc_id, begin, end): bytes covered by a string of LENGTH
     bytes that also starts earlier; spans may overlap."""
+    small_batches(docs.sparkSession)
     place = lambda: F.struct("doc_id", "lo")
     found = docs.filter(F.length("bytes") >= LENGTH).select("doc_id", "bytes").mapInArrow(_segments, _SEGMENT)
     often = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("times")).filter("times > 1").select("anchor")
-    again = cut(found.join(often, "anchor"), "segments")
+    # written first: joined from its table, both sides are dealt anew and Spark splits a hot anchor
+    again = cut(found.join(cut(often, "frequent-anchors"), "anchor"), "segments")
     kinds = again.groupBy("anchor", "content", "n").agg(F.min(place()).alias("first"), F.count(F.lit(1)).alias("times"))
     kinds = cut(kinds, "segment-kinds")
     repeats = again.join(kinds.filter("times > 1").drop("times"), ["anchor", "content", "n"]).filter(place() > F.col("first"))
@@ -291,7 +293,7 @@ def _kept(raw: pd.Series, spans: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["kept", "n_spans"])
 
 
-def dedup_substrings(docs: DataFrame) -> DataFrame:
+def dedup_substrings(docs: DataFrame, few_segments: int = FEW_SEGMENTS, most_segments: int = MOST_SEGMENTS) -> DataFrame:
     """docs(doc_id, text, ...) -> (doc_id, n_bytes, n_removed, n_spans, kept binary), one row
     for each row.
 
@@ -299,7 +301,7 @@ def dedup_substrings(docs: DataFrame) -> DataFrame:
     document: their spans are shared, and equal places do not repeat each other. Rows
     without an id lose nothing. Other columns are not read. No rows: no rows."""
     raw = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("bytes"))
-    spans = repeated_spans(raw.filter("doc_id is not null"))
+    spans = repeated_spans(raw.filter("doc_id is not null"), few_segments, most_segments)
     by_doc = spans.groupBy("doc_id").agg(F.collect_set(F.struct("begin", "end")).alias("spans"))
     joined = raw.join(by_doc, "doc_id", "left").withColumn("k", _kept("bytes", "spans"))
     return joined.select("doc_id", F.length("bytes").cast("long").alias("n_bytes"), (F.length("bytes") - F.length("k.kept")).cast("long").alias("n_removed"), F.col("k.n_spans").alias("n_spans"), F.col("k.kept").alias("kept"))

@@ -21,10 +21,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from claimgraph.llm.common import cut, table
+from claimgraph.llm.common import cut, small_batches, table
 
 FEATURES, RIDGE, SEED = 128, 1e-3, 7
-BINS = 500
+BINS, FOLDS = 500, 4
 _CLASSES = [b"abcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b" ", b"\n", b".,;:", b"!?", b"|", b"#$%&*@^~", b"-_=+<>/\\{}[]()", b"'\"`"]
 _CLASS = np.full(256, len(_CLASSES), np.int64)  # what is left: control bytes
 _CLASS[128:] = len(_CLASSES) + 1
@@ -70,6 +70,7 @@ def _stats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def document_statistics(docs: DataFrame) -> DataFrame:
+    small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_stats, "doc_id long, stats array<double>")
 
 
@@ -115,8 +116,9 @@ def isotonic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarr
 
 
 def fit(labelled: DataFrame) -> Model:
-    """labelled(stats array<double>, label 0 or 1). Of every row; only sums and bins of a
-    fixed size come to the driver. Without rows, the model gives 0.5 for everything."""
+    """labelled(stats array<double>, label 0 or 1, fold 0 to FOLDS - 1). Of every row; only
+    sums and bins of a fixed size come to the driver. The calibration sees each fold by the
+    scores of weights fitted without it. Without rows, the model gives 0.5 for everything."""
     each = labelled.select(F.posexplode("stats").alias("i", "x")).groupBy("i").agg(F.avg("x").alias("m"), F.stddev_pop("x").alias("s")).collect()
     model = Model(np.zeros(N_STATS), np.ones(N_STATS), np.zeros(FEATURES + 1), np.array([0.0]), np.array([0.5]))
     if not each:
@@ -126,32 +128,43 @@ def fit(labelled: DataFrame) -> Model:
     upper = np.triu_indices(FEATURES + 1)
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gram, right = np.zeros((FEATURES + 1, FEATURES + 1)), np.zeros(FEATURES + 1)
-        n = 0
+        gram, right = np.zeros((FOLDS, FEATURES + 1, FEATURES + 1)), np.zeros((FOLDS, FEATURES + 1))
+        n = np.zeros(FOLDS, np.int64)
         for b in batches:
-            z = model.features(_matrix(b))
-            gram += z.T @ z
-            right += z.T @ b.column("label").to_numpy().astype(float)
-            n += b.num_rows
-        if n:
-            i, j = np.concatenate([upper[0], np.arange(FEATURES + 1)]), np.concatenate([upper[1], np.full(FEATURES + 1, -1)])
-            yield pa.RecordBatch.from_arrays([pa.array(i, pa.int32()), pa.array(j, pa.int32()), pa.array(np.concatenate([gram[upper], right]))], names=["i", "j", "x"])
-
-    sums = labelled.select("stats", "label").mapInArrow(summed, "i int, j int, x double").groupBy("i", "j").agg(F.sum("x").alias("x")).toPandas()
-    gram, right = np.zeros((FEATURES + 1, FEATURES + 1)), np.zeros(FEATURES + 1)
-    inner = sums[sums.j >= 0]
-    gram[inner.i, inner.j] = gram[inner.j, inner.i] = inner.x
-    right[sums.i[sums.j < 0]] = sums.x[sums.j < 0]
-    penalty = RIDGE * gram[-1, -1] * np.eye(FEATURES + 1)
-    penalty[-1, -1] = 1e-9
-    model.weights = np.linalg.solve(gram + penalty, right)
+            z, y, fold = model.features(_matrix(b)), b.column("label").to_numpy().astype(float), b.column("fold").to_numpy()
+            for f in np.unique(fold):
+                own = z[fold == f]
+                gram[f] += own.T @ own
+                right[f] += own.T @ y[fold == f]
+                n[f] += len(own)
+        i, j = np.concatenate([upper[0], np.arange(FEATURES + 1)]), np.concatenate([upper[1], np.full(FEATURES + 1, -1)])
+        for f in np.flatnonzero(n):
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(i), f, np.int32)), pa.array(i, pa.int32()), pa.array(j, pa.int32()), pa.array(np.concatenate([gram[f][upper], right[f]]))], names=["fold", "i", "j", "x"])
+
+    rows = labelled.select("stats", "label", F.col("fold").cast("int").alias("fold"))
+    sums = rows.mapInArrow(summed, "fold int, i int, j int, x double").groupBy("fold", "i", "j").agg(F.sum("x").alias("x")).toPandas()
+    gram, right = np.zeros((FOLDS, FEATURES + 1, FEATURES + 1)), np.zeros((FOLDS, FEATURES + 1))
+    inner, outer = sums[sums.j >= 0], sums[sums.j < 0]
+    gram[inner.fold, inner.i, inner.j] = gram[inner.fold, inner.j, inner.i] = inner.x
+    right[outer.fold, outer.i] = outer.x
+
+    def solved(use: list[int]) -> np.ndarray:
+        g = gram[use].sum(axis=0)
+        penalty = RIDGE * g[-1, -1] * np.eye(FEATURES + 1)
+        penalty[-1, -1] = 1e-9
+        return np.linalg.solve(g + penalty, right[use].sum(axis=0))
+
+    model.weights = solved(list(range(FOLDS)))
+    # a fold that holds all rows is scored by the weights of all
+    without = np.stack([solved([f for f in range(FOLDS) if f != own]) if (gram[:, -1, -1].sum() > gram[own, -1, -1]) else model.weights for own in range(FOLDS)])
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            raw = np.floor(np.clip(model.raw(_matrix(b)), -0.5, 1.5) * BINS).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(raw), b.column("label").cast(pa.float64())], names=["bin", "y"])
+            raw = (model.features(_matrix(b)) * without[b.column("fold").to_numpy()]).sum(axis=1)
+            bins = np.floor(np.clip(raw, -0.5, 1.5) * BINS).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(bins), b.column("label").cast(pa.float64())], names=["bin", "y"])
 
-    bins = labelled.select("stats", "label").mapInArrow(scored, "bin int, y double").groupBy("bin").agg(F.avg("y").alias("y"), F.count(F.lit(1)).alias("n")).toPandas().sort_values("bin")
+    bins = rows.mapInArrow(scored, "bin int, y double").groupBy("bin").agg(F.avg("y").alias("y"), F.count(F.lit(1)).alias("n")).toPandas().sort_values("bin")
     model.knots, model.levels = isotonic((bins["bin"].to_numpy() + 0.5) / BINS, bins["y"].to_numpy(), bins["n"].to_numpy().astype(float))
     return model
 
@@ -164,7 +177,7 @@ def fit_on(stats: DataFrame, labels: DataFrame) -> Model:
     """On the labelled rows that are not held out. Labels other than 0 and 1 and null ids
     are left out; of labels that repeat an id, the larger counts."""
     own = labels.select(F.col("doc_id").cast("long"), F.col("quality").cast("int").alias("label")).filter("label in (0, 1)").groupBy("doc_id").agg(F.max("label").alias("label"))
-    return fit(cut(stats.filter(~held_out()).join(own, "doc_id").select("stats", "label"), "labelled"))
+    return fit(cut(stats.filter(~held_out()).join(own, "doc_id").select("stats", "label", F.expr(f"pmod(xxhash64(doc_id), {FOLDS})").alias("fold")), "labelled"))
 
 
 def scores(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -60,21 +60,23 @@ def no_clash(df: DataFrame, *names: str) -> DataFrame:
     return df.drop(*[c for c in df.columns if c.lower() in wanted])
 
 
-def block_pairs(df: DataFrame, key: list[str], block_rows: int, salt: str) -> DataFrame:
+def block_pairs(df: DataFrame, key: list[str], block_rows: int, salt: str, counted: str | None = None) -> DataFrame:
     """Deal the rows of every key with two or more rows into blocks of about block_rows
     rows, and give each row once to every pair of blocks of its key that it belongs to.
 
     Adds block_a <= block_b and side (the row's own block); a key of one block has the one
-    pair (0, 0). Counting is partial before its shuffle and the join back has no fixed
-    partitioning, so Spark splits a hot key; no key is dropped, whatever its size."""
-    counts = df.groupBy(*key).agg(F.count(F.lit(1)).alias("key_rows")).filter("key_rows > 1")
-    n = F.ceil(F.col("key_rows") / F.lit(float(block_rows))).cast("long")
+    pair (0, 0). counted names a column with the number of rows of the row's key, if there
+    is one; else they are counted, partially before the shuffle, and joined back without a
+    fixed partitioning, so that Spark splits a hot key. No key is dropped, whatever its size."""
+    if counted is None:
+        counted = "key_rows"
+        df = df.join(df.groupBy(*key).agg(F.count(F.lit(1)).alias(counted)).filter(f"{counted} > 1"), key)
+    n = F.ceil(F.col(counted) / F.lit(float(block_rows))).cast("long")
     return (
-        df.join(counts, key)
-        .withColumn("n_blocks", n)
+        df.withColumn("n_blocks", n)
         .withColumn("side", F.expr(f"pmod(xxhash64({salt}, 17), n_blocks)"))
         .withColumn("other", F.explode(F.expr("sequence(0L, n_blocks - 1)")))
         .withColumn("block_a", F.least("side", "other"))
         .withColumn("block_b", F.greatest("side", "other"))
-        .drop("key_rows", "n_blocks", "other")
+        .drop(counted, "n_blocks", "other")
     )

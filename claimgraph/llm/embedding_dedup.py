@@ -3,8 +3,13 @@
 Vectors scaled to length one are projected on Gaussian directions; the projections, shifted
 and cut into steps of a width, are the bucket of a table. Two vectors of cosine 0.95 lie
 0.316 apart: one projection agrees with probability 0.82, all 12 of a table with 0.092, and
-one table of 32 at least with 0.955; closer pairs meet almost surely. Every candidate's
-cosine is then computed in double precision.
+one table of 32 at least with 0.955; closer pairs meet almost surely.
+
+Buckets of few vectors give candidate pairs of ids, each once. The signs of 64 further
+projections go with the ids: vectors of cosine 0.95 differ in 6.5 of them, in over 20 less
+than once in 10**6, unrelated ones in 32. Only for what is left the two vectors are fetched.
+Larger buckets are dealt into blocks that carry their vectors, as they hold many true pairs.
+Every candidate's cosine is computed in double precision.
 """
 
 from __future__ import annotations
@@ -22,6 +27,8 @@ from claimgraph.llm.components import components
 MIN_COSINE = 0.95
 TABLES, PROJECTIONS, WIDTH, SEED = 32, 12, 1.4, 20
 BLOCK_ROWS = 512
+#: Up to so many vectors a bucket gives pairs of ids; pairs may differ in so many signs.
+FEW_ROWS, SIGNS = 64, 20
 
 
 def _hashes(unit: np.ndarray) -> np.ndarray:
@@ -40,17 +47,60 @@ def _unit(vectors: list) -> np.ndarray:
     return v / np.sqrt((v * v).sum(axis=1, keepdims=True))
 
 
+def _signs(unit: np.ndarray) -> np.ndarray:
+    """(n, dim) -> n numbers of 64 bits, the signs of as many projections."""
+    directions = np.random.default_rng([SEED, unit.shape[1], 1]).standard_normal((unit.shape[1], 64))
+    return np.packbits(unit @ directions > 0, axis=1).view(np.int64).ravel()
+
+
+def _by_length(vectors: list) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of the vectors of each length, as lengths may differ, and their unit vectors."""
+    sizes = np.array([len(v) for v in vectors])
+    for size in np.unique(sizes):
+        at = np.flatnonzero(sizes == size)
+        yield at, _unit([vectors[i] for i in at])
+
+
 def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All tables' buckets of each vector; vectors are taken by length, as lengths may differ."""
+    """All tables' buckets of each vector, and its signs."""
+    for b in batches:
+        ids = b.column("rep").to_numpy()
+        for at, unit in _by_length(b.column("embedding").to_pylist()):
+            lists = pa.ListArray.from_arrays(np.arange(len(at) + 1, dtype=np.int32) * TABLES, _hashes(unit).ravel())
+            dims = pa.array(np.full(len(at), unit.shape[1], np.int32))
+            yield pa.RecordBatch.from_arrays([pa.array(ids[at]), dims, pa.array(_signs(unit)), lists], names=["rep", "dim", "signs", "hashes"])
+
+
+def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs of ids of small buckets whose signs are alike."""
     for b in batches:
-        ids, vectors = b.column("rep").to_numpy(), b.column("embedding").to_pylist()
-        sizes = np.array([len(v) for v in vectors])
-        for size in np.unique(sizes):
-            at = np.flatnonzero(sizes == size)
-            h = _hashes(_unit([vectors[i] for i in at]))
-            lists = pa.ListArray.from_arrays(np.arange(len(at) + 1, dtype=np.int32) * TABLES, h.ravel())
-            dims = pa.array(np.full(len(at), size, np.int32))
-            yield pa.RecordBatch.from_arrays([pa.array(ids[at]), dims, lists], names=["rep", "dim", "hashes"])
+        out: list[np.ndarray] = []
+        for choice, members in zip(b.column("choice").to_pylist(), b.column("members").to_pylist()):
+            rep = np.array(sorted((m["rep"], m["signs"]) for m in members), np.int64)
+            i, j = np.triu_indices(len(rep), 1)
+            alike = np.bitwise_count((rep[i, 1] ^ rep[j, 1]).view(np.uint64)) <= SIGNS
+            i, j = i[alike], j[alike]
+            out.append(np.stack([rep[i, 0], rep[j, 0], np.full(len(i), choice)]))
+        a, c, choice = np.concatenate(out, axis=1) if out else np.zeros((3, 0), np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(c), pa.array(choice.astype(np.int32))], names=["a", "b", "choice"])
+
+
+def _checked_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """As _checked, of pairs with their vectors."""
+    for t in batches:
+        a, b, choice, copies_a, copies_b = (t.column(c).to_numpy() for c in ("a", "b", "choice", "copies_a", "copies_b"))
+        other = t.column("vector_b").to_pylist()
+        kept = []
+        for at, x in _by_length(t.column("vector_a").to_pylist()):
+            y = _unit([other[i] for i in at])
+            near = (x * y).sum(axis=1) >= MIN_COSINE
+            at, x, y = at[near], x[near], y[near]
+            if len(at):
+                kept.append(at[(_hashes(x) == _hashes(y)).argmax(axis=1) == choice[at]])
+        at = np.concatenate(kept) if kept else np.zeros(0, np.int64)
+        low = np.minimum(a, b)[at]
+        columns = [np.concatenate([a[at], b[at]]), np.concatenate([copies_b[at], copies_a[at]]), np.concatenate([low, low])]
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["rep", "more", "root"])
 
 
 def _roots(n: int, pairs: np.ndarray) -> np.ndarray:
@@ -110,29 +160,37 @@ def usable(embedding: str = "embedding") -> F.Column:
     return F.expr(f"{embedding} IS NOT NULL AND forall({embedding}, {finite}) AND exists({embedding}, x -> x <> 0)")
 
 
-def one_row_each(vectors: DataFrame) -> DataFrame:
-    """(vec_id, embedding array<double>): of rows that repeat an id the smallest vector stays."""
-    return vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>")).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
-
-
-def near_vectors(vectors: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def near_vectors(vectors: DataFrame, block_rows: int = BLOCK_ROWS, few_rows: int = FEW_ROWS) -> DataFrame:
     """vectors(vec_id, embedding, ...) -> (vec_id, n_links, component_id, kept), one row for
     each vec_id.
 
     Vectors that are null, empty, zero or hold null or non-finite components link with
     nothing. Equal vectors are hashed once and counted with their number of copies; of rows
-    that repeat an id, the smallest vector counts. Vectors of different lengths never link.
-    Rows without an id are left out. Other columns are not read. No rows: no rows."""
-    rows = cut(one_row_each(vectors.filter("vec_id is not null")), "vectors")
-    reps = cut(rows.filter(usable()).groupBy("embedding").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies")), "reps")
-    hashed = reps.select("rep", "embedding").mapInArrow(_buckets, "rep long, dim int, hashes array<long>")
-    hashed = cut(hashed, "buckets").select("rep", "dim", F.posexplode("hashes").alias("choice", "bucket"))
-    pairs = block_pairs(hashed, ["choice", "bucket", "dim"], block_rows, "rep").join(reps, "rep")
-    groups = pairs.groupBy("choice", "bucket", "dim", "block_a", "block_b").agg(
-        F.collect_list(F.struct("rep", "copies", "embedding", (F.col("side") == F.col("block_a")).alias("in_a"))).alias("members")
-    )
+    that repeat an id, the smallest vector that can link counts. Vectors of different
+    lengths never link. Rows without an id are left out. Other columns are not read. No
+    rows: no rows."""
+    own = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>")).filter("vec_id is not null")
+    rows = cut(own.withColumn("embedding", F.when(usable(), F.col("embedding"))).groupBy("vec_id").agg(F.min("embedding").alias("embedding")), "vectors")
+    reps = cut(rows.filter("embedding is not null").groupBy("embedding").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies")), "reps")
+    hashed = reps.select("rep", "embedding").mapInArrow(_buckets, "rep long, dim int, signs long, hashes array<long>")
+    hashed = cut(hashed, "buckets").select("rep", "dim", "signs", F.posexplode("hashes").alias("choice", "bucket"))
+    key = ["choice", "bucket", "dim"]
+    counts = hashed.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    # written first: joined from its table, both sides are dealt anew and Spark splits a hot bucket
+    met = cut(hashed.join(cut(counts, "shared-buckets"), key), "met")
+    link = "rep long, more long, root long"
+
+    few = met.filter(F.col("n") <= few_rows).groupBy(*key).agg(F.collect_list(F.struct("rep", "signs")).alias("members"))
+    pairs = few.select("choice", "members").mapInArrow(_pairs, "a long, b long, choice int").groupBy("a", "b").agg(F.min("choice").alias("choice"))
+    side = lambda s: reps.select(F.col("rep").alias(s), F.col("copies").alias(f"copies_{s}"), F.col("embedding").alias(f"vector_{s}"))
+    found = pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_checked_pairs, link)
+
+    large = block_pairs(met.filter(F.col("n") > few_rows).drop("signs"), key, block_rows, "rep", "n").join(reps, "rep")
+    groups = large.groupBy(*key, "block_a", "block_b").agg(F.collect_list(F.struct("rep", "copies", "embedding", (F.col("side") == F.col("block_a")).alias("in_a"))).alias("members"))
     same = (F.col("block_a") == F.col("block_b")).alias("same")
-    links = cut(groups.filter("size(members) > 1").select("choice", same, "members").mapInArrow(_checked, "rep long, more long, root long"), "links")
+    dense = groups.filter("size(members) > 1").select("choice", same, "members").mapInArrow(_checked, link)
+
+    links = cut(found.unionByName(dense), "links")
     found = components(links.select(F.col("rep").alias("a"), F.col("root").alias("b")), "embeddings")
     more = links.groupBy("rep").agg(F.sum("more").alias("more"))
     named = (
@@ -140,8 +198,8 @@ def near_vectors(vectors: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
         .join(found, F.col("rep") == F.col("node"), "left")
         .select("embedding", (F.coalesce("more", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
     )
-    linked = rows.filter(usable()).join(named, "embedding").select("vec_id", "n_links", "component_id")
-    alone = rows.filter(~F.coalesce(usable(), F.lit(False))).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    linked = rows.filter("embedding is not null").join(named, "embedding").select("vec_id", "n_links", "component_id")
+    alone = rows.filter("embedding is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.unionByName(alone).withColumn("kept", F.col("vec_id") == F.col("component_id"))
 
 

@@ -218,8 +218,11 @@ def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             lo = [w["lo"] for w in wanted]
             n = [w["n"] for w in wanted]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([w["anchor"] for w in wanted], pa.int64()), pa.array([doc] * len(lo), pa.int64()), pa.array(lo, pa.int32()), pa.array(n, pa.int32()), pa.array([data[x : x + c + LENGTH - 1] for x, c in zip(lo, n)], pa.binary())],
-                names=["anchor", "doc_id", "lo", "n", "bytes"],
+                [
+                    pa.array([w["anchor"] for w in wanted], pa.int64()), pa.array([w["n_kinds"] for w in wanted], pa.int64()), pa.array([doc] * len(lo), pa.int64()),
+                    pa.array(lo, pa.int32()), pa.array(n, pa.int32()), pa.array([data[x : x + c + LENGTH - 1] for x, c in zip(lo, n)], pa.binary()),
+                ],
+                names=["anchor", "n_kinds", "doc_id", "lo", "n", "bytes"],
             )
 
 
@@ -257,13 +260,12 @@ def repeated_spans(docs: DataFrame, few_segments: int = FEW_SEGMENTS, most_segme
     repeats = again.join(kinds.filter("times > 1").drop("times"), ["anchor", "content", "n"]).filter(place() > F.col("first"))
     whole = repeats.select("doc_id", F.col("lo").alias("begin"), (F.col("lo") + F.col("n") + (LENGTH - 1)).alias("end"))
     # the different segments of an anchor are compared byte by byte
-    unlike = kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("n_kinds")).filter("n_kinds > 1")
+    unlike = cut(kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("n_kinds")).filter("n_kinds > 1"), "unlike-anchors")
     shards = kinds.join(unlike, "anchor").select("anchor", "n_kinds", "n", "first.doc_id", "first.lo")
-    wanted = shards.groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "lo", "n")).alias("wanted"))
-    cut_out = docs.join(wanted, "doc_id").select("doc_id", "bytes", "wanted").mapInArrow(lambda b: _batched(_cut_out(b)), "anchor long, doc_id long, lo int, n int, bytes binary")
-    cut_out = cut(cut_out.dropDuplicates(["anchor", "doc_id", "lo"]), "segment-bytes")
+    wanted = shards.groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "n_kinds", "lo", "n")).alias("wanted"))
+    cut_out = docs.join(wanted, "doc_id").select("doc_id", "bytes", "wanted").mapInArrow(lambda b: _batched(_cut_out(b)), "anchor long, n_kinds long, doc_id long, lo int, n int, bytes binary")
+    sized = cut(cut_out.dropDuplicates(["anchor", "doc_id", "lo"]), "segment-bytes")
     span = "doc_id long, begin int, end int"
-    sized = cut_out.join(unlike, "anchor")
     few = sized.filter(F.col("n_kinds") <= few_segments).groupBy("anchor").agg(F.collect_list(F.struct("doc_id", "lo", "n", "bytes")).alias("members"))
     merged = few.select("members").mapInArrow(_merged, span)
     more = sized.filter((F.col("n_kinds") > few_segments) & (F.col("n_kinds") <= most_segments)).groupBy("anchor").applyInArrow(_merged_alone, span)

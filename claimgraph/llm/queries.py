@@ -1,8 +1,8 @@
 """The queries of this subpackage and their SQL, by name."""
 
-from claimgraph.llm import bpe, embedding_dedup, licenses, line_dedup, mixing, notices, quality, secrets, simhash, substrings, topk
+from claimgraph.llm import bpe, embedding_dedup, licenses, line_dedup, mixing, notices, periodic, pieces, quality, secrets, simhash, substrings, topk, whitening
 
-_MODULES = (line_dedup, licenses, notices, mixing, topk, simhash, embedding_dedup, quality, secrets, substrings, bpe)
+_MODULES = (line_dedup, licenses, notices, mixing, topk, simhash, embedding_dedup, quality, secrets, substrings, bpe, pieces, whitening, periodic)
 
 
 def queries() -> dict:

@@ -1,3 +1,4 @@
+import os
 import random
 
 import pytest
@@ -22,3 +23,8 @@ def docs(spark):
 @pytest.fixture(scope="session")
 def empty(spark):
     return spark.createDataFrame([], SCHEMA)
+
+
+@pytest.fixture(scope="session")
+def sf():
+    return os.environ.get("TESTDATA", "/root/testdata") + "/sf0.001"

@@ -37,7 +37,8 @@ def chunks(facts: DataFrame, budget: int = BUDGET, least: int = LEAST) -> DataFr
     turn = F.row_number().over(W.partitionBy("doc_id", "is_new").orderBy("ord"))
     each = sized.withColumn("turn", turn).withColumn("is_old", ~F.col("is_new")).join(totals, "doc_id").withColumn("fits", F.col("new_size") < budget)
     rows = each.filter("is_old or not fits").select("doc_id", "is_new", "is_old", "ord", "turn", "size", F.when(F.col("fits"), F.col("new_size")).otherwise(0).alias("base"))
-    packed = fold(rows, "doc_id", ["turn", "is_old"], budget, counted=True).select("doc_id", F.col("batch").alias("chunk"), "is_new", "ord")
+    rows = rows.withColumn("place", 2 * F.col("turn") + F.col("is_old").cast("int"))
+    packed = fold(rows, "doc_id", "place", budget, counted=True).select("doc_id", F.col("batch").alias("chunk"), "is_new", "ord")
     last = packed.groupBy("doc_id").agg(F.max("chunk").alias("last"))
     repeated = each.filter("is_new and fits").join(last, "doc_id", "left")
     again = repeated.select("doc_id", F.explode(F.sequence(F.lit(0), F.coalesce("last", F.lit(0)))).alias("chunk"), "is_new", "ord")

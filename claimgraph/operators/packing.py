@@ -1,42 +1,172 @@
-"""Next-fit packing: items in order, a new batch where the next one would not fit."""
+"""Next-fit packing: items in order, a new batch where the next one would not fit.
+
+A key's items are dealt by their order into blocks. Within a block prefix sums give each item the
+item that begins the next batch if it begins one itself, and doubling these pointers gives every
+possible first batch of the block its last one: so a block tells how full it leaves the last batch, for
+each amount that it may find in use. These summaries are followed from block to block, a few
+numbers each, and then all blocks number their items at once. A key may have any number of items:
+they lie in as many tasks as it has blocks."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BATCH_CHARS = 12_000
+#: Values of the order in a block, and so items at most, as it is unique within a key.
+BLOCK = 1 << 14
+
+
+def _next_starts(sums: np.ndarray, budget: int, base: int, counted: bool) -> np.ndarray:
+    """For each item as the first of a batch the first item of the next, or the number of items."""
+    n = len(sums)
+    before = np.concatenate(([0], sums[:-1]))
+    over = np.searchsorted(sums, before + (budget - base), side="right")
+    # something must be in a batch that an item does not fit: an item, or a size over zero
+    least = np.arange(n) + 1 if counted or base else np.minimum(np.searchsorted(sums, before, side="right"), n - 1) + 1
+    return np.minimum(np.maximum(over, least), n)
+
+
+def _first_start(sums: np.ndarray, budget: int, used: int, some: bool, counted: bool) -> int:
+    """The first item that opens a batch in a block that finds so much in use."""
+    over = int(np.searchsorted(sums, budget - used, side="right"))
+    if counted and not some:
+        over = max(over, 1)
+    elif not counted and not used:
+        over = max(over, int(np.searchsorted(sums, 0, side="right")) + 1)
+    return min(over, len(sums))
+
+
+def _last_starts(following: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the pointers from each item end within the block, and how many batches begin till there."""
+    n = len(following)
+    at = np.where(following < n, following, np.arange(n))
+    steps = (following < n).astype(np.int64)
+    while True:
+        steps, new = steps + steps[at], at[at]
+        if (new == at).all():
+            return at, steps + 1
+        at = new
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[object, int, list[pa.RecordBatch]]]:
+    """The rows of each (key, block) as they come, sorted."""
+    now, held = None, []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        keys, blocks = b.column(key).to_pylist(), b.column("_block").to_numpy()
+        at = 0
+        for i in range(1, b.num_rows + 1):
+            if i == b.num_rows or keys[i] != keys[at] or blocks[i] != blocks[at]:
+                if now is not None and now != (keys[at], blocks[at]):
+                    yield *now, held
+                    held = []
+                now = keys[at], int(blocks[at])
+                held.append(b.slice(at, i - at))
+                at = i
+    if now is not None:
+        yield *now, held
 
 
-def fold(rows: DataFrame, key: str, order: list[str], budget: int, counted: bool) -> DataFrame:
-    """rows(key, order, size, base, ...) -> the same with batch, from 0 in each key. A batch
-    begins at base; the next item opens a new one if it would pass the budget and there is
-    something in the batch: an item, if counted, else a size over zero. Rows of a key pass
-    through one task in order, one by one: the fold is sequential, but holds no rows."""
-    dealt = rows.repartition(key).sortWithinPartitions(key, *order)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in dealt.schema) + ", batch int"
+def _together(parts: Iterator[pa.RecordBatch], rows: int = 10_000) -> Iterator[pa.RecordBatch]:
+    """Small batches as fewer large ones."""
+    held, n = [], 0
+    for p in parts:
+        held.append(p)
+        n += p.num_rows
+        if n >= rows:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, n = [], 0
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
 
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, batch, used, n = object(), 0, 0, 0
+
+def _column(parts: list[pa.RecordBatch], name: str) -> np.ndarray:
+    return np.concatenate([p.column(name).to_numpy() for p in parts])
+
+
+def fold(rows: DataFrame, key: str, order: str, budget: int, counted: bool, block: int = BLOCK) -> DataFrame:
+    """rows(key, order, size, base, ...) -> the same with batch, from 0 in each key. order is a
+    whole number, unique within a key; base is one of a key. A batch begins at base; the next
+    item opens a new one if it would pass the budget and there is something in the batch: an
+    item, if counted, else a size over zero (or a base)."""
+    kind, names = rows.schema[key].dataType.simpleString(), rows.columns
+    blocks = rows.withColumn("_block", F.floor(F.col(order) / F.lit(float(block))).cast("long"))
+    dealt = blocks.repartition(key, "_block").sortWithinPartitions(key, "_block", order)
+
+    def summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        for k, no, parts in _blocks(batches, key):
+            sums, base = np.cumsum(_column(parts, "size")), int(parts[0].column("base")[0].as_py())
+            last, begun = _last_starts(_next_starts(sums, budget, base, counted))
+            left = base + sums[-1] - np.concatenate(([0], sums[:-1]))[last]
+            # of the items that can be the block's first to open a batch: up to the first that does not fit an empty one
+            fits = _first_start(sums, budget, 0, False, counted) + 1
+            held.append((k, no, base, int(sums[-1]), len(sums), sums[:fits], left[:fits], begun[:fits]))
+            if len(held) == 1000:
+                yield listed(held, parts[0].column(key).type)
+                held = []
+        if held:
+            yield listed(held, parts[0].column(key).type)
+
+    def listed(held: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
+        types = [kind, *[pa.int64()] * 4, *[pa.list_(pa.int64())] * 3]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held), types)], names=["_key", "_block", "base", "total", "n", "sums", "left", "begun"])
+
+    def followed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, used, some, batch = object(), 0, False, 0
         for b in batches:
             out = []
-            for k, size, base in zip(b.column(key).to_pylist(), b.column("size").to_pylist(), b.column("base").to_pylist()):
-                if k != now:
-                    now, batch, used, n = k, 0, base, 0
-                if (n if counted else used > 0) and used + size > budget:
-                    batch, used, n = batch + 1, base, 0
-                used, n = used + size, n + 1
-                out.append(batch)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.int32())], names=[*b.schema.names, "batch"])
+            for r in b.to_pylist():
+                if r["_key"] != now:
+                    now, used, some, batch = r["_key"], r["base"], False, 0
+                out.append((used, some, batch))
+                sums = np.array(r["sums"], np.int64)
+                first = _first_start(sums, budget, used, some, counted)
+                if first < len(sums) and first < r["n"]:
+                    used, batch = r["left"][first], batch + r["begun"][first]
+                else:
+                    used += r["total"]
+                some = True
+            cols = list(zip(*out)) or [[], [], []]
+            yield pa.RecordBatch.from_arrays([b.column("_key"), b.column("_block"), *[pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.bool_(), pa.int64()))]], names=["_key", "_block", "_used", "_some", "_batch"])
+
+    found = dealt.select(key, "_block", "size", "base").mapInArrow(summaries, f"_key {kind}, _block long, base long, total long, n long, sums array<bigint>, left array<bigint>, begun array<bigint>")
+    entries = found.repartition("_key").sortWithinPartitions("_key", "_block").mapInArrow(followed, f"_key {kind}, _block long, _used long, _some boolean, _batch long")
+    entries = entries.withColumnRenamed("_block", "_b")
+    both = blocks.join(entries, blocks[key].eqNullSafe(entries["_key"]) & (blocks["_block"] == entries["_b"])).drop("_key", "_b")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", batch int"
+
+    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _together(with_batch(batches))
+
+    def with_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, _, parts in _blocks(batches, key):
+            sums = np.cumsum(_column(parts, "size"))
+            first = parts[0]
+            base, used, some, batch = (first.column(c)[0].as_py() for c in ("base", "_used", "_some", "_batch"))
+            following = _next_starts(sums, budget, base, counted)
+            opens = np.zeros(len(sums), np.int64)
+            at = _first_start(sums, budget, used, some, counted)
+            while at < len(sums):
+                opens[at] = 1
+                at = int(following[at])
+            numbers, at = (batch + np.cumsum(opens)).astype(np.int32), 0
+            for p in parts:
+                cols = [p.column(c) for c in names]
+                yield pa.RecordBatch.from_arrays([*cols, pa.array(numbers[at : at + p.num_rows])], names=[*names, "batch"])
+                at += p.num_rows
 
-    return dealt.mapInArrow(pack, schema)
+    return both.repartition(key, "_block").sortWithinPartitions(key, "_block", order).mapInArrow(numbered, schema)
 
 
-def next_fit(items: DataFrame, key: str, order: str, size: str, budget: int = BATCH_CHARS) -> DataFrame:
+def next_fit(items: DataFrame, key: str, order: str, size: str, budget: int = BATCH_CHARS, block: int = BLOCK) -> DataFrame:
     """Adds batch (from 0 in each key) to (key, order). An item over the budget is a batch
     of its own; a null size counts as none."""
     rows = items.select(key, order, F.coalesce(F.col(size).cast("long"), F.lit(0)).alias("size"), F.lit(0).cast("long").alias("base"))
-    return fold(rows, key, [order], budget, counted=False).select(key, order, "batch")
+    return fold(rows, key, order, budget, counted=False, block=block).select(key, order, "batch")

@@ -303,7 +303,7 @@ def latest_running_job(spark, sf_dir):
 
 
 def queries() -> dict:
-    from claimgraph import reading  # noqa: F401  (adds its queries)
+    from claimgraph import comparing, reading  # noqa: F401  (they add their queries)
 
     return dict(QUERIES)
 

@@ -1,9 +1,11 @@
 import random
 from collections import defaultdict
 
+import pytest
+from pyspark.sql import functions as F
+
 from claimgraph.functions import clients
 from claimgraph.operators import digests, matching, order, packing
-from pyspark.sql import functions as F
 
 
 def packed(new, old, budget):
@@ -59,18 +61,50 @@ def test_candidate_links_hold_all_candidates(spark):
     assert linked == {(r.new_id, r.old_id) for r in matching.candidates(f, f).collect()} and len(linked) > 3
 
 
+def plain_batches(sizes, budget, base, counted):
+    """The fold, item by item."""
+    batch, used, n, out = 0, base, 0, []
+    for size in sizes:
+        if (n if counted else used > 0) and used + size > budget:
+            batch, used, n = batch + 1, base, 0
+        used, n = used + size, n + 1
+        out.append(batch)
+    return out
+
+
 def test_next_fit(spark):
     rng = random.Random(1)
-    rows = [(k, i, rng.choice([0, 3, 7, 12, None])) for k in range(20) for i in range(rng.randint(1, 40))]
+    rows = [(k if k else None, i, rng.choice([0, 3, 7, 12, None])) for k in range(20) for i in range(rng.randint(1, 40))]
     got = {(r.k, r.i): r.batch for r in packing.next_fit(spark.createDataFrame(rows, "k long, i long, n long"), "k", "i", "n", 12).collect()}
-    for key in range(20):
-        batch = used = 0
-        for _, i, n in (r for r in rows if r[0] == key):
-            n = n or 0
-            if used > 0 and used + n > 12:
-                batch, used = batch + 1, 0
-            used += n
-            assert got[key, i] == batch
+    for key in [None, *range(1, 20)]:
+        own = [r for r in rows if r[0] == key]
+        assert [got[key, i] for _, i, _ in own] == plain_batches([n or 0 for _, _, n in own], 12, 0, False)
+
+
+@pytest.mark.parametrize("counted", [False, True])
+@pytest.mark.parametrize("block", [1, 2, 7, 1000])
+def test_fold_over_blocks(spark, counted, block):
+    """Blocks of any size give what one fold gives; orders have gaps, items may outgrow the budget."""
+    rng = random.Random(block)
+    rows = []
+    for k in range(30):
+        base, places = (rng.choice([0, 4, 11, 12, 30]) if counted else 0), sorted(rng.sample(range(300), rng.randint(1, 90)))
+        sizes = rng.choice([[0, 1, 2, 3], [0, 0, 0, 5, 13], [12, 13, 40], [1, 6, 11]])
+        rows += [(f"k{k}", p, rng.choice(sizes), base, f"r{p}") for p in places]
+    df = spark.createDataFrame(rows, "k string, o int, size long, base long, rest string")
+    got = {(r.k, r.o): (r.batch, r.rest) for r in packing.fold(df, "k", "o", 12, counted, block).collect()}
+    for k in {r[0] for r in rows}:
+        own = [r for r in rows if r[0] == k]
+        assert [got[k, r[1]] for r in own] == [(b, r[4]) for b, r in zip(plain_batches([r[2] for r in own], 12, own[0][3], counted), own)]
+    assert packing.fold(df.limit(0), "k", "o", 12, counted, block).count() == 0
+
+
+def test_a_key_of_a_million_items_lies_in_many_tasks(spark):
+    size = F.when(F.col("id") % 97 == 0, 900).otherwise((F.col("id") * 2654435761) % 61)
+    items = spark.range(1_000_000).select(F.lit(1).alias("k"), F.col("id").alias("o"), size.alias("n"))
+    out = packing.next_fit(items, "k", "o", "n", 1000).withColumn("task", F.spark_partition_id()).toPandas().sort_values("o")
+    sizes = [900 if i % 97 == 0 else (i * 2654435761) % 61 for i in range(1_000_000)]
+    assert out.batch.tolist() == plain_batches(sizes, 1000, 0, False) and out.task.nunique() >= 3
 
 
 def test_order(spark):

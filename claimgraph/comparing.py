@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from claimgraph import reading
 from claimgraph.operators import packing, passages
-from claimgraph.queries import query, read
+from claimgraph.plans import ledgers
+from claimgraph.queries import _FACTS, query, read
 from claimgraph.sources import scratch
 from claimgraph.streaming import tracker
 
@@ -61,3 +62,10 @@ def job_files_stream(spark, sf_dir):
     stream = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(told)
     tracker.track(stream, out, scratch.folder(spark, "job-state")).awaitTermination()
     return tracker.current(spark.read.option("basePath", out).parquet(out))
+
+
+@query(f"WITH {_FACTS} SELECT relation_type, coalesce(reconciled_dimension, '') AS dimension, count(*) AS n FROM edges GROUP BY 1, 2")
+def reconcile_by_dimension(spark, sf_dir):
+    """The pairs of two ledgers by kind and by what explains them, counted without the pairs."""
+    counts = ledgers.relation_counts(ledgers.ledger_facts(spark, sf_dir))
+    return counts.select("relation_type", F.coalesce("reconciled_dimension", F.lit("")).alias("dimension"), F.col("n").cast("long").alias("n"))

@@ -63,10 +63,11 @@ def fact_with_relationships(facts_df: DataFrame, edges: DataFrame) -> DataFrame:
     return facts_df.select("id").join(held, "id", "left").select("id", F.coalesce(F.size("edge_ids"), F.lit(0)).cast("long").alias("n_relationships"), F.coalesce(F.array_join("edge_ids", ","), F.lit("")).alias("relationship_ids"))
 
 
-def by_relation(edges: DataFrame, domain: list[str]) -> DataFrame:
-    """One row for each type of a fixed domain, zero where there is none."""
+def by_relation(edges: DataFrame, domain: list[str], counted: str | None = None) -> DataFrame:
+    """One row for each type of a fixed domain, zero where there is none; counted names a
+    column with the number of edges that a row stands for."""
     kinds = F.explode(F.array(*[F.lit(k) for k in domain])).alias("relation_type")
-    counted = edges.groupBy("relation_type").agg(F.count(F.lit(1)).alias("n"))
+    counted = edges.groupBy("relation_type").agg((F.sum(counted) if counted else F.count(F.lit(1))).alias("n"))
     return edges.sparkSession.range(1).select(kinds).join(counted, "relation_type", "left").select("relation_type", F.coalesce("n", F.lit(0)).alias("n"))
 
 

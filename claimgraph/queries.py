@@ -58,7 +58,7 @@ def reconcile_ledgers(spark, sf_dir):
 
 @query(f"WITH {_FACTS} SELECT r.relation_type, count(e.fact_id_a) AS n FROM (VALUES ('corroborates'), ('contradicts'), ('reconciled_context')) r(relation_type) LEFT JOIN edges e USING (relation_type) GROUP BY 1")
 def reconcile_by_type(spark, sf_dir):
-    return views.by_relation(reconcile_ledgers(spark, sf_dir), replies.RELATIONS)
+    return views.by_relation(ledgers.relation_counts(ledgers.ledger_facts(spark, sf_dir)), replies.RELATIONS, "n")
 
 
 @query(f"WITH {_FACTS} SELECT id, raw_value, unit, value FROM n")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def folder(spark: SparkSession, name: str) -> str:
@@ -18,3 +18,11 @@ def folder(spark: SparkSession, name: str) -> str:
         named = "file://" + tempfile.mkdtemp(prefix="claimgraph-")
         spark.sparkContext.setCheckpointDir(named)
     return f"{named.rstrip('/')}/claimgraph/{name}-{uuid.uuid4().hex}"
+
+
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """df written to a new folder and read again: what follows reads it as often as it likes,
+    and survives a lost executor without computing it anew."""
+    path = folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

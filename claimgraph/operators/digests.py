@@ -5,28 +5,41 @@ new facts that do not fit alternate with the candidates, and all are packed in o
 
 from __future__ import annotations
 
-import json
-
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from claimgraph.functions import jsontext
+from claimgraph.operators.order import row_numbers
 from claimgraph.operators.packing import fold
+from claimgraph.sources import scratch
 
 BUDGET = 25_000
 LEAST = 2
 
 
-@F.arrow_udf(T.LongType())
-def json_size(rows: pa.Array) -> pa.Array:
-    """Characters of a struct as JSON, in ASCII with a space behind commas and colons."""
-    return pa.array([len(json.dumps(r)) for r in rows.to_pylist()], pa.int64())
+#: The fields of a fact that the judge sees, in their order (fixed).
+FIELDS = ["id", "entity_name", "entity_id", "attribute", "raw_value", "unit", "time_scope", "entity_scope", "verbatim_quote", "confidence"]
+
+
+def with_json(df: DataFrame, fields: list[str] = FIELDS, name: str = "json") -> DataFrame:
+    """Adds the JSON text of the columns fields."""
+    return df.withColumn(name, jsontext.record([(c, F.col(c), df.schema[c].dataType) for c in fields]))
+
+
+def in_order(facts: DataFrame) -> DataFrame:
+    """facts(doc_id, is_new, first, id, ...): adds ord, from 1 among a document's new facts and
+    among its candidates, by first, then id. Groups of one first are numbered apart."""
+    by = ["doc_id", "is_new"]
+    groups = facts.groupBy(*by, "first").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(W.partitionBy(*by).orderBy("first")) - F.col("_n")
+    inside = row_numbers(facts, "id", "_in", [*by, "first"])
+    return inside.join(groups.select(*by, "first", before.alias("_before")), [*by, "first"]).withColumn("ord", F.col("_in") + F.col("_before")).drop("_in", "_before")
 
 
 def chunks(facts: DataFrame, budget: int = BUDGET, least: int = LEAST) -> DataFrame:
-    """facts(doc_id, is_new, ord, size) -> (doc_id, chunk, is_new, ord), chunks from 0.
+    """facts(doc_id, is_new, ord, size) -> (doc_id, chunk, is_new, ord, place), chunks from 0
+    and places in the order of a chunk's facts.
 
     The size of the new facts counts list brackets and separators, that of candidates does
     not; the first fact behind the new ones always fits. Chunks of fewer than least facts
@@ -34,14 +47,15 @@ def chunks(facts: DataFrame, budget: int = BUDGET, least: int = LEAST) -> DataFr
     sized = facts.select("doc_id", "is_new", F.col("ord").cast("long").alias("ord"), F.col("size").cast("long").alias("size"))
     new = F.when(F.col("is_new"), F.col("size"))
     totals = sized.groupBy("doc_id").agg((F.coalesce(F.sum(new), F.lit(0)) + 2 * F.greatest(F.count(new), F.lit(1))).alias("new_size"), F.count_if(~F.col("is_new")).alias("n_old"))
-    turn = F.row_number().over(W.partitionBy("doc_id", "is_new").orderBy("ord"))
-    each = sized.withColumn("turn", turn).withColumn("is_old", ~F.col("is_new")).join(totals, "doc_id").withColumn("fits", F.col("new_size") < budget)
+    # ranges of the order are numbered apart: no task sorts a document's facts whole
+    each = row_numbers(sized, "ord", "turn", ["doc_id", "is_new"]).withColumn("is_old", ~F.col("is_new")).join(totals, "doc_id").withColumn("fits", F.col("new_size") < budget)
     rows = each.filter("is_old or not fits").select("doc_id", "is_new", "is_old", "ord", "turn", "size", F.when(F.col("fits"), F.col("new_size")).otherwise(0).alias("base"))
-    rows = rows.withColumn("place", 2 * F.col("turn") + F.col("is_old").cast("int"))
-    packed = fold(rows, "doc_id", "place", budget, counted=True).select("doc_id", F.col("batch").alias("chunk"), "is_new", "ord")
+    rows = rows.withColumn("place", (2 * F.col("turn") + F.col("is_old").cast("int")).cast("long"))
+    packed = fold(rows, "doc_id", "place", budget, counted=True).select("doc_id", F.col("batch").alias("chunk"), "is_new", "ord", "place")
+    packed = scratch.kept(packed, "chunks")
     last = packed.groupBy("doc_id").agg(F.max("chunk").alias("last"))
     repeated = each.filter("is_new and fits").join(last, "doc_id", "left")
-    again = repeated.select("doc_id", F.explode(F.sequence(F.lit(0), F.coalesce("last", F.lit(0)))).alias("chunk"), "is_new", "ord")
+    again = repeated.select("doc_id", F.explode(F.sequence(F.lit(0), F.coalesce("last", F.lit(0)))).alias("chunk"), "is_new", "ord", (F.col("turn") - (1 << 40)).alias("place"))
     rows = packed.unionByName(again)
     whole = rows.groupBy("doc_id", "chunk").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least).drop("n")
     return rows.join(whole, ["doc_id", "chunk"])

@@ -13,46 +13,24 @@ from claimgraph.operators.order import next_rows, row_numbers
 LARGE, SHORTEST, LONGEST, HEADINGS, PAGES = 1.3, 3, 80, 3, 10
 
 
-def html_spans(pages: DataFrame) -> DataFrame:
-    """pages(page_id, url, html) -> one span for each plain h1-h6 and p, in order: the outline
-    of a page, without attributes or other elements (sources.pages reads all of them). A
-    document is a host, a page one of its urls. A heading's level becomes a font size."""
-    doc = F.regexp_extract("url", "^https?://([^/]+)", 1)
-    found = F.regexp_extract_all("html", F.lit("(?s)<(?:h[1-6]|p)>.*?</(?:h[1-6]|p)>"), F.lit(0))
-    each = pages.select(doc.alias("doc"), F.col("page_id").alias("page_number"), F.posexplode(found).alias("pos", "raw"))
-    level = F.regexp_extract("raw", "^<h([1-6])>", 1).try_cast("int")
-    text = F.regexp_replace("raw", "<[^>]*>", "")
-    return each.select("doc", "page_number", "pos", text.alias("text"), F.when(level.isNotNull(), 24.0 - 2 * level).otherwise(11.0).alias("font_size"), F.coalesce(level.isNotNull(), F.lit(False)).alias("bold"))
-
-
-def page_text(spans: DataFrame) -> DataFrame:
-    """Adds char_offset: spans of a page stand one to a line."""
-    before = W.partitionBy("doc", "page_number").orderBy("pos").rowsBetween(W.unboundedPreceding, -1)
-    return spans.withColumn("char_offset", F.coalesce(F.sum(F.length("text") + 1).over(before), F.lit(0)))
-
-
 def median_font(spans: DataFrame) -> DataFrame:
-    return spans.filter("font_size > 0 AND trim(text) <> ''").groupBy("doc").agg(F.expr("percentile(font_size, 0.5)").alias("median_font"))
+    """Of spans with text; white space of any kind is none."""
+    bare = F.length(N.strip(F.col("text"))) > 0
+    return spans.filter((F.col("font_size") > 0) & bare).groupBy("doc").agg(F.expr("percentile(font_size, 0.5)").alias("median_font"))
 
 
-def headings(spans: DataFrame) -> DataFrame:
-    """Large spans, and bold ones of heading length; here every span has a line of its own."""
-    large = F.col("font_size") > F.col("median_font") * LARGE
-    short = F.col("bold") & F.length(F.trim("text")).between(SHORTEST, LONGEST)
-    return page_text(spans).join(median_font(spans), "doc").filter("trim(text) <> ''").filter(large | short)
-
-
-def layout_sections(spans: DataFrame) -> DataFrame:
-    """(doc, section_path, start_page, end_page, start_offset) of documents with enough
-    headings: one section from each heading to the page before the next."""
-    pages = row_numbers(spans.select("doc", "page_number").distinct(), "page_number", "page_no", ["doc"])
-    last = pages.groupBy("doc").agg(F.max("page_no").alias("last_no"))
-    found = headings(spans)
+def layout_sections(spans: DataFrame, pages: DataFrame) -> DataFrame:
+    """spans (as heading_spans, with char_offset) and pages(doc, page_number) -> (doc,
+    section_path, start_page, end_page, start_offset) of documents with enough headings: one
+    section from each heading to the page before the next. detect_sections adds the texts."""
+    numbered = row_numbers(pages.select("doc", "page_number").distinct(), "page_number", "page_no", ["doc"])
+    last = numbered.groupBy("doc").agg(F.max("page_no").alias("last_no"))
+    found = heading_spans(spans)
     enough = found.groupBy("doc").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= HEADINGS)
-    h = next_rows(found.join(pages, ["doc", "page_number"]), "page_no", ["page_no", "pos"], ["page_no"], ["doc"]).join(last, "doc").join(enough, "doc")
+    h = next_rows(found.join(numbered, ["doc", "page_number"]), "page_no", ["page_no", "pos"], ["page_no"], ["doc"]).join(last, "doc").join(enough, "doc")
     h = h.withColumn("end_no", F.greatest(F.col("page_no"), F.coalesce(F.col("next.page_no") - 1, F.col("last_no"))))
-    ends = pages.select("doc", F.col("page_no").alias("end_no"), F.col("page_number").alias("end_page"))
-    return h.join(ends, ["doc", "end_no"]).select("doc", F.trim("text").alias("section_path"), F.col("page_number").alias("start_page"), "end_page", F.col("char_offset").alias("start_offset"))
+    ends = numbered.select("doc", F.col("page_no").alias("end_no"), F.col("page_number").alias("end_page"))
+    return h.join(ends, ["doc", "end_no"]).select("doc", N.strip(F.col("text")).alias("section_path"), F.col("page_number").alias("start_page"), "end_page", F.col("char_offset").alias("start_offset"))
 
 
 def fallback_sections(pages: DataFrame, group: int = PAGES) -> DataFrame:

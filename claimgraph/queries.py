@@ -174,32 +174,6 @@ def confidence_band(spark, sf_dir):
     return read(spark, sf_dir, "events").select("event_id", N.confidence_band((F.col("event_id") * 37 % 101).cast("double") / 100).alias("band"))
 
 
-_SPANS = """raw AS (SELECT regexp_extract(url, '^https?://([^/]+)', 1) AS doc, page_id AS page_number, regexp_extract_all(html, '(?s)<(?:h[1-6]|p)>.*?</(?:h[1-6]|p)>') AS m FROM pages),
-each AS (SELECT doc, page_number, unnest(range(0, len(m))) AS pos, unnest(m) AS raw FROM raw),
-spans AS (SELECT doc, page_number, pos, regexp_replace(raw, '<[^>]*>', '', 'g') AS text, CASE WHEN raw LIKE '<h%' THEN 24.0 - 2 * substr(raw, 3, 1)::INT ELSE 11.0 END::DOUBLE AS font_size, raw LIKE '<h%' AS bold FROM each),
-med AS (SELECT doc, median(font_size) AS median_font FROM spans WHERE trim(text) <> '' GROUP BY doc),
-heads AS (SELECT s.*, sum(length(text) + 1) OVER (PARTITION BY doc, page_number ORDER BY pos) - length(text) - 1 AS char_offset FROM spans s),
-h AS (SELECT heads.* FROM heads JOIN med USING (doc) WHERE trim(text) <> '' AND (font_size > 1.3 * median_font OR (bold AND length(trim(text)) BETWEEN 3 AND 80)))"""
-
-
-@query(f"WITH {_SPANS} SELECT doc, median_font FROM med")
-def median_font(spark, sf_dir):
-    return sections.median_font(sections.html_spans(read(spark, sf_dir, "pages")))
-
-
-@query(f"WITH {_SPANS} SELECT doc, page_number, pos::INTEGER AS pos, text, char_offset::BIGINT AS char_offset FROM h")
-def heading_candidates(spark, sf_dir):
-    return sections.headings(sections.html_spans(read(spark, sf_dir, "pages"))).select("doc", "page_number", "pos", "text", F.col("char_offset").cast("long").alias("char_offset"))
-
-
-@query(f"""WITH {_SPANS}, pg AS (SELECT doc, page_number, row_number() OVER (PARTITION BY doc ORDER BY page_number) AS page_no FROM (SELECT DISTINCT doc, page_number FROM spans)),
-x AS (SELECT h.*, page_no, count(*) OVER (PARTITION BY doc) AS n, lead(page_no) OVER (PARTITION BY doc ORDER BY page_no, pos) AS next_no, (SELECT max(page_no) FROM pg q WHERE q.doc = h.doc) AS last_no FROM h JOIN pg USING (doc, page_number))
-SELECT x.doc, trim(text) AS section_path, x.page_number AS start_page, e.page_number AS end_page, char_offset::BIGINT AS start_offset
-FROM x JOIN pg e ON e.doc = x.doc AND e.page_no = greatest(x.page_no, coalesce(next_no - 1, last_no)) WHERE n >= 3""")
-def layout_sections(spark, sf_dir):
-    return sections.layout_sections(sections.html_spans(read(spark, sf_dir, "pages"))).withColumn("start_offset", F.col("start_offset").cast("long"))
-
-
 @query("""SELECT source AS doc, 'Pages ' || min(doc_id) || '-' || max(doc_id) AS section_path, min(doc_id) AS start_page, max(doc_id) AS end_page
 FROM (SELECT source, doc_id, (row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) // 10 AS g FROM documents) GROUP BY source, g""")
 def fallback_sections(spark, sf_dir):
@@ -280,8 +254,8 @@ def client_fail_over(spark, sf_dir):
 
 @query("""SELECT c_custkey, length('{"id": ' || c_custkey || ', "entity_name": "' || c_name || '", "unit": null}')::BIGINT AS size FROM customer""")
 def digest_size(spark, sf_dir):
-    fact = F.struct(F.col("c_custkey").cast("long").alias("id"), F.col("c_name").alias("entity_name"), F.lit(None).cast("string").alias("unit"))
-    return read(spark, sf_dir, "customer").select("c_custkey", digests.json_size(fact).alias("size"))
+    fact = read(spark, sf_dir, "customer").select("c_custkey", F.col("c_custkey").cast("long").alias("id"), F.col("c_name").alias("entity_name"), F.lit(None).cast("string").alias("unit"))
+    return digests.with_json(fact, ["id", "entity_name", "unit"]).select("c_custkey", F.length("json").cast("long").alias("size"))
 
 
 _STAGE = "list_value('queued','parsing','sectioning','extracting','normalizing','storing','comparing','done','failed')[(event_id % 9 + 1)::INT]"

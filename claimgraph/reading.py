@@ -13,19 +13,22 @@ from claimgraph.operators import digests, evidence, matching, order, packing, pr
 from claimgraph.plans import ledgers
 from claimgraph.queries import _FACTS, _TOKENS, query, read
 from claimgraph.sources import pages as P
-from claimgraph.sources import store, uploads
+from claimgraph.sources import scratch, store, uploads
 from claimgraph.streaming import compare, jobs
 
 REFERENCE = datetime.date(2024, 1, 1)
 
+_QUOTED = P.TOKEN.replace("'", "''")
+#: The references that the pages hold.
+_DECODED = "regexp_replace(regexp_replace(regexp_replace(regexp_replace(tok, '&copy;?', '©', 'g'), '&quot;?', '\"', 'g'), '&middot;?', '·', 'g'), '&amp;?', '&', 'g')"
 _TOKEN_SQL = f"""tok AS (SELECT regexp_extract(url, '^https?://([^/]+)', 1) AS doc, page_id AS page_number, unnest(range(0, len(t))) AS pos, unnest(t) AS tok
-  FROM (SELECT url, page_id, regexp_extract_all(regexp_replace(html, '{P.HIDDEN}', '', 'g'), '{P.TOKEN}') AS t FROM pages)),
-tag AS (SELECT *, CASE WHEN tok LIKE '<%' THEN lower(regexp_extract(tok, '^</?([a-zA-Z][a-zA-Z0-9]*)', 1)) END AS tag FROM tok),
+  FROM (SELECT url, page_id, regexp_extract_all(regexp_replace(html, '{P.HIDDEN}', '', 'g'), '{_QUOTED}') AS t FROM pages)),
+tag AS (SELECT *, CASE WHEN tok LIKE '<_%' THEN lower(regexp_extract(tok, '^</?([a-zA-Z][a-zA-Z0-9]*)', 1)) END AS tag FROM tok),
 blk AS (SELECT *, sum(CASE WHEN regexp_matches(tag, '^(?:{P.BLOCKS})$') THEN 1 ELSE 0 END) OVER w AS block_no, sum(CASE WHEN regexp_matches(tag, '^(?:{P.BLOCKS})$') OR tag = 'br' THEN 1 ELSE 0 END) OVER w AS line_no
   FROM tag WINDOW w AS (PARTITION BY doc, page_number ORDER BY pos ROWS UNBOUNDED PRECEDING)),
 lk AS (SELECT *, max(CASE WHEN tok NOT LIKE '</%' AND regexp_matches(tag, '^h[1-6]$') THEN substr(tag, 2, 1)::INT END) OVER (PARTITION BY doc, page_number, block_no) AS level,
   sum(CASE WHEN tag IN ('b', 'strong', 'th') THEN CASE WHEN tok LIKE '</%' THEN -1 ELSE 1 END ELSE 0 END) OVER (PARTITION BY doc, page_number, block_no ORDER BY pos ROWS UNBOUNDED PRECEDING) AS in_bold FROM blk),
-sp AS (SELECT doc, page_number, pos, block_no, line_no, tok AS text, (CASE WHEN level IS NULL THEN 11.0 ELSE 24.0 - 2 * level END)::DOUBLE AS font_size, level IS NOT NULL OR in_bold > 0 AS bold FROM lk WHERE tag IS NULL),
+sp AS (SELECT doc, page_number, pos, block_no, line_no, {_DECODED} AS text, (CASE WHEN level IS NULL THEN 11.0 ELSE 24.0 - 2 * level END)::DOUBLE AS font_size, level IS NOT NULL OR in_bold > 0 AS bold FROM lk WHERE tag IS NULL),
 spans AS (SELECT *, (coalesce(sum(length(text)) OVER (PARTITION BY doc, page_number ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
   + dense_rank() OVER (PARTITION BY doc, page_number ORDER BY line_no) + dense_rank() OVER (PARTITION BY doc, page_number ORDER BY block_no) - 2)::BIGINT AS char_offset FROM sp),
 ended AS (SELECT *, text || CASE WHEN coalesce(lead(line_no) OVER w <> line_no, true) THEN chr(10) ELSE '' END || CASE WHEN coalesce(lead(block_no) OVER w <> block_no, true) THEN chr(10) ELSE '' END AS part
@@ -47,13 +50,16 @@ def page_texts(spark, sf_dir):
     return P.page_texts(_spans(spark, sf_dir))
 
 
-@query(f"""WITH {_TOKEN_SQL},
+_HEAD_SQL = f"""{_TOKEN_SQL},
 al AS (SELECT regexp_extract(url, '^https?://([^/]+)', 1) AS doc, page_id AS page_number FROM pages),
 pg AS (SELECT al.doc, al.page_number, coalesce(text, '') AS text, row_number() OVER (PARTITION BY al.doc ORDER BY al.page_number) AS page_no FROM al LEFT JOIN pt USING (doc, page_number)),
-med AS (SELECT doc, median(font_size) AS m FROM spans WHERE trim(text) <> '' GROUP BY doc),
+med AS (SELECT doc, median(font_size) AS m FROM spans WHERE trim(regexp_replace(text, '\\s+', ' ', 'g')) <> '' GROUP BY doc),
 o AS (SELECT *, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS bare, sum(CASE WHEN trim(regexp_replace(text, '\\s+', ' ', 'g')) <> '' THEN 1 ELSE 0 END) OVER (PARTITION BY doc, page_number, line_no) AS on_line FROM spans),
 h AS (SELECT o.doc, o.page_number, o.pos, o.text, o.char_offset, page_no FROM o JOIN med USING (doc) JOIN pg ON pg.doc = o.doc AND pg.page_number = o.page_number
-  WHERE bare <> '' AND (font_size > 1.3 * m OR (bold AND length(trim(o.text, ' ' || chr(10) || chr(9) || chr(13))) BETWEEN 3 AND 80 AND on_line = 1))),
+  WHERE bare <> '' AND (font_size > 1.3 * m OR (bold AND length(trim(o.text, ' ' || chr(10) || chr(9) || chr(13))) BETWEEN 3 AND 80 AND on_line = 1)))"""
+
+
+@query(f"""WITH {_HEAD_SQL},
 hn AS (SELECT *, count(*) OVER (PARTITION BY doc) AS n, lead(page_no) OVER w AS next_no, lead(char_offset) OVER w AS next_at FROM h WINDOW w AS (PARTITION BY doc ORDER BY page_no, pos)),
 la AS (SELECT doc, max(page_no) AS last_no FROM pg GROUP BY doc),
 parts AS (SELECT hn.doc, trim(hn.text, ' ' || chr(10) || chr(9) || chr(13)) AS section_path, hn.page_no AS start_no, hn.pos, pg.page_no, pg.page_number,
@@ -71,6 +77,30 @@ def detect_sections(spark, sf_dir):
     return sections.detect_sections(spans, texts)
 
 
+def _outline(spark, sf_dir):
+    """Spans with their lines, cut once, and all pages."""
+    spans = scratch.kept(_spans(spark, sf_dir).withColumn("line_key", F.col("line_no")), "spans")
+    return spans, read(spark, sf_dir, "pages").select(F.regexp_extract("url", "^https?://([^/]+)", 1).alias("doc"), F.col("page_id").alias("page_number"))
+
+
+@query(f"WITH {_HEAD_SQL} SELECT doc, m AS median_font FROM med")
+def median_font(spark, sf_dir):
+    return sections.median_font(_spans(spark, sf_dir))
+
+
+@query(f"WITH {_HEAD_SQL} SELECT doc, page_number, pos::INTEGER AS pos, text, char_offset FROM h")
+def heading_candidates(spark, sf_dir):
+    return sections.heading_spans(_outline(spark, sf_dir)[0]).select("doc", "page_number", "pos", "text", "char_offset")
+
+
+@query(f"""WITH {_HEAD_SQL},
+x AS (SELECT h.*, count(*) OVER (PARTITION BY doc) AS n, lead(page_no) OVER (PARTITION BY doc ORDER BY page_no, pos) AS next_no, (SELECT max(page_no) FROM pg q WHERE q.doc = h.doc) AS last_no FROM h)
+SELECT x.doc, trim(x.text, ' ' || chr(10) || chr(9) || chr(13)) AS section_path, x.page_number AS start_page, e.page_number AS end_page, char_offset AS start_offset
+FROM x JOIN pg e ON e.doc = x.doc AND e.page_no = greatest(x.page_no, coalesce(next_no - 1, last_no)) WHERE n >= 3""")
+def layout_sections(spark, sf_dir):
+    return sections.layout_sections(*_outline(spark, sf_dir))
+
+
 @query("SELECT l_orderkey, l_linenumber, l_partkey, round_even(l_extendedprice::DOUBLE / 2, 0) AS line_key FROM lineitem")
 def line_keys(spark, sf_dir):
     return read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", sections.line_key(F.col("l_extendedprice").cast("double") / 2).alias("line_key"))
@@ -410,7 +440,7 @@ SELECT doc_id, chunk::INTEGER AS chunk, is_new, ord::BIGINT AS ord FROM a QUALIF
 def digest_chunks(spark, sf_dir):
     """An order's lines: the odd ones are new facts, the even ones candidates."""
     lines = read(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("ord")).agg(F.max("l_partkey").alias("size"))
-    return digests.chunks(lines.withColumn("is_new", F.col("ord") % 2 == 1), budget=3000)
+    return digests.chunks(lines.withColumn("is_new", F.col("ord") % 2 == 1), budget=3000).drop("place")
 
 
 @query(f"""WITH c AS (SELECT array_to_string(list_sort({_TOKENS.format('p_name')}), ' ') AS attribute, count(*) AS n FROM part GROUP BY 1),

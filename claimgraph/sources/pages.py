@@ -14,7 +14,33 @@ BOLD_FLAG, TABLE_FONT, COVERED = 16, 0.0, 0.5
 #: Elements that begin and end a block of their own.
 BLOCKS = "html|head|body|title|nav|header|footer|main|article|section|aside|div|p|ul|ol|li|dl|dt|dd|table|tr|td|th|blockquote|pre|form|h[1-6]"
 HIDDEN = "(?is)<script.*?</script>|<style.*?</style>|<!--.*?-->"
-TOKEN = "<[^>]*>|[^<]+"
+#: A tag, whose quoted attributes may hold its end sign; or text, of which a bare < is a piece of its own.
+TAG = "</?[a-zA-Z!?](?:[^>\"']+|\"[^\"]*\"|'[^']*')*>"
+TOKEN = TAG + "|[^<]+|<"
+# Character references by name; those of LOOSE also stand without a semicolon.
+ENTITIES = {
+    "amp": "&", "lt": "<", "gt": ">", "quot": '"', "nbsp": "\u00a0", "copy": "©", "reg": "®", "middot": "·", "cent": "¢", "pound": "£", "yen": "¥", "sect": "§", "deg": "°", "plusmn": "±",
+    "para": "¶", "times": "×", "laquo": "«", "raquo": "»", "frac12": "½", "apos": "'", "euro": "€", "hellip": "…", "mdash": "—", "ndash": "–", "lsquo": "‘", "rsquo": "’", "ldquo": "“",
+    "rdquo": "”", "bull": "•", "trade": "™",
+}
+LOOSE = ["amp", "lt", "gt", "quot", "nbsp", "copy", "reg", "middot", "cent", "pound", "yen", "sect", "deg", "plusmn", "para", "times", "laquo", "raquo", "frac12"]
+REFERENCE = rf"&(?:{'|'.join(LOOSE)});?|&[a-zA-Z][a-zA-Z0-9]{{1,31}};|&#[0-9]{{1,7}};?|&#[xX][0-9a-fA-F]{{1,6}};?"
+
+
+def _character(code: Column) -> Column:
+    """The character of a code point; what is none becomes U+FFFD."""
+    good = code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+    return F.when(good, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")).otherwise("\ufffd")
+
+
+def decoded(text: Column) -> Column:
+    """Text with its character references replaced, by name or number; unknown ones stay."""
+    names = F.create_map(*[F.lit(x) for pair in ENTITIES.items() for x in pair])
+    name = lambda t: F.regexp_extract(t, "^&([a-zA-Z0-9]+);?$", 1)
+    number = lambda t: F.coalesce(F.conv(F.regexp_extract(t, "^&#[xX]([0-9a-fA-F]+)", 1), 16, 10).try_cast("long"), F.regexp_extract(t, "^&#([0-9]+)", 1).try_cast("long"))
+    one = lambda t: F.when(t.startswith("&#"), _character(number(t))).when(t.startswith("&"), F.coalesce(F.try_element_at(names, name(t)), t)).otherwise(t)
+    parts = F.regexp_extract_all(text, F.lit(f"{REFERENCE}|[^&]+|&"), F.lit(0))
+    return F.when(F.contains(text, F.lit("&")), F.array_join(F.transform(parts, one), "")).otherwise(text)
 
 
 def is_bold(flags: Column, font: Column) -> Column:
@@ -25,13 +51,15 @@ def is_bold(flags: Column, font: Column) -> Column:
 def html_tokens(pages: DataFrame) -> DataFrame:
     """pages(page_id, url, html) -> the texts of all elements, with block, line and look: a
     document is a host, a page one of its urls. A heading's level becomes a font size;
-    headings and what stands in b, strong and th are bold, to the end of their block."""
+    headings and what stands in b, strong and th are bold, to the end of their block. A block
+    ends where another begins or ends, whether its end tag is there or not; character
+    references are decoded."""
     visible = F.regexp_replace("html", HIDDEN, "")
     doc = F.regexp_extract("url", "^https?://([^/]+)", 1)
-    each = pages.select(doc.alias("doc"), F.col("page_id").alias("page_number"), F.posexplode(F.regexp_extract_all(visible, F.lit(TOKEN), F.lit(0))).alias("pos", "tok"))
+    each = pages.select(doc.alias("doc"), F.col("page_id").alias("page_number"), F.posexplode(F.regexp_extract_all(visible, F.lit(TOKEN.replace(")*>", ")*+>").replace("]+|", "]++|")), F.lit(0))).alias("pos", "tok"))
     tag = F.lower(F.regexp_extract("tok", "^</?([a-zA-Z][a-zA-Z0-9]*)", 1))
     opens = ~F.col("tok").startswith("</")
-    each = each.withColumn("tag", F.when(F.col("tok").startswith("<"), tag))
+    each = each.withColumn("tag", F.when(F.col("tok").startswith("<") & (F.col("tok") != "<"), tag))
     so_far = W.partitionBy("doc", "page_number").orderBy("pos")
     new_block, new_line = F.col("tag").rlike(f"^(?:{BLOCKS})$"), F.col("tag") == "br"
     count = lambda c: F.sum(F.when(c, 1).otherwise(0)).over(so_far)
@@ -41,7 +69,7 @@ def html_tokens(pages: DataFrame) -> DataFrame:
     level = F.max(F.when(opens, F.regexp_extract("tag", "^h([1-6])$", 1).try_cast("int"))).over(block)
     each = each.withColumn("level", level).withColumn("in_bold", F.sum(step).over(block.orderBy("pos")))
     looks = [F.when(F.col("level").isNotNull(), 24.0 - 2 * F.col("level")).otherwise(11.0).alias("font_size"), (F.col("level").isNotNull() | (F.col("in_bold") > 0)).alias("bold")]
-    return each.filter("tag is null").select("doc", "page_number", "pos", "block_no", "line_no", F.col("tok").alias("text"), *looks)
+    return each.filter("tag is null").select("doc", "page_number", "pos", "block_no", "line_no", decoded(F.col("tok")).alias("text"), *looks)
 
 
 def with_offsets(spans: DataFrame) -> DataFrame:

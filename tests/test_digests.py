@@ -1,3 +1,4 @@
+import json
 import random
 from collections import defaultdict
 
@@ -45,10 +46,16 @@ def test_chunks(spark):
     assert {k: sorted(v) for k, v in got.items()} == want
 
 
-def test_json_size(spark):
-    rows = spark.createDataFrame([(1, 'é"\n', None), (None, None, 0.5)], "a long, b string, c double").coalesce(1)
-    sizes = [len('{"a": 1, "b": "\\u00e9\\"\\n", "c": null}'), len('{"a": null, "b": null, "c": 0.5}')]
-    assert [r[0] for r in rows.select(digests.json_size(F.struct("a", "b", "c"))).collect()] == sizes
+def test_json_text(spark):
+    scope = {"label": 'é"\n', "end": None}
+    texts = ["", "plain ~!", 'q"uo\\te', "tab\t\r\n\b\f\x00\x1f\x7f", "é漢🎉\u2028", "\\u0041", None, "line\n"]
+    numbers = [0.0, 1.0, -0.5, 0.1, 1e-4, 1.5e-5, -2e-7, 123456.789, 1e7, 12345678.9, 9.999e15, 1e16, -1.5e22, 2.5e-300, 1.7976931348623157e308, 0.001, 100.0, None]
+    rows = [(i, t, numbers[i % len(numbers)], None if i % 3 else scope, [i, None], i % 2 == 0) for i in range(len(numbers)) for t in [texts[i % len(texts)]]]
+    df = spark.createDataFrame(rows, "id long, text string, n double, scope struct<label: string, end: string>, some array<int>, yes boolean")
+    names = ["id", "text", "n", "scope", "some", "yes"]
+    for r in digests.with_json(df, names).collect():
+        made = dict(zip(names, rows[r.id]))
+        assert r.json == json.dumps(made)
 
 
 def test_candidate_links_hold_all_candidates(spark):

@@ -134,3 +134,29 @@ def test_job_state(spark):
     made = json.loads(row.payload)
     assert made["status"] == "completed" and made["total_files"] == 2 and made["error"] is None
     assert made["files"] == [{"filename": "a", "stage": "storing", "stage_detail": None, "error": None, "result": None}, {"filename": "b", "stage": "failed", "stage_detail": None, "error": "bad", "result": None}]
+
+
+def test_white_space_of_any_kind_is_no_text(spark):
+    """Spans of line breaks and tabs have no part in a median, and are no headings."""
+    spans, _ = paged({1: [("big", 22.0, False), ("body", 22.0, False), ("more", 22.0, False), ("\n", 11.0, False), ("\t\n", 11.0, True), (" ", 11.0, False), ("\r\n", 11.0, False)]})
+    df = spark.createDataFrame(spans, SPAN)
+    assert [r.median_font for r in sections.median_font(df).collect()] == [22.0] and sections.heading_spans(df).count() == 0
+
+
+def test_references_and_quoted_attributes(spark):
+    texts = ["a &amp; b", "&lt;p&gt; &#8377;5 &#x1F389; &#0; &#xD800;", "&nope; & &ampx &copy2 &hellip &hellip;", "&amp;lt;", None, "plain"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").withColumn("d", pages.decoded(F.col("t")))
+    assert [r.d for r in df.orderBy("i").collect()] == ["a & b", "<p> ₹5 \U0001f389 � �", "&nope; & &x ©2 &hellip …", "&lt;", None, "plain"]
+    html = "<p title=\"a > b\" data-x='</p>'>one<p>two &lt;b&gt; 3 < 4<br/>x</div><h3 class='y'>H &amp; K" + "<a b='c'>" * 3000 + "end"
+    spans = pages.with_offsets(pages.html_tokens(spark.createDataFrame([(1, "http://h/a", html)], "page_id int, url string, html string")))
+    assert pages.page_texts(spans).first().text == "one\n\ntwo <b> 3 < 4\nx\n\nH & Kend\n\n"
+    assert {r.text for r in spans.filter("bold").collect()} == {"H & K", "end"}
+
+
+def test_layout_sections_are_those_with_texts(spark):
+    layout = {1: [BODY("x"), HEAD("Aims"), BODY("a")], 2: [BODY("b")], 40: [HEAD(" Means\n"), BODY("c"), HEAD("Ends")], 41: [BODY("e")]}
+    spans, texts = paged(layout)
+    df, whole = spark.createDataFrame(spans, SPAN), spark.createDataFrame(texts, "doc string, page_number int, text string")
+    names = ["doc", "section_path", "start_page", "end_page"]
+    found = sorted(tuple(r) for r in sections.layout_sections(df, whole).select(*names).collect())
+    assert found == sorted(tuple(r) for r in sections.detect_sections(df, whole).select(*names).collect()) == [("d", "Aims", 1, 2), ("d", "Ends", 40, 41), ("d", "Means", 40, 40)]

@@ -8,7 +8,7 @@ from __future__ import annotations
 from difflib import SequenceMatcher
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -48,6 +48,34 @@ def _name_grams(df: DataFrame, name: str) -> DataFrame:
     return names.select(name, pairs.alias("pairs")).select(name, F.explode(F.array_distinct(F.concat(marked, singles))).alias("gram"))
 
 
+def _suffices(name: str) -> Column:
+    """Whether a gram at a place in an order of a name's grams is among those to join on."""
+    met = F.greatest(F.ceil(F.length(name) / 3.0 - 1), F.lit(1))
+    return (F.length(name) <= 3) | (F.col("place") <= F.length(name) - met)
+
+
+def prefix_grams(df: DataFrame) -> DataFrame:
+    """(name, gram) of distinct names: as similar_names joins on them, but in the order of a
+    hash, which stays when names are added: any fixed order will do."""
+    place = F.row_number().over(W.partitionBy("name").orderBy(F.xxhash64("gram"), "gram"))
+    return _name_grams(df, "name").withColumn("place", place).filter(_suffices("name")).select("name", "gram")
+
+
+def most_in_common(a: Column, b: Column) -> Column:
+    """How many characters two texts can have in common at most, each as often as both hold it."""
+    counted = lambda c: F.array_sort(F.split(c, ""))
+    marked = lambda c: F.transform(counted(c), lambda x, i: F.concat(x, (i - F.array_position(counted(c), x) + 1).cast("string")))
+    return F.size(F.array_intersect(marked(a), marked(b)))
+
+
+def verified(pairs: DataFrame) -> DataFrame:
+    """pairs(a, b) of names with a ratio of 0.8 or more, and the ratio. Lengths and the characters
+    in common bound it from above, as Columns; what these leave is compared."""
+    lengths = F.length("a") + F.length("b")
+    near = pairs.filter("3 * least(length(a), length(b)) >= 2 * greatest(length(a), length(b))").filter(2 * most_in_common(F.col("a"), F.col("b")) >= THRESHOLD * lengths - 1e-9)
+    return near.withColumn("ratio", ratio("a", "b")).filter(F.col("ratio") >= THRESHOLD)
+
+
 def similar_names(new: DataFrame, old: DataFrame) -> DataFrame:
     """(a, b, ratio) of distinct names.
 
@@ -61,11 +89,9 @@ def similar_names(new: DataFrame, old: DataFrame) -> DataFrame:
 
     def rarest(grams: DataFrame, name: str) -> DataFrame:
         place = F.row_number().over(W.partitionBy(name).orderBy("n", "gram"))
-        met = F.greatest(F.ceil(F.length(name) / 3.0 - 1), F.lit(1))
-        return grams.join(often, "gram").withColumn("place", place).filter((F.length(name) <= 3) | (F.col("place") <= F.length(name) - met)).select(name, "gram")
+        return grams.join(often, "gram").withColumn("place", place).filter(_suffices(name)).select(name, "gram")
 
-    near = rarest(a, "a").join(rarest(b, "b"), "gram").filter("3 * least(length(a), length(b)) >= 2 * greatest(length(a), length(b))").select("a", "b").distinct()
-    return near.withColumn("ratio", ratio("a", "b")).filter(F.col("ratio") >= THRESHOLD)
+    return verified(rarest(a, "a").join(rarest(b, "b"), "gram").select("a", "b").distinct())
 
 
 def by_name(new: DataFrame, old: DataFrame) -> DataFrame:

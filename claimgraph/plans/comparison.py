@@ -67,4 +67,4 @@ def relationships(answered: DataFrame, known: DataFrame) -> DataFrame:
     keyed = answered.withColumn("reply_id", F.struct("doc_id", "chunk"))
     items = replies.items(keyed.select("reply_id", "reply"))
     held = replies.relationships(items, keyed.select("reply_id", F.col("ids").alias("fact_ids"))).filter("reject_reason is null")
-    return replies.new_pairs(held, known, ["reply_id", "pos", "fact_id_a", "fact_id_b"])
+    return replies.new_pairs(held, known, ["reply_id", "item_no", "fact_id_a", "fact_id_b"])

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from claimgraph.functions import dates, extract, options
 from claimgraph.functions import normalize as N
 from claimgraph.operators import digests, evidence, matching, order, packing, prompts, replies, sections, views
-from claimgraph.plans import ledgers
+from claimgraph.plans import comparison, ledgers
 from claimgraph.queries import _FACTS, _TOKENS, query, read
 from claimgraph.sources import pages as P
 from claimgraph.sources import scratch, store, uploads
@@ -357,7 +357,8 @@ def candidate_union(spark, sf_dir):
     """Some parts are new facts; the others that share a word with any of them."""
     p = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.lit("").alias("entity_name"), F.lit(None).cast("string").alias("entity_id"), F.col("p_name").alias("attribute"))
     new = p.filter("id % 50 = 7")
-    return compare.candidate_union(matching.candidates(new, p), new)
+    found = comparison.candidates(new.withColumn("doc_id", F.lit(1)), p)
+    return found.select(F.col("id").alias("old_id"), "first_new_id")
 
 
 @query(f"WITH {_FACTS} SELECT a.id AS new_id, b.id AS old_id FROM facts a JOIN facts b ON a.entity_id = b.entity_id AND a.id <> b.id WHERE b.document_id <= a.document_id")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from claimgraph.operators import matching
+from claimgraph.streaming import postings
 
 
 def visible(pairs: DataFrame) -> DataFrame:
@@ -24,21 +24,18 @@ def candidate_union(pairs: DataFrame, new: DataFrame) -> DataFrame:
     return met.join(new.select(F.col("id").alias("old_id")).distinct(), "old_id", "left_anti")
 
 
-def compare_stream(facts: DataFrame, store: str, out: str, checkpoint: str, judge: Callable[[DataFrame], DataFrame]) -> StreamingQuery:
+def compare_stream(facts: DataFrame, store: str, out: str, checkpoint: str, judge: Callable[[DataFrame], DataFrame], buckets: int = postings.BUCKETS) -> StreamingQuery:
     """facts, a stream of (id, document_id, entity_name, entity_id, attribute, ...): each
-    batch is written to the folder store, compared with all facts in it up to this batch,
-    and judge(candidate pairs) is written to out. Folders are partitioned by batch and a
-    batch replaces its own part, so that one that runs again after a failure changes nothing."""
+    batch is added to the index of postings in the folder store, compared with the facts that
+    share a bucket with it, up to this batch, and judge(candidate pairs) is written to out. A
+    batch replaces its own part of both, so that one that runs again after a failure changes nothing. A store keeps the
+    number of buckets that it began with."""
     spark = facts.sparkSession
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{store}/batch={batch_id}")
-        held = spark.read.option("basePath", store).parquet(store).filter(F.col("batch") <= batch_id)
-        new = held.filter(F.col("batch") == batch_id)
-        pairs = matching.candidates(new, held)
-        both = new.select(F.col("id").alias("old_id"))
-        # a pair of two new facts comes up twice: it stays from the later one's side
-        twice = pairs.join(both, "old_id", "left_semi").filter("old_id > new_id")
-        judge(pairs.join(twice.select("new_id", "old_id"), ["new_id", "old_id"], "left_anti")).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        postings.add(postings.postings(batch, buckets), store, batch_id)
+        # read again from the store, once for all that follows
+        new = postings.held(spark, store, postings.postings(batch, buckets), batch_id).filter(F.col("batch") == batch_id)
+        judge(postings.candidates(spark, store, batch_id, new, buckets)).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
     return facts.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -113,7 +113,7 @@ def test_stream_compares_with_what_came_before(spark, tmp_path):
     for k, part in enumerate(rows):
         spark.createDataFrame(part, fact).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
         stream = spark.readStream.schema(fact).parquet(f"{tmp_path}/in")
-        compare.compare_stream(stream, f"{tmp_path}/store", f"{tmp_path}/out", f"{tmp_path}/check", lambda pairs: pairs).awaitTermination()
+        compare.compare_stream(stream, f"{tmp_path}/store", f"{tmp_path}/out", f"{tmp_path}/check", lambda pairs: pairs, 16).awaitTermination()
     got = {(r.new_id, r.old_id, r.criterion, r.batch) for r in spark.read.parquet(f"{tmp_path}/out").collect()}
     assert got == {(3, 1, 1, 1), (4, 2, 2, 1), (5, 2, 2, 1), (5, 4, 2, 1)}
 

@@ -197,8 +197,9 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, moved: bool = True)
     found = repeated_lines(docs.filter("doc_id is not null and text is not null").select(F.col("doc_id").cast("long"), "version", "text"), min_chars)
     none = F.array().cast("array<int>")
     found = found if moved else found.withColumn("moved", none)
-    r = found.select(F.col("doc_id").alias("r_doc_id"), F.col("version").alias("r_version"), F.concat("removed", "moved").alias("removed"), F.size("moved").alias("moved"))
-    joined = docs.join(r, (F.col("doc_id") == F.col("r_doc_id")) & (F.col("version") == F.col("r_version")), "left").drop("r_doc_id", "r_version", "version")
+    own_id, own_version = (f"_{k}_" + "_".join(docs.columns) for k in ("id", "version"))  # names that no column has
+    r = found.select(F.col("doc_id").alias(own_id), F.col("version").alias(own_version), F.concat("removed", "moved").alias("removed"), F.size("moved").alias("moved"))
+    joined = docs.join(r, (F.col("doc_id") == F.col(own_id)) & (F.col("version") == F.col(own_version)), "left").drop(own_id, own_version, "version")
     n_lines = F.coalesce(F.size(F.split("text", "\n", -1)), F.lit(0))
     out = joined.withColumn("n_lines", F.when(F.col("text").isNull(), 0).otherwise(n_lines).cast("long"))
     out = out.withColumn("n_removed", F.when(F.col("removed").isNull(), 0).otherwise(F.size("removed")).cast("long"))

@@ -118,3 +118,11 @@ def test_moved_blocks_stay_if_asked(spark):
 
 def test_patience():
     assert line_dedup.patience(list("abcxd"), list("bacd")) in ([(1, 0), (2, 2), (4, 3)], [(0, 1), (2, 2), (4, 3)])
+
+
+def test_columns_of_any_name_pass(spark):
+    line = "a line that is long enough to be held by two documents"
+    rows = [(1, line, 5, 6, 7), (2, "own\n" + line, 5, 6, 7)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, r_doc_id int, r_version int, h int")
+    got = sorted(tuple(r) for r in line_dedup.dedup_lines(d).select("doc_id", "text", "r_doc_id", "r_version", "h", "n_removed").collect())
+    assert got == [(1, line, 5, 6, 7, 0), (2, "own", 5, 6, 7, 1)]

@@ -15,7 +15,7 @@ def facts(rng, n, first):
 
 def test_batches_find_all_pairs_of_the_store(spark, tmp_path):
     rng = random.Random(2)
-    parts = [facts(rng, 40, 0), facts(rng, 25, 100), facts(rng, 1, 200)]
+    parts = [facts(rng, 40, 0), facts(rng, 25, 100)]
     for part in parts:
         spark.createDataFrame(part, FACT).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
         stream = spark.readStream.schema(FACT).parquet(f"{tmp_path}/in")
@@ -40,7 +40,7 @@ def test_what_a_batch_reads_goes_with_the_batch(spark, tmp_path):
     store, read = f"{tmp_path}/store", []
     many = lambda a, b: spark.range(a, b).select("id", F.lit(1).alias("document_id"), F.lit("").alias("entity_name"), F.concat(F.lit("K"), "id").alias("entity_id"), F.concat(F.lit("w"), "id").alias("attribute"))
     new = postings.postings(many(90_000, 90_001), 64)
-    for k, size in enumerate((200, 2000)):
+    for k, size in enumerate((100, 1000)):
         postings.add(postings.postings(many(k * 10_000, k * 10_000 + size), 64), store, k)
         read.append((postings.held(spark, store, new, 9).count(), spark.read.parquet(store).count()))
     (small, few), (large, all_) = read
@@ -59,12 +59,12 @@ def test_the_bound_of_characters_in_common(spark):
 
 def test_candidates_over_true_pairs(spark):
     """Generated names share most of their grams: the bounds leave few pairs that are not alike."""
-    names = spark.range(150).select(F.format_string("supplier#%09d", (F.col("id") * 7919) % 1_000_003).alias("name"))
-    other = spark.range(150).select(F.concat(F.lit("supplier#"), F.substring(F.md5(F.col("id").cast("string").cast("binary")), 1, 9)).alias("name"))
+    names = spark.range(50).select(F.format_string("supplier#%09d", (F.col("id") * 7919) % 1_000_003).alias("name"))
+    other = spark.range(50).select(F.concat(F.lit("supplier#"), F.substring(F.md5(F.col("id").cast("string").cast("binary")), 1, 9)).alias("name"))
     both = names.union(other)
     grams = matching.prefix_grams(both)
     met = grams.select(F.col("name").alias("a"), "gram").join(grams.select(F.col("name").alias("b"), "gram"), "gram").select("a", "b").distinct()
     kept = met.filter(2 * matching.most_in_common(F.col("a"), F.col("b")) >= 0.8 * (F.length("a") + F.length("b")) - 1e-9).count()
     alike, all_met = matching.similar_names(both, both).count(), met.count()
     print("met", all_met, "kept", kept, "alike", alike)
-    assert 300 <= alike <= kept < all_met
+    assert 100 <= alike <= kept < all_met

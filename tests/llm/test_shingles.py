@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pytest
 from claimgraph.llm import shingles, simhash
 
 
@@ -46,3 +47,66 @@ def test_keep_first_rows_without_ids(spark):
     rows = [(None, one, "x"), (None, two, "x"), (7, "seven " + two[::-1], "x"), (7, "again " + one[::-1], "x"), (7, "again " + one[::-1], "y"), (8, two, "z"), (None, one, "x"), (None, "", None), (9, None, "")]
     out = shingles.keep_first(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
     assert sorted((r.doc_id or 0, r.text or "") for r in out) == sorted([(0, one), (8, two), (7, rows[2][1]), (7, rows[3][1]), (9, "")])
+
+
+def _families(rng, n_families, siblings, twins, words=150, own=24):
+    """Texts of boiler-plate with a middle of their own: siblings below 0.8; twins above it."""
+    texts = []
+    for f in range(n_families):
+        plate = [f"p{f}_{k}" for k in range(words)]
+        for s in range(siblings):
+            texts.append(" ".join(plate[: words // 2] + [f"o{f}_{s}_{k}" for k in range(own)] + plate[words // 2 :]))
+        for t in range(twins):
+            middle = [f"t{f}_{k}" for k in range(own)]
+            middle[own // 2 + t % 5] = f"t{f}_{t}_own"
+            texts.append(" ".join(plate[: words // 2] + middle + plate[words // 2 :]))
+    rng.shuffle(texts)
+    return texts
+
+
+def _groups(texts):
+    """The smallest text number that each reaches, by an exact join of all pairs."""
+    sets = []
+    for t in texts:
+        w = t.split()
+        sets.append({tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))})
+    up = list(range(len(texts)))
+
+    def root(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for i, x in enumerate(sets):
+        for j in range(i):
+            common = len(x & sets[j])
+            if common >= 0.8 * (len(x) + len(sets[j]) - common):
+                a, b = root(i), root(j)
+                up[max(a, b)] = min(a, b)
+    return [root(i) for i in range(len(texts))]
+
+
+@pytest.mark.parametrize("shape", [(20, 80, 2), (2, 30, 120)])
+def test_no_link_is_lost_among_siblings(spark, shape):
+    """Twins meet in bands of many siblings that are just below the threshold."""
+    texts = _families(random.Random(12), *shape)
+    want = _groups(texts)
+    assert len(set(want)) == shape[0] * (shape[1] + 1)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id for r in shingles.keep_first(docs).collect()} == set(want)
+
+
+def test_blocks_give_each_pair_that_can_be_similar(monkeypatch, spark):
+    """The same with blocks of four texts, so that pairs go between blocks."""
+    monkeypatch.setattr(shingles, "BLOCK_ROWS", 4)
+    rng = random.Random(2)
+    words = [f"w{k}" for k in range(40)]
+    texts = []
+    for _ in range(60):
+        base = rng.choices(words, k=40) if len(texts) % 3 == 0 else texts[-1].split()
+        for at in rng.sample(range(40), rng.randint(0, 2)):
+            base[at] = rng.choice(words)
+        texts.append(" ".join(base))
+    texts = list(dict.fromkeys(texts))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id for r in shingles.keep_first(docs).collect()} == set(_groups(texts))

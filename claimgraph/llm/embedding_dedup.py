@@ -5,9 +5,11 @@ and cut into steps of a width, are the bucket of a table. Two vectors of cosine
 0.316 apart: one projection agrees with probability 0.82, all 12 of a table with 0.092, and
 one table of 32 at least with 0.955; closer pairs meet almost surely.
 
-Buckets of few vectors give candidate pairs of ids, each once. The signs of 64 further
-projections go with the ids: vectors of cosine 0.95 differ in 6.5 of them, in over 20 less
-than once in 10**6, unrelated ones in 32. Only for what is left the two vectors are fetched.
+Buckets of few vectors give candidate pairs of ids, each once. A sketch goes with the
+ids: the vector's place in a quarter as many orthonormal directions as it has components, a
+byte each. Two vectors are no nearer to each
+other than their places, so that a pair whose sketches lie further apart than the radius and
+their rounding is below 0.95 for certain. Only for what is left the two vectors are fetched.
 Larger buckets are dealt into blocks that carry their vectors, as they hold many true pairs.
 Every candidate's cosine is computed in double precision.
 """
@@ -27,17 +29,22 @@ from claimgraph.llm.components import components
 MIN_COSINE = 0.95
 TABLES, PROJECTIONS, WIDTH, SEED = 32, 12, 1.4, 20
 BLOCK_ROWS = 512
-#: Up to so many vectors a bucket gives pairs of ids; pairs may differ in so many signs.
-FEW_ROWS, SIGNS = 64, 20
+#: Up to so many vectors a bucket gives pairs of ids; the results do not depend on it.
+FEW_ROWS = 64
+LEAST_SKETCH, STEPS = 16, 127
+_SCALE = float(1 << 20)
 
 
 def _hashes(unit: np.ndarray) -> np.ndarray:
-    """(n, dim) vectors of length one -> (n, TABLES) bucket ids."""
+    """(n, dim) vectors of length one -> (n, TABLES) bucket ids. Components and directions are
+    rounded to whole numbers, whose products add up exactly in any order: a vector has the
+    same buckets in every batch."""
     rng = np.random.default_rng([SEED, unit.shape[1]])
     directions = rng.standard_normal((unit.shape[1], TABLES * PROJECTIONS))
     shift = rng.uniform(0, WIDTH, TABLES * PROJECTIONS)
     odd = rng.integers(0, 1 << 63, PROJECTIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    steps = np.floor((unit @ directions + shift) / WIDTH).astype(np.int64).view(np.uint64)
+    whole = np.rint(unit * _SCALE) @ np.rint(directions * _SCALE)
+    steps = np.floor((whole / _SCALE**2 + shift) / WIDTH).astype(np.int64).view(np.uint64)
     mixed = (steps.reshape(-1, TABLES, PROJECTIONS) * odd).sum(axis=2, dtype=np.uint64)
     return (mixed ^ (mixed >> np.uint64(31))).view(np.int64)
 
@@ -47,10 +54,18 @@ def _unit(vectors: list) -> np.ndarray:
     return v / np.sqrt((v * v).sum(axis=1, keepdims=True))
 
 
-def _signs(unit: np.ndarray) -> np.ndarray:
-    """(n, dim) -> n numbers of 64 bits, the signs of as many projections."""
-    directions = np.random.default_rng([SEED, unit.shape[1], 1]).standard_normal((unit.shape[1], 64))
-    return np.packbits(unit @ directions > 0, axis=1).view(np.int64).ravel()
+def _sketches(unit: np.ndarray) -> np.ndarray:
+    """(n, dim) -> (n, k) bytes: places in orthonormal directions, in steps of 1/STEPS."""
+    dim = unit.shape[1]
+    k = min(dim, max(LEAST_SKETCH, dim // 4))
+    directions = np.linalg.qr(np.random.default_rng([SEED, dim, 1]).standard_normal((dim, k)))[0]
+    return np.rint(unit @ directions * STEPS).astype(np.int8)
+
+
+def _may_link(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """False only for rows of sketches of vectors that lie further apart than the radius."""
+    radius = STEPS * np.sqrt(2 - 2 * MIN_COSINE) + np.sqrt(x.shape[1]) + 1e-3
+    return ((x.astype(np.int32) - y) ** 2).sum(axis=1) <= radius * radius
 
 
 def _by_length(vectors: list) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -62,25 +77,27 @@ def _by_length(vectors: list) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 
 
 def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All tables' buckets of each vector, and its signs."""
+    """All tables' buckets of each vector, and its sketch."""
     for b in batches:
         ids = b.column("rep").to_numpy()
         for at, unit in _by_length(b.column("embedding").to_pylist()):
             lists = pa.ListArray.from_arrays(np.arange(len(at) + 1, dtype=np.int32) * TABLES, _hashes(unit).ravel())
             dims = pa.array(np.full(len(at), unit.shape[1], np.int32))
-            yield pa.RecordBatch.from_arrays([pa.array(ids[at]), dims, pa.array(_signs(unit)), lists], names=["rep", "dim", "signs", "hashes"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids[at]), dims, pa.array([x.tobytes() for x in _sketches(unit)], pa.binary()), lists], names=["rep", "dim", "sketch", "hashes"])
 
 
 def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The pairs of ids of small buckets whose signs are alike."""
+    """The pairs of ids of small buckets whose sketches are near."""
     for b in batches:
         out: list[np.ndarray] = []
         for choice, members in zip(b.column("choice").to_pylist(), b.column("members").to_pylist()):
-            rep = np.array(sorted((m["rep"], m["signs"]) for m in members), np.int64)
+            members.sort(key=lambda m: m["rep"])
+            rep = np.array([m["rep"] for m in members], np.int64)
+            sketch = np.frombuffer(b"".join(m["sketch"] for m in members), np.int8).reshape(len(rep), -1)
             i, j = np.triu_indices(len(rep), 1)
-            alike = np.bitwise_count((rep[i, 1] ^ rep[j, 1]).view(np.uint64)) <= SIGNS
-            i, j = i[alike], j[alike]
-            out.append(np.stack([rep[i, 0], rep[j, 0], np.full(len(i), choice)]))
+            near = _may_link(sketch[i], sketch[j])
+            i, j = i[near], j[near]
+            out.append(np.stack([rep[i], rep[j], np.full(len(i), choice)]))
         a, c, choice = np.concatenate(out, axis=1) if out else np.zeros((3, 0), np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(c), pa.array(choice.astype(np.int32))], names=["a", "b", "choice"])
 
@@ -172,20 +189,20 @@ def near_vectors(vectors: DataFrame, block_rows: int = BLOCK_ROWS, few_rows: int
     own = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>")).filter("vec_id is not null")
     rows = cut(own.withColumn("embedding", F.when(usable(), F.col("embedding"))).groupBy("vec_id").agg(F.min("embedding").alias("embedding")), "vectors")
     reps = cut(rows.filter("embedding is not null").groupBy("embedding").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies")), "reps")
-    hashed = reps.select("rep", "embedding").mapInArrow(_buckets, "rep long, dim int, signs long, hashes array<long>")
-    hashed = cut(hashed, "buckets").select("rep", "dim", "signs", F.posexplode("hashes").alias("choice", "bucket"))
+    hashed = reps.select("rep", "embedding").mapInArrow(_buckets, "rep long, dim int, sketch binary, hashes array<long>")
+    hashed = cut(hashed, "buckets").select("rep", "dim", "sketch", F.posexplode("hashes").alias("choice", "bucket"))
     key = ["choice", "bucket", "dim"]
     counts = hashed.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     # written first: joined from its table, both sides are dealt anew and Spark splits a hot bucket
     met = cut(hashed.join(cut(counts, "shared-buckets"), key), "met")
     link = "rep long, more long, root long"
 
-    few = met.filter(F.col("n") <= few_rows).groupBy(*key).agg(F.collect_list(F.struct("rep", "signs")).alias("members"))
+    few = met.filter(F.col("n") <= few_rows).groupBy(*key).agg(F.collect_list(F.struct("rep", "sketch")).alias("members"))
     pairs = few.select("choice", "members").mapInArrow(_pairs, "a long, b long, choice int").groupBy("a", "b").agg(F.min("choice").alias("choice"))
     side = lambda s: reps.select(F.col("rep").alias(s), F.col("copies").alias(f"copies_{s}"), F.col("embedding").alias(f"vector_{s}"))
     found = pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_checked_pairs, link)
 
-    large = block_pairs(met.filter(F.col("n") > few_rows).drop("signs"), key, block_rows, "rep", "n").join(reps, "rep")
+    large = block_pairs(met.filter(F.col("n") > few_rows).drop("sketch"), key, block_rows, "rep", "n").join(reps, "rep")
     groups = large.groupBy(*key, "block_a", "block_b").agg(F.collect_list(F.struct("rep", "copies", "embedding", (F.col("side") == F.col("block_a")).alias("in_a"))).alias("members"))
     same = (F.col("block_a") == F.col("block_b")).alias("same")
     dense = groups.filter("size(members) > 1").select("choice", same, "members").mapInArrow(_checked, link)

@@ -81,3 +81,20 @@ def test_recall_at_the_border(spark):
 
 def test_no_rows(spark):
     assert embedding_dedup.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+
+
+def test_sketches_lose_no_link_and_buckets_ignore_the_batch():
+    """Pairs at the border pass the bound, in any dimension; unrelated ones mostly do not."""
+    rng = np.random.default_rng(5)
+    for dim in (2, 7, 16, 64, 300):
+        x = embedding_dedup._unit(rng.standard_normal((20000, dim)).tolist())
+        away = rng.standard_normal(x.shape)
+        away -= (away * x).sum(axis=1, keepdims=True) * x
+        cosine = rng.uniform(0.95, 0.952, (len(x), 1))
+        y = embedding_dedup._unit(cosine * x + np.sqrt(1 - cosine**2) * embedding_dedup._unit(away.tolist()))
+        sketch = embedding_dedup._sketches(x)
+        assert embedding_dedup._may_link(sketch, embedding_dedup._sketches(y)).all(), dim
+        if dim >= 64:
+            assert embedding_dedup._may_link(sketch, sketch[::-1]).mean() < 0.01
+        h = embedding_dedup._hashes(x[:700])
+        assert all((embedding_dedup._hashes(x[k : k + n]) == h[k : k + n]).all() for k, n in ((0, 1), (5, 2), (100, 37), (3, 600)))

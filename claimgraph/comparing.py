@@ -95,7 +95,8 @@ def _compared(spark, sf_dir):
     home = read(spark, sf_dir, "customer").join(read(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_custkey").alias("customer"), F.col("c_nationkey").alias("doc_id"), F.md5(F.col("n_name").cast("binary")).alias("n_name"))
     null = F.lit(None).cast("string")
     scope = F.struct(F.lit("span").alias("period_type"), null.alias("start"), null.alias("end"), F.col("label").alias("label"), null.alias("vintage"))
-    stored = facts.withColumn("customer", c).join(home, "customer").select(
+    # merged: a broadcast of the customers would pass through the driver
+    stored = facts.withColumn("customer", c).join(home.hint("merge"), "customer").select(
         "doc_id", "id", F.col("n_name").alias("entity_name"), "entity_id", F.col("label").alias("attribute"), "raw_value", "unit", scope.alias("time_scope"), "entity_scope",
         F.concat(F.lit('"'), "raw_value", F.lit('"\t\u2013 \u20b9')).alias("verbatim_quote"), ((c % 100).cast("double") / 100).alias("confidence"), "document_id",
     )

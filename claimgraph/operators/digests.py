@@ -34,28 +34,30 @@ def in_order(facts: DataFrame) -> DataFrame:
     groups = facts.groupBy(*by, "first").agg(F.count(F.lit(1)).alias("_n"))
     before = F.sum("_n").over(W.partitionBy(*by).orderBy("first")) - F.col("_n")
     inside = row_numbers(facts, "id", "_in", [*by, "first"])
-    return inside.join(groups.select(*by, "first", before.alias("_before")), [*by, "first"]).withColumn("ord", F.col("_in") + F.col("_before")).drop("_in", "_before")
+    return inside.join(groups.select(*by, "first", before.alias("_before")).hint("merge"), [*by, "first"]).withColumn("ord", F.col("_in") + F.col("_before")).drop("_in", "_before")
 
 
-def chunks(facts: DataFrame, budget: int = BUDGET, least: int = LEAST) -> DataFrame:
+def chunks(facts: DataFrame, budget: int = BUDGET, least: int = LEAST, take: list[str] = [], numbered: bool = False) -> DataFrame:  # noqa: B006
     """facts(doc_id, is_new, ord, size) -> (doc_id, chunk, is_new, ord, place), chunks from 0
-    and places in the order of a chunk's facts.
+    and places in the order of a chunk's facts; the columns take pass. numbered: ord counts a
+    document's new facts and its candidates from 1, as in_order gives it.
 
     The size of the new facts counts list brackets and separators, that of candidates does
     not; the first fact behind the new ones always fits. Chunks of fewer than least facts
     are left out."""
-    sized = facts.select("doc_id", "is_new", F.col("ord").cast("long").alias("ord"), F.col("size").cast("long").alias("size"))
+    sized = facts.select("doc_id", "is_new", F.col("ord").cast("long").alias("ord"), F.col("size").cast("long").alias("size"), *take)
     new = F.when(F.col("is_new"), F.col("size"))
     totals = sized.groupBy("doc_id").agg((F.coalesce(F.sum(new), F.lit(0)) + 2 * F.greatest(F.count(new), F.lit(1))).alias("new_size"), F.count_if(~F.col("is_new")).alias("n_old"))
     # ranges of the order are numbered apart: no task sorts a document's facts whole
-    each = row_numbers(sized, "ord", "turn", ["doc_id", "is_new"]).withColumn("is_old", ~F.col("is_new")).join(totals, "doc_id").withColumn("fits", F.col("new_size") < budget)
-    rows = each.filter("is_old or not fits").select("doc_id", "is_new", "is_old", "ord", "turn", "size", F.when(F.col("fits"), F.col("new_size")).otherwise(0).alias("base"))
+    turns = sized.withColumn("turn", F.col("ord")) if numbered else row_numbers(sized, "ord", "turn", ["doc_id", "is_new"])
+    each = turns.withColumn("is_old", ~F.col("is_new")).join(totals, "doc_id").withColumn("fits", F.col("new_size") < budget)
+    rows = each.filter("is_old or not fits").select("doc_id", "is_new", "is_old", "ord", "turn", "size", F.when(F.col("fits"), F.col("new_size")).otherwise(0).alias("base"), *take)
     rows = rows.withColumn("place", (2 * F.col("turn") + F.col("is_old").cast("int")).cast("long"))
-    packed = fold(rows, "doc_id", "place", budget, counted=True).select("doc_id", F.col("batch").alias("chunk"), "is_new", "ord", "place")
+    packed = fold(rows, "doc_id", "place", budget, counted=True).select("doc_id", F.col("batch").alias("chunk"), "is_new", "ord", "place", *take)
     packed = scratch.kept(packed, "chunks")
     last = packed.groupBy("doc_id").agg(F.max("chunk").alias("last"))
     repeated = each.filter("is_new and fits").join(last, "doc_id", "left")
-    again = repeated.select("doc_id", F.explode(F.sequence(F.lit(0), F.coalesce("last", F.lit(0)))).alias("chunk"), "is_new", "ord", (F.col("turn") - (1 << 40)).alias("place"))
+    again = repeated.select("doc_id", F.explode(F.sequence(F.lit(0), F.coalesce("last", F.lit(0)))).alias("chunk"), "is_new", "ord", (F.col("turn") - (1 << 40)).alias("place"), *take)
     rows = packed.unionByName(again)
     whole = rows.groupBy("doc_id", "chunk").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least).drop("n")
-    return rows.join(whole, ["doc_id", "chunk"])
+    return rows.join(whole.hint("merge"), ["doc_id", "chunk"])

@@ -26,7 +26,8 @@ def row_numbers(df: DataFrame, key: str, name: str, by: list[str] = [], width: i
     same = lambda a, b, names: [F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}")) for c in names]
     before = counts.withColumn("_near", near).alias("x").join(far.alias("y"), same("x", "y", [*by, "_far"])).select(*[f"x.{c}" for c in by], "x._range", (F.col("_near") + F.col("_far_before")).alias("_before"))
     own = ranged.withColumn("_own", F.row_number().over(W.partitionBy(*by, "_range").orderBy(key)))
-    joined = own.alias("x").join(before.alias("y"), same("x", "y", [*by, "_range"]))
+    # merged: own is dealt so already, and a broadcast would pass through the driver
+    joined = own.alias("x").join(before.alias("y").hint("merge"), same("x", "y", [*by, "_range"]))
     return joined.select("x.*", (F.col("_own") + F.col("_before")).alias(name)).drop("_range", "_own")
 
 

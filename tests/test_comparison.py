@@ -2,7 +2,7 @@ import json
 
 from pyspark.sql import functions as F
 
-from claimgraph.operators import matching
+from claimgraph.operators import digests, matching
 from claimgraph.plans import comparison
 from claimgraph.streaming import compare
 
@@ -37,6 +37,13 @@ def test_candidates_are_the_union_of_all_pairs(spark):
     assert got == want and (7, 4) in got and (7, 5) not in got
 
 
+def test_no_facts_or_texts_are_broadcast(spark):
+    """Broadcasts of compressed tables outgrew the driver: facts, postings and texts are merged."""
+    new, stored = split(spark)
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan(comparison.chunks(new, stored)) and "Broadcast" not in plan(digests.in_order(new.withColumn("is_new", F.lit(True)).withColumn("first", F.col("id"))))
+
+
 def test_prompts_hold_digests_in_order_and_fit(spark):
     new, stored = split(spark)
     texts = {r[0]: json.dumps({"id": r[0], "entity_name": r[1], "entity_id": r[2], "attribute": r[3], "raw_value": r[4], "unit": r[5], "time_scope": dict(zip(["period_type", "start", "end", "label", "vintage"], r[6])), "entity_scope": r[7], "verbatim_quote": r[8], "confidence": r[9]}) for r in ROWS}

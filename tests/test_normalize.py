@@ -54,3 +54,17 @@ def test_dates(spark):
     df = spark.createDataFrame([(k,) for k in wanted], "x string").coalesce(1)
     got = df.select("x", dates.point_in_time(F.col("x"), datetime.date(2011, 2, 10))).collect()
     assert {r[0]: r[1] for r in got} == wanted
+
+
+def test_identifiers_of_large_keys_equal_the_sql(spark, tmp_path):
+    """Keys of over five digits make no company number, and keep their letter."""
+    import duckdb
+
+    from claimgraph.queries import oracle_sql, queries
+
+    keys = [0, 7, 99_999, 100_000, 142_857, 142_858, 900_001, 400_000_000]
+    spark.createDataFrame([(k,) for k in keys], "c_custkey long").write.parquet(f"{tmp_path}/customer.parquet")
+    got = {r.c_custkey: r.identifier for r in queries()["normalize_identifier"](spark, str(tmp_path)).collect()}
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW customer AS SELECT * FROM '{tmp_path}/customer.parquet/*.parquet'")
+    assert got == dict(con.sql(oracle_sql()["normalize_identifier"]).fetchall()) and got[100_000] == "U100000HR2011PLC700000"

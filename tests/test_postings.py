@@ -68,3 +68,11 @@ def test_candidates_over_true_pairs(spark):
     alike, all_met = matching.similar_names(both, both).count(), met.count()
     print("met", all_met, "kept", kept, "alike", alike)
     assert 100 <= alike <= kept < all_met
+
+
+def test_no_join_follows_the_pairs_of_documents_in_order(spark):
+    """The order stands with the key: five joins in all, four of them of orders with their lines."""
+    from claimgraph.queries import queries
+
+    plan = queries()["incremental_candidates"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 5

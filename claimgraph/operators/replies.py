@@ -20,14 +20,14 @@ def without_fences(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(t, r"^```[a-zA-Z]*\s*", ""), r"\s*```$", "")
 
 
-def items(replies: DataFrame) -> DataFrame:
+def items(replies: DataFrame, take: list[str] = []) -> DataFrame:  # noqa: B006
     """replies(reply_id, reply) -> (reply_id, item_no, item): the items of a JSON list as
-    variants; anything but a list has none."""
-    parsed = replies.select("reply_id", F.try_parse_json(without_fences(F.col("reply"))).alias("v"))
+    variants; anything but a list has none. The columns take pass with each item."""
+    parsed = replies.select("reply_id", *take, F.try_parse_json(without_fences(F.col("reply"))).alias("v"))
     # null in place of what is no list: parsed once, and exploded to nothing
-    lists = parsed.select("reply_id", F.when(F.schema_of_variant("v").startswith("ARRAY"), F.col("v")).alias("v"))
+    lists = parsed.select("reply_id", *take, F.when(F.schema_of_variant("v").startswith("ARRAY"), F.col("v")).alias("v"))
     each = replies.sparkSession.tvf.variant_explode(F.col("v").outer())
-    return lists.lateralJoin(each).select("reply_id", F.col("pos").alias("item_no"), F.col("value").alias("item"))
+    return lists.lateralJoin(each).select("reply_id", *take, F.col("pos").alias("item_no"), F.col("value").alias("item"))
 
 
 def _fields(found: DataFrame, names: list[str], prefix: str = "", source: str = "item") -> DataFrame:
@@ -43,8 +43,8 @@ def _text(name: str) -> Column:
 def relationships(found: DataFrame, digest: DataFrame | None = None) -> DataFrame:
     """Adds the fields and reject_reason, of which the first that holds counts; null: valid.
 
-    With digest(reply_id, fact_ids), the ids that the model was shown, an item that names
-    another id is rejected too. A dimension is checked here, before it could be stored."""
+    With digest(reply_id, fact_ids), the ids that the model was shown, or with a column
+    fact_ids of found itself, an item that names another id is rejected too. A dimension is checked here, before it could be stored."""
     f = _fields(found.withColumn("k", F.schema_of_variant("item")), [*REQUIRED, "reconciled_dimension"])
     f = f.withColumn("relation_type", F.when(F.col("k_relation_type") == "STRING", _text("relation_type")))
     whole = F.coalesce(F.col("k_fact_id_a").isin("BIGINT", "BOOLEAN") & F.col("k_fact_id_b").isin("BIGINT", "BOOLEAN"), F.lit(False))
@@ -61,6 +61,7 @@ def relationships(found: DataFrame, digest: DataFrame | None = None) -> DataFram
     )
     if digest is not None:
         f = f.join(digest.select("reply_id", "fact_ids"), "reply_id", "left")
+    if "fact_ids" in f.columns:
         shown = F.coalesce(F.array_contains("fact_ids", F.col("fact_id_a")) & F.array_contains("fact_ids", F.col("fact_id_b")), F.lit(False))
         reason = reason.when(~shown, "not in the digest")
     dimension = F.coalesce(F.col("k_reconciled_dimension") == "VOID", F.lit(True)) | F.coalesce(_text("reconciled_dimension").isin(*DIMENSIONS), F.lit(False))

@@ -206,12 +206,15 @@ FROM (SELECT l_orderkey, l_linenumber, max(l_partkey) AS l_partkey FROM lineitem
 def hallucinated_ids(spark, sf_dir):
     """An order's reply relates its lines' parts to a fact that was shown; every third names
     one that was not."""
-    lines = read(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_partkey").alias("l_partkey"))
-    part = F.when(F.col("l_partkey") % 3 == 0, F.col("l_partkey") + 10**9).otherwise(F.col("l_partkey"))
-    dimension = F.when((F.col("l_partkey") % 3 == 1) & (F.col("l_linenumber") % 2 == 0), '"weather"').otherwise('"time"')
-    item = F.concat(F.lit('{"fact_id_a": '), part.cast("string"), F.lit(', "fact_id_b": -1, "relation_type": "reconciled_context", "reconciled_dimension": '), dimension, F.lit(', "reasoning_text": "'), F.col("l_linenumber").cast("string"), F.lit('", "confidence": 1}'))
-    made = lines.groupBy(F.col("l_orderkey").alias("reply_id")).agg(F.concat(F.lit("["), F.array_join(F.collect_list(item), ", "), F.lit("]")).alias("reply"), F.array_append(F.collect_set(F.col("l_partkey").cast("long")), F.lit(-1).cast("long")).alias("fact_ids"))
-    found = replies.relationships(replies.items(made), made)
+    # dealt by reply once, numbers alone; texts are made behind that
+    dealt = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_partkey").cast("long").alias("l_partkey")).repartition("l_orderkey")
+    lines = dealt.groupBy("l_orderkey", "l_linenumber").agg(F.max("l_partkey").alias("l_partkey"))
+    shown = lines.groupBy(F.col("l_orderkey").alias("reply_id")).agg(F.collect_list(F.struct("l_linenumber", "l_partkey")).alias("l"))
+    part = lambda x: F.when(x["l_partkey"] % 3 == 0, x["l_partkey"] + 10**9).otherwise(x["l_partkey"])
+    dimension = lambda x: F.when((x["l_partkey"] % 3 == 1) & (x["l_linenumber"] % 2 == 0), '"weather"').otherwise('"time"')
+    item = lambda x: F.concat(F.lit('{"fact_id_a": '), part(x).cast("string"), F.lit(', "fact_id_b": -1, "relation_type": "reconciled_context", "reconciled_dimension": '), dimension(x), F.lit(', "reasoning_text": "'), x["l_linenumber"].cast("string"), F.lit('", "confidence": 1}'))
+    made = shown.select("reply_id", F.concat(F.lit("["), F.array_join(F.transform("l", item), ", "), F.lit("]")).alias("reply"), F.array_append(F.transform("l", lambda x: x["l_partkey"]), F.lit(-1).cast("long")).alias("fact_ids"))
+    found = replies.relationships(replies.items(made, ["fact_ids"]))
     return found.select("reply_id", F.try_variant_get("item", "$.reasoning_text", "string").cast("int").alias("item"), "reject_reason")
 
 

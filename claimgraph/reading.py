@@ -135,13 +135,18 @@ def rect_overlap_assign(spark, sf_dir):
 SELECT l_orderkey, '| no | part | flag |' || chr(10) || '| --- | --- | --- |' || string_agg(chr(10) || '| ' || l_linenumber || ' | ' || l_partkey || ' | ' || CASE WHEN l_linenumber % 3 = 0 THEN '' ELSE l_returnflag || '\\|' || l_linestatus END || ' |', '' ORDER BY no) AS text FROM r GROUP BY l_orderkey""")
 def order_tables(spark, sf_dir):
     """An order's lines as a table; every third row lacks a cell, the others have one too many."""
-    text = lambda c: F.col(c).cast("string")
-    cells = F.array(text("l_linenumber"), F.concat(F.lit(" "), text("l_partkey")))
-    full = F.concat(cells, F.array(F.concat("l_returnflag", F.lit("|"), "l_linestatus", F.lit(" ")), F.lit("extra")))
-    row = F.when(F.col("l_linenumber") % 3 == 0, cells).otherwise(full)
-    rows = read(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", row.alias("row")))).alias("r"))
+    def cells(x):
+        some = F.array(x["l_linenumber"].cast("string"), F.concat(F.lit(" "), x["l_partkey"].cast("string")))
+        full = F.concat(some, F.array(F.concat(x["l_returnflag"], F.lit("|"), x["l_linestatus"], F.lit(" ")), F.lit("extra")))
+        return F.when(x["l_linenumber"] % 3 == 0, some).otherwise(full)
+
+    # rows are collected as they are read, and become texts behind that
+    names = ["l_linenumber", "l_partkey", "l_returnflag", "l_linestatus"]
+    rows = read(spark, sf_dir, "lineitem").select("l_orderkey", *names).repartition("l_orderkey").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct(*names))).alias("r"))
     header = F.array(F.array(F.lit("no "), F.lit("part"), F.lit("flag")))
-    return rows.select("l_orderkey", uploads.markdown_table(F.concat(header, F.transform("r", lambda x: x["row"]))).alias("text"))
+    # a column of its own, as the text reads it several times
+    tables = rows.select("l_orderkey", F.concat(header, F.transform("r", cells)).alias("rows"))
+    return tables.select("l_orderkey", uploads.markdown_table(F.col("rows")).alias("text"))
 
 
 _PERIOD = "struct_pack(period_type := CASE WHEN o_orderkey % 2 = 0 THEN 'span' ELSE 'point_in_time' END"

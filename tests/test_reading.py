@@ -160,3 +160,14 @@ def test_layout_sections_are_those_with_texts(spark):
     names = ["doc", "section_path", "start_page", "end_page"]
     found = sorted(tuple(r) for r in sections.layout_sections(df, whole).select(*names).collect())
     assert found == sorted(tuple(r) for r in sections.detect_sections(df, whole).select(*names).collect()) == [("d", "Aims", 1, 2), ("d", "Ends", 40, 41), ("d", "Means", 40, 40)]
+
+
+def test_texts_are_made_behind_the_grouping(spark):
+    """Orders' lines are dealt and collected as numbers and flags; replies meet no join."""
+    from claimgraph.queries import queries
+
+    for name in ("hallucinated_ids", "order_tables"):
+        plan = queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        collected = [line for line in plan.splitlines() if "Aggregate" in line]
+        assert collected and not any("concat(" in line for line in collected), name
+        assert "Join Inner" not in plan and "Join LeftOuter, (reply_id" not in plan, name

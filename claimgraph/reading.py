@@ -71,8 +71,7 @@ SELECT doc, 'Pages ' || min(page_number) || '-' || max(page_number), min(page_nu
 FROM pg WHERE doc NOT IN (SELECT doc FROM hn WHERE n >= 3) GROUP BY doc, (page_no - 1) // 10""")
 def detect_sections(spark, sf_dir):
     """Hosts as documents: those with three headings or more by headings, others by pages."""
-    spans = _spans(spark, sf_dir).withColumn("line_key", F.col("line_no"))
-    every = read(spark, sf_dir, "pages").select(F.regexp_extract("url", "^https?://([^/]+)", 1).alias("doc"), F.col("page_id").alias("page_number"))
+    spans, every = _outline(spark, sf_dir)
     texts = every.join(P.page_texts(spans), ["doc", "page_number"], "left").withColumn("text", F.coalesce("text", F.lit("")))
     return sections.detect_sections(spans, texts)
 

@@ -1,6 +1,9 @@
 import random
 from difflib import SequenceMatcher
 
+import numpy as np
+
+from claimgraph.functions import ratios
 from claimgraph.operators import evidence, matching
 
 FACTS = [
@@ -77,3 +80,44 @@ def test_facts_are_sought_in_their_sections(spark):
     )
     # the last "Two" is in batch 1: for batch 0 that name leads to all its sections
     assert {tuple(r) for r in found.collect()} == {(1, "One", 1, 4 - 4), (2, "One", 1, 0), (3, "One", 1, 0), (4, "Two", 20, 0), (5, "Two", 40, -1), (6, "Three", 30, 2)}
+
+
+def test_links_of_names_against_all_pairs(spark, monkeypatch):
+    """A row for each fact, its links counted over small blocks; no link is lost, equal names hang together."""
+    monkeypatch.setattr(matching, "BLOCK", 16)
+    rng = random.Random(4)
+    names = [f"works number {k:05}" for k in range(60)] + ["".join(rng.choices("abc", k=rng.randint(1, 7))) for _ in range(60)] + ["", "z" * 205, "z" * 204 + "y", "alone here"]
+    rows = [(k, n) for k, n in enumerate(names)]
+    got = {r.id: r for r in matching.name_links(spark.createDataFrame(rows, "id long, name string")).collect()}
+    distinct = {n for n in names if n}
+    links = {n: {m for m in distinct if m != n and SequenceMatcher(None, n, m).ratio() >= 0.8} for n in distinct}
+    smallest = {n: min(k for k, m in rows if m == n) for n in distinct}
+    for _ in distinct:
+        for n in distinct:
+            for m in links[n]:
+                smallest[n] = smallest[m] = min(smallest[n], smallest[m])
+    assert len(got) == len(rows)
+    for k, n in rows:
+        assert (got[k].name, got[k].n_links, got[k].component_id) == (n, len(links.get(n, ())), smallest.get(n, k))
+
+
+def test_ratios_at_once_equal_difflib_s():
+    """Prefixes that repeat themselves, ties, and long texts, in which difflib leaves out frequent characters."""
+    rng = random.Random(6)
+    for k in range(24):
+        begin, letters = ["", "supplier 0000", "aaaaa", "abab"][k % 4], ["ab", "ab c", "0123456789", "é漢ab"][k // 4 % 4]
+        a = sorted({begin + "".join(rng.choices(letters, k=rng.randint(1, 14))) for _ in range(40)}) + (["ab" * 108] if k < 3 else [])
+        b = a[:10] + [(n[:p] + rng.choice(["", "a", "ab"]) + n[p + 1 :]) or "a" for n in a for p in [rng.randrange(len(n) + 1)]]
+        want = {(x, y): r for x, n in enumerate(a) for y, m in enumerate(b) if (r := SequenceMatcher(None, n, m).ratio()) >= 0.8}
+        for whole in (True, False):
+            found = ratios.alike(a, b, 0.8, lambda part: np.ones((part.stop - part.start, len(b)), bool), whole)
+            got = {(x, y): 2.0 * m / (len(a[x]) + len(b[y])) for i, j, n in found for x, y, m in zip(i.tolist(), j.tolist(), n.tolist())}
+            assert got.keys() == want.keys() and (not whole or all(abs(got[p] - want[p]) < 1e-12 for p in got))
+
+
+def test_pairs_of_names_alike_are_no_rows(spark):
+    """No join or exchange of the links' plan holds pairs: names are dealt once a gram and block."""
+    from claimgraph.queries import queries
+
+    links = queries()["candidate_join_fuzzy"](spark, "/root/testdata/sf0.01")
+    assert links.columns == ["id", "name", "n_links", "component_id"] and links.count() == spark.read.parquet("/root/testdata/sf0.01/supplier.parquet").count()

@@ -1,8 +1,11 @@
 """Near-duplicates by the Jaccard similarity of their sets of five-word shingles.
 
+First op5's trees link: fingerprints of the shingles that differ in few bits meet in BK-trees, and
+what these connect is a link if the whole sets have the similarity. At 0.8 fingerprints may
+differ in more bits than the trees' radius, so what they leave apart goes on:
 MinHash finds candidates: 24 bands of five minima each, so that two texts of similarity s
 meet in a band with probability 1 - (1 - s^5)^24, which is 0.9999 at 0.8. A candidate pair
-becomes a link only if its whole sets have the similarity. First each text is compared with
+becomes a link only if its whole sets have the similarity. Each text is compared with
 one that it meets. Texts of bands that this leaves in several components are then joined
 exactly, by prefix: with shingles ordered from rare to frequent, similar sets have their
 first common shingle near both beginnings, and its two places bound what can follow. So
@@ -23,6 +26,7 @@ from pyspark.sql import functions as F
 
 from claimgraph.llm.common import block_pairs, cut, no_clash, small_batches
 from claimgraph.llm.components import components
+from claimgraph.llm.simhash import near_links
 
 WORDS = 5
 MIN_JACCARD = 0.8
@@ -44,6 +48,14 @@ def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
     return np.unique(np.array([digest(join(g), 42) for g in grams], np.uint64))
 
 
+def fingerprint(h: np.ndarray) -> int:
+    """The SimHash of a set of shingles, as a signed number (none: 0)."""
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(h), _SLICE):
+        ones += np.unpackbits(h[at : at + _SLICE].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(ones * 2 > len(h), bitorder="little").view(np.int64)[0])
+
+
 def bands(h: np.ndarray) -> np.ndarray:
     least = np.full(len(_FACTORS), (1 << 64) - 1, np.uint64)
     for at in range(0, len(h), _SLICE):
@@ -59,13 +71,15 @@ def similar(x: np.ndarray, y: np.ndarray, min_jaccard: float) -> bool:
 def _sketches(words: int):
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            nodes, found = [], []
+            nodes, prints, found = [], [], []
             for t in b.column("text"):
                 h = shingles(t.as_py(), words)
                 nodes.append(xxhash.xxh64_intdigest(h.tobytes()) - (1 << 63) if len(h) else 0)
+                prints.append(fingerprint(h))
                 found.append(bands(h) if len(h) else [])
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), b.column("row_hash"), pa.array(nodes, pa.int64()), pa.array(found, pa.list_(pa.int64()))], names=["doc_id", "row_hash", "node", "bands"]
+                [b.column("doc_id"), b.column("row_hash"), pa.array(nodes, pa.int64()), pa.array(prints, pa.int64()), pa.array(found, pa.list_(pa.int64()))],
+                names=["doc_id", "row_hash", "node", "fp", "bands"],
             )
 
     return sketch
@@ -123,6 +137,15 @@ def _postings(sets: DataFrame, min_jaccard: float) -> DataFrame:
     return left.filter(F.col("left") >= F.col("size") * min_jaccard - 1e-6).select("node", "size", "x.token", "left")
 
 
+def _tree_pairs(nodes: DataFrame) -> DataFrame:
+    """nodes(node, fp) -> (a, b): each node with the first of its fingerprint, and what op5's
+    trees connect of these. No text: no pair."""
+    some = nodes.filter("node <> 0").select("node", "fp")
+    first = cut(some.groupBy("fp").agg(F.min("node").alias("first")), "fingerprints")
+    copies = some.join(first, "fp").filter("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b"))
+    return cut(copies.unionByName(near_links(first.select("fp", F.col("first").alias("node")))), "tree-pairs")
+
+
 def _with_rows(docs: DataFrame) -> DataFrame:
     """Adds row_hash, of all columns; nulls count by their column."""
     nulls = F.concat(*[F.when(F.col(f"`{c}`").isNull(), "1").otherwise("0") for c in docs.columns])
@@ -134,14 +157,16 @@ def groups(docs: DataFrame, words: int = WORDS, min_jaccard: float = MIN_JACCARD
     row. Texts without words are one group."""
     small_batches(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long"), "row_hash", F.col("text").cast("string"))
-    own = cut(texts.mapInArrow(_sketches(words), "doc_id long, row_hash long, node long, bands array<long>"), "sketches")
-    nodes = own.groupBy("node").agg(F.min("row_hash").alias("row_hash"), F.first("bands").alias("bands"))
+    own = cut(texts.mapInArrow(_sketches(words), "doc_id long, row_hash long, node long, fp long, bands array<long>"), "sketches")
+    nodes = own.groupBy("node").agg(F.min("row_hash").alias("row_hash"), F.first("fp").alias("fp"), F.first("bands").alias("bands"))
+    trees = _tree_pairs(nodes)
     keyed = nodes.select("node", "row_hash", F.posexplode("bands").alias("band", "sig"))
     keyed = keyed.select("node", "row_hash", F.xxhash64("band", "sig").alias("bucket"))
     hubs = keyed.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high").drop("high")
     # written first, so that Spark splits a hot key of the join
     met = cut(keyed.join(cut(hubs, "hubs"), "bucket").select("node", "row_hash", "bucket", "low"), "met")
-    wanted = met.select("node", "row_hash").distinct()
+    in_trees = trees.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    wanted = met.select("node", "row_hash").unionByName(nodes.select("node", "row_hash").join(in_trees, "node")).distinct()
     bodies = cut(texts.select("row_hash", "text").join(wanted, "row_hash").dropDuplicates(["node"]).select("node", "text"), "candidate-texts")
 
     def verified(pairs: DataFrame) -> DataFrame:
@@ -157,7 +182,13 @@ def groups(docs: DataFrame, words: int = WORDS, min_jaccard: float = MIN_JACCARD
         """The keys whose rows are in several components, with their number of rows."""
         return df.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("least"), F.max("component").alias("most")).filter("least < most").select(key, "n")
 
-    links = cut(verified(met.filter("node <> low").groupBy(F.col("node").alias("a")).agg(F.min("low").alias("b"))), "links")
+    def apart(pairs: DataFrame, found: DataFrame) -> DataFrame:
+        return placed(placed(pairs, found, "a", "of_a"), found, "b", "of_b").filter("of_a <> of_b").select("a", "b")
+
+    links = cut(verified(trees), "links")
+    found = components(links, "simhash")
+    low = met.filter("node <> low").groupBy(F.col("node").alias("a")).agg(F.min("low").alias("b"))
+    links = cut(links.unionByName(verified(apart(low, found))), "links")
     found = components(links, "shingles")
     open_ = met.join(cut(mixed(placed(met.select("node", "bucket"), found), "bucket"), "open"), "bucket", "left_semi").select("node").distinct()
     sets = cut(bodies.join(open_, "node", "left_semi").mapInArrow(_sets(words), "node long, size long, tokens array<long>"), "sets")
@@ -166,8 +197,7 @@ def groups(docs: DataFrame, words: int = WORDS, min_jaccard: float = MIN_JACCARD
     hubs = cut(postings.groupBy("token").agg(F.min(F.struct("node", "size", "left")).alias("hub"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"), "hubs")
     near = postings.join(hubs, "token").filter("node <> hub.node").filter(F.least("left", "hub.left") * (1 + min_jaccard) >= (F.col("size") + F.col("hub.size")) * min_jaccard - 1e-6)
     near = near.select(F.col("node").alias("a"), F.col("hub.node").alias("b")).distinct()
-    near = placed(placed(near, found, "a", "of_a"), found, "b", "of_b").filter("of_a <> of_b").select("a", "b")
-    links = cut(links.unionByName(verified(near)), "links")
+    links = cut(links.unionByName(verified(apart(near, found))), "links")
     found = components(links, "shingles")
 
     rest = cut(placed(postings, found), "placed")

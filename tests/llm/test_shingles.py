@@ -110,3 +110,18 @@ def test_blocks_give_each_pair_that_can_be_similar(monkeypatch, spark):
     texts = list(dict.fromkeys(texts))
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert {r.doc_id for r in shingles.keep_first(docs).collect()} == set(_groups(texts))
+
+
+def test_op5_s_trees_link_first(spark, monkeypatch):
+    """Fingerprints near each other go through op5's trees; what their pairs connect is linked though no band is asked."""
+    rng, asked = random.Random(8), []
+    words = [f"w{k}" for k in range(500)]
+    base = [rng.choices(words, k=300) for _ in range(10)]
+    texts = [" ".join(b) for b in base] + [" ".join([*b[:-1], "other"]) for b in base]
+    monkeypatch.setattr(shingles, "near_links", lambda fps: asked.append(simhash.near_links(fps)) or asked[-1])
+    found = {r.doc_id: r.component for r in shingles.groups(shingles._with_rows(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))).collect()}
+    assert len(set(found.values())) == 10 and all(found[k] == found[k + 10] for k in range(10))
+    prints = [shingles.fingerprint(shingles.shingles(t)) for t in texts]
+    near = [k for k in range(10) if 0 < ((prints[k] ^ prints[k + 10]) & (1 << 64) - 1).bit_count() <= simhash.RADIUS]
+    linked = {frozenset(p) for p in asked[0].collect()}
+    assert near and len(linked) >= len(near)

@@ -447,7 +447,9 @@ a AS (SELECT doc_id, chunk, is_new, ord FROM w UNION ALL SELECT doc_id, unnest(r
 SELECT doc_id, chunk::INTEGER AS chunk, is_new, ord::BIGINT AS ord FROM a QUALIFY count(*) OVER (PARTITION BY doc_id, chunk) >= 2""")
 def digest_chunks(spark, sf_dir):
     """An order's lines: the odd ones are new facts, the even ones candidates."""
-    lines = read(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("ord")).agg(F.max("l_partkey").alias("size"))
+    # dealt by order once: what follows groups by it
+    dealt = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey").repartition("l_orderkey")
+    lines = dealt.groupBy(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("ord")).agg(F.max("l_partkey").alias("size"))
     return digests.chunks(lines.withColumn("is_new", F.col("ord") % 2 == 1), budget=3000).drop("place")
 
 

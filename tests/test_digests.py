@@ -129,3 +129,35 @@ def test_calls(spark):
     tried = [("a", 1, False), ("a", 2, False), ("a", 3, True), ("a", 4, True), ("b", 1, False), ("c", 9, True)] + [("d", k, k == 8) for k in range(9)]
     got = {tuple(r) for r in clients.calls(spark.createDataFrame(tried, "k string, n int, ok boolean"), "k", "n", "ok").collect()}
     assert got == {("a", 3, 3, 3, False), ("a", 4, 1, 0, False), ("b", 1, 1, 0, True), ("c", 9, 1, 0, False), ("d", 8, 9, 121, True)}
+
+
+@pytest.mark.parametrize("small", [0, 5, 256])
+def test_chunks_of_small_and_large_documents(spark, monkeypatch, small):
+    """A row or blocks a document: the same chunks, places and columns that pass."""
+    monkeypatch.setattr(digests, "SMALL", small)
+    rng = random.Random(12)
+    docs = {}
+    for d in range(60):
+        sides = [[(o, rng.choice([0, 3, 9, 40, 120])) for o in sorted(rng.sample(range(90), rng.randint(0, 6)))] for _ in "ab"]
+        docs[d] = sides if any(sides) else [[(1, 1)], []]
+    rows = [(d, side, o, s, f"{d}/{o}") for d, sides in docs.items() for side, part in zip((True, False), sides) for o, s in part]
+    got = defaultdict(list)
+    for r in digests.chunks(spark.createDataFrame(rows, "doc_id long, is_new boolean, ord long, size long, name string"), budget=100, take=["name"]).collect():
+        assert r.name == f"{r.doc_id}/{r.ord}"
+        got[r.doc_id, r.chunk].append((r.place, r.is_new, r.ord))
+    want = {(d, k): c for d, (new, old) in docs.items() for k, c in enumerate(packed(new, old, 100)) if len(c) > 1}
+    assert {k: sorted(x[1:] for x in v) for k, v in got.items()} == want
+    for d, k in got:
+        _, sides, ords = zip(*sorted(got[d, k]))
+        new = [o for s, o in zip(sides, ords) if s]
+        assert new == sorted(new) and len(set(got[d, k])) == len(got[d, k])
+
+
+def test_small_documents_need_one_shuffle_and_no_python(spark):
+    from claimgraph.queries import queries
+
+    run = queries()["digest_chunks"](spark, "/root/testdata/sf0.001")._jdf.queryExecution()
+    plan = run.executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "MapInArrow" not in plan
+    # the rows are made once: a filter by their number would make them again
+    assert run.optimizedPlan().toString().count("zip_with(") == 1

@@ -48,3 +48,24 @@ def test_events_without_effect_give_no_rows(spark, tmp_path):
     _, got = run(spark, rows, tmp_path, 4)
     kept = spark.read.option("basePath", f"{tmp_path}/out").parquet(f"{tmp_path}/out")
     assert got == {("a", 0, "x", "parsing", None, None, None)} and kept.count() == 2
+
+
+def test_a_new_job_asks_for_its_state_once():
+    """What is not there yet is not asked for: no file of a job that the state does not know."""
+    asked = []
+
+    class State:
+        def __init__(self, name):
+            self.name = name
+
+        def __getattr__(self, call):
+            return lambda *a: asked.append((self.name, call)) or ([] if (self.name, call) == ("early", "get") else None)
+
+    import pandas as pd
+
+    worker = tracker.FileTracker()
+    worker.job, worker.files, worker.early = State("job"), State("files"), State("early")
+    rows = pd.DataFrame([(1, "created", None, "x,y", None), (2, "stage", 0, "parsing", None), (3, "result", 1, "r", None)], columns=["seq", "kind", "file_no", "value", "detail"])
+    out = pd.concat(worker.handleInputRows(("j",), iter([rows]), None))
+    assert out.stage.tolist() == ["parsing", "done"]
+    assert [a for a in asked if a[1] not in ("updateValue", "update", "clear")] == [("job", "get"), ("early", "get")]

@@ -115,8 +115,8 @@ def test_ratios_at_once_equal_difflib_s():
             assert got.keys() == want.keys() and (not whole or all(abs(got[p] - want[p]) < 1e-12 for p in got))
 
 
-def test_pairs_of_names_alike_are_no_rows(spark):
-    """No join or exchange of the links' plan holds pairs: names are dealt once a gram and block."""
+def test_fuzzy_query_gives_a_row_for_each_supplier(spark):
+    """The query gives a row for each supplier, not for each pair of names."""
     from claimgraph.queries import queries
 
     links = queries()["candidate_join_fuzzy"](spark, "/root/testdata/sf0.01")

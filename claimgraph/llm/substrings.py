@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from claimgraph.llm.common import cut, no_clash, small_batches, table
+from claimgraph.llm.common import cut, forget, no_clash, small_batches, table
 
 LENGTH = 100
 ANCHOR = 24
@@ -254,28 +254,35 @@ def repeated_spans(docs: DataFrame, few_segments: int = FEW_SEGMENTS, most_segme
     found = docs.filter(F.length("bytes") >= LENGTH).select("doc_id", "bytes").mapInArrow(_segments, _SEGMENT)
     often = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("times")).filter("times > 1").select("anchor")
     # written first: joined from its table, both sides are dealt anew and Spark splits a hot anchor
-    again = cut(found.join(cut(often, "frequent-anchors"), "anchor"), "segments")
+    often = cut(often, "frequent-anchors", drop_shuffles=True)
+    again = cut(found.join(often, "anchor"), "segments", drop_shuffles=True)
+    forget(often)
     kinds = again.groupBy("anchor", "content", "n").agg(F.min(place()).alias("first"), F.count(F.lit(1)).alias("times"))
-    kinds = cut(kinds, "segment-kinds")
+    kinds = cut(kinds, "segment-kinds", drop_shuffles=True)
     repeats = again.join(kinds.filter("times > 1").drop("times"), ["anchor", "content", "n"]).filter(place() > F.col("first"))
     whole = repeats.select("doc_id", F.col("lo").alias("begin"), (F.col("lo") + F.col("n") + (LENGTH - 1)).alias("end"))
     # the different segments of an anchor are compared byte by byte
-    unlike = cut(kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("n_kinds")).filter("n_kinds > 1"), "unlike-anchors")
+    unlike = cut(kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("n_kinds")).filter("n_kinds > 1"), "unlike-anchors", drop_shuffles=True)
     shards = kinds.join(unlike, "anchor").select("anchor", "n_kinds", "n", "first.doc_id", "first.lo")
     wanted = shards.groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "n_kinds", "lo", "n")).alias("wanted"))
     cut_out = docs.join(wanted, "doc_id").select("doc_id", "bytes", "wanted").mapInArrow(lambda b: _batched(_cut_out(b)), "anchor long, n_kinds long, doc_id long, lo int, n int, bytes binary")
-    sized = cut(cut_out.dropDuplicates(["anchor", "doc_id", "lo"]), "segment-bytes")
+    sized = cut(cut_out.dropDuplicates(["anchor", "doc_id", "lo"]), "segment-bytes", drop_shuffles=True)
+    forget(unlike)
     span = "doc_id long, begin int, end int"
     few = sized.filter(F.col("n_kinds") <= few_segments).groupBy("anchor").agg(F.collect_list(F.struct("doc_id", "lo", "n", "bytes")).alias("members"))
     merged = few.select("members").mapInArrow(_merged, span)
     more = sized.filter((F.col("n_kinds") > few_segments) & (F.col("n_kinds") <= most_segments)).groupBy("anchor").applyInArrow(_merged_alone, span)
     many = sized.filter(F.col("n_kinds") > most_segments)
     hashed = many.select("anchor", "doc_id", "lo", "n", "bytes").mapInArrow(lambda b: _batched(_window_hashes(b)), "h0 long, h1 long, doc_id long, lo int")
-    hashed = cut(hashed, "windows")
+    hashed = cut(hashed, "windows", drop_shuffles=True)
     firsts = hashed.groupBy("h0", "h1").agg(F.min(place()).alias("first"), F.count(F.lit(1)).alias("times")).filter("times > 1")
     later = hashed.join(firsts, ["h0", "h1"]).filter(place() > F.col("first"))
     single = later.select("doc_id", F.col("lo").alias("begin"), (F.col("lo") + LENGTH).alias("end"))
-    return whole.unionByName(merged).unionByName(more).unionByName(single)
+    # written, so that the documents are dealt to their spans when all else is gone
+    spans = cut(whole.unionByName(merged).unionByName(more).unionByName(single), "spans", drop_shuffles=True)
+    for done in (again, kinds, sized, hashed):
+        forget(done)
+    return spans
 
 
 @F.pandas_udf(T.StructType([T.StructField("kept", T.BinaryType()), T.StructField("n_spans", T.LongType())]))

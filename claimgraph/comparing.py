@@ -100,7 +100,7 @@ def _compared(spark, sf_dir):
         "doc_id", "id", F.col("n_name").alias("entity_name"), "entity_id", F.col("label").alias("attribute"), "raw_value", "unit", scope.alias("time_scope"), "entity_scope",
         F.concat(F.lit('"'), "raw_value", F.lit('"\t\u2013 \u20b9')).alias("verbatim_quote"), ((c % 100).cast("double") / 100).alias("confidence"), "document_id",
     )
-    stored = scratch.kept(stored, "stored-facts")
+    stored = scratch.kept(stored, "stored-facts", small=True)
     new = stored.filter((F.col("document_id") == 2) & (F.regexp_extract("attribute", r"(\d+)", 1).cast("int") >= 1998))
     return new, stored.drop("doc_id")
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from claimgraph.functions import jsontext
 from claimgraph.operators.order import row_numbers
-from claimgraph.operators.packing import fold
+from claimgraph.operators.packing import BLOCK, fold, fold_listed
 from claimgraph.sources import scratch
 
 BUDGET = 25_000
@@ -30,13 +30,12 @@ def with_json(df: DataFrame, fields: list[str] = FIELDS, name: str = "json") ->
 
 
 def in_order(facts: DataFrame) -> DataFrame:
-    """facts(doc_id, is_new, first, id, ...): adds ord, from 1 among a document's new facts and
-    among its candidates, by first, then id. Groups of one first are numbered apart."""
+    """facts(doc_id, is_new, first, id, ...), none of these null: adds ord, from 1 among
+    a document's new facts and among its candidates, by first, then id. Groups of one first are numbered apart."""
     by = ["doc_id", "is_new"]
     groups = facts.groupBy(*by, "first").agg(F.count(F.lit(1)).alias("_n"))
     before = F.sum("_n").over(W.partitionBy(*by).orderBy("first")) - F.col("_n")
-    inside = row_numbers(facts, "id", "_in", [*by, "first"])
-    return inside.join(groups.select(*by, "first", before.alias("_before")).hint("merge"), [*by, "first"]).withColumn("ord", F.col("_in") + F.col("_before")).drop("_in", "_before")
+    return row_numbers(facts, "id", "ord", [*by, "first"], after=groups.select(*by, "first", before.alias("_after")), nulls=False)
 
 
 def chunks(facts: DataFrame, budget: int = BUDGET, least: int = LEAST, take: list[str] = [], numbered: bool = False) -> DataFrame:  # noqa: B006
@@ -93,3 +92,44 @@ def _in_blocks(sized: DataFrame, budget: int, least: int, take: list[str], numbe
     rows = packed.unionByName(again)
     whole = rows.groupBy("doc_id", "chunk").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least).drop("n")
     return rows.join(whole.hint("merge"), ["doc_id", "chunk"])
+
+
+def blocks(facts: DataFrame, budget: int = BUDGET) -> DataFrame:
+    """facts(doc_id, is_new, ord, size, id), ord from 1 among a document's new facts and among its
+    candidates -> (doc_id, _block, base, moving, sizes, fixed), a row for each block of a document's
+    places: the (id, is_new) to be packed in order and their sizes, and the new ones that each chunk
+    repeats. The facts are dealt once."""
+    new = F.when(F.col("is_new"), F.col("size"))
+    totals = facts.groupBy("doc_id").agg((F.coalesce(F.sum(new), F.lit(0)) + 2 * F.greatest(F.count(new), F.lit(1))).alias("new_size"))
+    bases = totals.select("doc_id", F.when(F.col("new_size") < budget, F.col("new_size")).otherwise(0).cast("long").alias("base"))
+    place = (2 * F.col("ord") + (~F.col("is_new")).cast("int")).cast("long")
+    rows = facts.filter("doc_id is not null").select("doc_id", place.alias("place"), F.col("size").cast("long").alias("size"), "id")
+    rows = rows.withColumn("_block", F.floor(F.col("place") / F.lit(float(BLOCK))).cast("long"))
+    # bases come by blocks, as the facts are dealt: not a document's facts to one task
+    cells = rows.select("doc_id", "_block").distinct().join(bases.hint("merge"), "doc_id")
+    fact, moves = F.struct("place", "size", "id"), (F.col("place") % 2 == 1) | (F.col("base") == 0)
+    sorted_ = lambda which: F.sort_array(F.collect_list(F.when(which, fact)))
+    listed = rows.join(cells.hint("merge"), ["doc_id", "_block"]).groupBy("doc_id", "_block").agg(F.first("base").alias("base"), sorted_(moves).alias("m"), sorted_(~moves).alias("f"))
+    each = lambda c, f: F.transform(c, f)
+    # arrays of plain values, as these take the least when they are shuffled
+    return listed.select(
+        "doc_id", "_block", "base", each("m", lambda x: x["id"]).alias("moving"), each("m", lambda x: x["place"] % 2 == 0).alias("news"),
+        each("m", lambda x: x["size"]).alias("sizes"), each("f", lambda x: x["id"]).alias("fixed"),
+    )
+
+
+def listed(blocks: DataFrame, budget: int = BUDGET, least: int = LEAST) -> DataFrame:
+    """blocks() -> (doc_id, chunk, ids, news): the chunks of chunks(), a row each, with the ids of
+    their facts in order and whether these are new."""
+    parts = fold_listed(blocks.filter("size(moving) > 0").select("doc_id", "_block", "base", "sizes", "moving", "news"), "doc_id", "sizes", ["moving", "news"], budget)
+    # a chunk that reaches over blocks has a part in each
+    held = F.array_sort(F.collect_list(F.struct("_block", "moving", "news")))
+    whole = parts.groupBy("doc_id", "batch").agg(F.first("base").alias("base"), held.alias("l"))
+    over = lambda c: F.flatten(F.transform("l", lambda b: b[c]))
+    whole = scratch.kept(whole.select("doc_id", F.col("batch").alias("chunk"), "base", over("moving").alias("ids"), over("news").alias("news")), "fact-lists", small=True)
+    again = blocks.filter("base > 0").groupBy("doc_id").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("_block", "fixed"))), lambda b: b["fixed"])).alias("fixed"))
+    again = scratch.kept(again, "repeated-facts", small=True)
+    both = again.join(whole.filter("base > 0").hint("merge"), "doc_id", "left")
+    none = lambda c: F.coalesce(c, F.array().cast(whole.schema[c].dataType))
+    repeated = both.select("doc_id", F.coalesce("chunk", F.lit(0)).alias("chunk"), F.concat("fixed", none("ids")).alias("ids"), F.concat(F.transform("fixed", lambda x: F.lit(True)), none("news")).alias("news"))
+    return whole.filter("base = 0").drop("base").unionByName(repeated).filter(F.size("ids") >= least)

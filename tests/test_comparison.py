@@ -1,9 +1,13 @@
 import json
+import random
+from collections import defaultdict
+from pathlib import Path
 
 from pyspark.sql import functions as F
 
 from claimgraph.operators import digests, matching
 from claimgraph.plans import comparison
+from claimgraph.sources import scratch
 from claimgraph.streaming import compare
 
 SCOPE = "struct<period_type: string, start: string, end: string, label: string, vintage: string>"
@@ -65,3 +69,83 @@ def test_replies_give_each_new_pair_once(spark):
     known = spark.createDataFrame([(3, 10)], "fact_id_a long, fact_id_b long")
     got = sorted((r.fact_id_a, r.fact_id_b) for r in comparison.relationships(answered, known).collect())
     assert got == [(10, 1), (11, 1), (11, 4)]
+
+
+def shuffled(plan):
+    """Bytes that the exchanges of a plan that ran took in."""
+    kind = plan.getClass().getSimpleName()
+    if kind == "AdaptiveSparkPlanExec":
+        return shuffled(plan.executedPlan())
+    if kind.endswith("QueryStageExec"):
+        return shuffled(plan.plan())
+    children = [plan.children().apply(k) for k in range(plan.children().size())]
+    own = plan.metrics().get("dataSize").get().value() if kind == "ShuffleExchangeExec" else 0
+    return own + sum(map(shuffled, children))
+
+
+def many(spark, docs=12, new=12, stored=3000):
+    """Facts of one attribute, each with a text of its own; each document's new ones outgrow a budget of 4000."""
+    made = spark.range(stored).select(
+        F.col("id"), F.concat(F.lit("name "), F.sha2(F.col("id").cast("string"), 256)).alias("entity_name"), F.lit(None).cast("string").alias("entity_id"), F.lit("revenue").alias("attribute"), F.lit("1").alias("raw_value"), F.lit(None).cast("string").alias("unit"),
+        F.lit(None).cast(SCOPE).alias("time_scope"), F.lit(None).cast("string").alias("entity_scope"), F.sha2(F.col("id").cast("string"), 512).alias("verbatim_quote"), F.lit(0.5).alias("confidence"),
+    )
+    return made.filter(F.col("id") < docs * new).withColumn("doc_id", F.col("id") % docs), made
+
+
+def test_a_text_is_not_shuffled_for_each_document(spark):
+    new, stored = many(spark)
+    made = comparison.prompts_of(comparison.chunks(new, stored, 4000))
+    total = sum(len(r.prompt) for r in made.collect())
+    assert total > 12 * 2800 * 300 and shuffled(made._jdf.queryExecution().executedPlan()) < total / 2
+
+
+def test_chunks_near_and_apart(spark, monkeypatch):
+    """The same texts and order whether a chunk's facts lie near each other or not."""
+    monkeypatch.setattr(comparison, "NEAR", 64)
+    monkeypatch.setattr(comparison, "LISTED", 2)
+    monkeypatch.setattr(digests, "BLOCK", 32)
+    new, stored = many(spark, 5, 12, 400)
+    texts = {r.id: r.json for r in digests.with_json(stored).collect()}
+    got = {}
+    for r in comparison.chunks(new, stored, 4000).collect():
+        got[r.doc_id, r.chunk] = r.ids
+        assert r.digest == "[" + ", ".join(texts[i] for i in r.ids) + "]"
+    want = {}
+    for doc in range(5):
+        own = [i for i in range(60) if i % 5 == doc]
+        old = [i for i in range(400) if i not in own]
+        turns = [i for k in range(len(old)) for i in [*own[k : k + 1], old[k]]]
+        chunk, used = 0, 0
+        for i in turns:
+            if used and used + len(texts[i]) > 4000:
+                chunk, used = chunk + 1, 0
+            used += len(texts[i])
+            want.setdefault((doc, chunk), []).append(i)
+    assert got == {k: ids for k, ids in want.items() if len(ids) > 1}
+
+
+def test_lists_of_chunks_equal_rows_of_chunks(spark, monkeypatch):
+    """Documents whose new facts fit, do not, or stand alone, over blocks of a few places."""
+    monkeypatch.setattr(digests, "BLOCK", 8)
+    rng = random.Random(5)
+    rows = []
+    for d in range(60):
+        for is_new in (True, False):
+            rows += [(d, is_new, o, rng.choice([1, 3, 9, 40, 120]), rng.randrange(10**9)) for o in range(1, rng.randint(1, 30))]
+    facts = spark.createDataFrame(rows, "doc_id long, is_new boolean, ord long, size long, id long")
+    want = defaultdict(list)
+    for r in digests.chunks(facts, 100, take=["id"], numbered=True).collect():
+        want[r.doc_id, r.chunk].append((r.place, r.id, r.is_new))
+    got = {(r.doc_id, r.chunk): list(zip(r.ids, r.news)) for r in digests.listed(scratch.kept(digests.blocks(facts, 100), "blocks"), 100).collect()}
+    assert got == {k: [x[1:] for x in sorted(v)] for k, v in want.items()} and len(got) > 200
+
+
+def test_what_is_kept_small_can_go(spark):
+    key, before = scratch.FILE_CLEANUP, spark.conf.get(scratch.FILE_CLEANUP, None)
+    df = scratch.kept(spark.range(100).groupBy((F.col("id") % 7).alias("k")).count(), "test", small=True)
+    assert spark.conf.get(key, None) == before and sorted(tuple(r) for r in df.collect()) == [(k, 15 if k < 2 else 14) for k in range(7)]
+    assert ".zstd." in df.inputFiles()[0]
+    folder = Path(df.kept_path.removeprefix("file://"))
+    assert folder.exists()
+    scratch.forget(df)
+    assert not folder.exists()

@@ -121,3 +121,37 @@ def test_fuzzy_query_gives_a_row_for_each_supplier(spark):
 
     links = queries()["candidate_join_fuzzy"](spark, "/root/testdata/sf0.01")
     assert links.columns == ["id", "name", "n_links", "component_id"] and links.count() == spark.read.parquet("/root/testdata/sf0.01/supplier.parquet").count()
+
+
+def test_names_of_large_classes_against_all_pairs(spark, monkeypatch):
+    """Names that differ in their last characters are counted by patterns, others and those of two classes in
+    pairs: as all pairs give it. A class that does not hang together, and one whose beginning repeats itself, go in pairs."""
+    for name, value in (("MANY", 24), ("COUNTED", 16), ("BLOCK", 16), ("PARTS", 3)):
+        monkeypatch.setattr(matching, name, value)
+    rng = random.Random(8)
+    many = lambda begin, letters, n: {begin + "".join(rng.choices(letters, k=6)) for _ in range(n)}
+    names = {f"supplier {k:09}" for k in [*range(60), *range(1_000_000, 1_000_030)]} | many("supplier 002", "0123456789", 30) | many("aaaaaaaaaaaa", "ab", 30) | many("begins so", "abcdefghij", 30) | {"supplier", "alone here"}
+    rows = [(k, n) for k, n in enumerate(sorted(names, key=lambda n: n[::-1]))]
+    facts = spark.createDataFrame(rows, "id long, name string")
+    classes = {r["class"] for r in matching._classes(facts.withColumnRenamed("id", "node")).select("class").distinct().collect()}
+    assert classes == {"18:supplier 000", "18:supplier 001"}
+    got = {r.id: r for r in matching.name_links(facts).collect()}
+    links = {n: {m for m in names if m != n and SequenceMatcher(None, n, m).ratio() >= 0.8} for n in names}
+    smallest = {n: k for k, n in rows}
+    for _ in range(9):
+        for n in names:
+            for m in links[n]:
+                smallest[n] = smallest[m] = min(smallest[n], smallest[m])
+    assert {k: (r.n_links, r.component_id) for k, r in got.items()} == {k: (len(links[n]), smallest[n]) for k, n in rows}
+
+
+def test_alike_names_are_counted_without_pairs():
+    """Some of 300,000 names, by every 97th against difflib, and against all of them."""
+    names = [f"supplier {k:09}" for k in range(300_000)]
+    need = ratios.needed_behind(names[:1000], 0.8, 6)
+    assert set(need) == {3}
+    for n in (names[0], names[123456], names[299999]):
+        part = names[::97]
+        found = ratios.Alike(6, 3).counts([n[12:]], "".join(m[12:] for m in part))
+        assert found.tolist() == [sum(SequenceMatcher(None, n, m).ratio() >= 0.8 for m in part)]
+    assert ratios.Alike(6, 3).counts([n[12:] for n in names[:5]], "".join(m[12:] for m in names)).min() > 5_000
